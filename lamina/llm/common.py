@@ -113,11 +113,16 @@ M1, M2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 I1, I2 = pow(M1, -1, 1 << 64), pow(M2, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64."""
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base^0 .. base^n modulo 2^64; a worker keeps the longest made so far."""
+    if base not in _POWERS or len(_POWERS[base]) <= n:
+        out = np.full(max(n, 1 << 16) + 1, base, dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,7 +148,7 @@ class Rolling:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
 
-def sliding_argmin(values: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
+def sliding_argmin(values: np.ndarray, width: int, bits: int = 32) -> np.ndarray:
     """For each window of `width` values the position of its smallest one, the leftmost among equals.
 
     Values keep their upper 64 - `bits` bits; there may be at most 2^bits of them.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, token_counts
+from . import chat_quotes, decontamination, license_scan, mixing, near_duplicates, previous_factors, quality_rules, recompression, sharding, token_counts
 from .sql import ORACLES
 
 NAMES: dict = {}
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_quotes.formatted(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "parent_turn", "thread_turn", "depth", "position", "clean_text")
+
+
 @query
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -28,6 +34,17 @@ def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompression.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.labelled(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,12 +53,23 @@ def op5_learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
 
 
+@query
+def op8_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = previous_factors.deduplicated(table(spark, sf_dir, "documents"), remove="all")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
