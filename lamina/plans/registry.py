@@ -1,21 +1,29 @@
-"""Queries of the archive engine and their SQL."""
+"""Queries of the archive engine and their SQL.
+
+The tables hold no archives, so queries make them from texts and read them back: SQL then states what
+must come out from the plain columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns, detect, native
+from ..operators import mutate
+from ..sources import archive
+
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with DuckDB SQL for the same rows."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name or another, with DuckDB SQL for the same rows."""
 
     def add(f):
-        _QUERIES[f.__name__] = f
+        _QUERIES[name or f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = sql
+            _SQL[name or f.__name__] = sql
         return f
 
     return add
@@ -25,18 +33,304 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS sha256 FROM documents")
-def checksum_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("text").cast("binary").alias("body"))
+
+
+def as_entries(docs: DataFrame) -> DataFrame:
+    """Documents as files of one archive per source."""
+    return docs.select(F.col("source").alias("archive"), F.concat(F.lit("docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit(0o640).alias("mode"), (F.lit(1_600_000_000) + F.col("doc_id")).cast("timestamp").alias("mtime"), "body")
+
+
+DIGEST = "SELECT source AS archive, 'docs/' || lang || '/' || doc_id || '.txt' AS path, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM documents"
+
+
+def digest(entries: DataFrame) -> DataFrame:
+    return entries.select("archive", "path", "size", F.sha2("body", 256).alias("sha256"))
+
+
+def roundtrip(fmt: str, read: dict | None = None, **how):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        packed = archive.packed(as_entries(documents(spark, sf_dir)), fmt, **how)
+        return digest(archive.entries_of(packed, archive="archive", includeBody=True, **(read or {})))
+
+    return run
+
+
+for _name, _fmt, _read, _how in [
+    ("scan_tar", "tar", {}, {}),
+    ("scan_ar", "ar", {}, {}),
+    *[(f"scan_cpio_{d}", "cpio", {}, {"dialect": d}) for d in ("newc", "crc", "odc", "binary")],
+    ("scan_cpio_binary_big", "cpio", {}, {"dialect": "binary", "byte_order": "big"}),
+    *[(f"scan_zip_{m}", "zip", {}, {"method": m}) for m in ("stored", "deflated", "bzip2", "lzma", "zstd", "xz")],
+    ("scan_zip_stream", "zip", {"mode": "stream"}, {}),
+    ("scan_zip_descriptor", "zip", {}, {"descriptor": True}),
+    ("scan_zip_preamble", "zip", {"format": "zip"}, {"preamble": b"#!/bin/sh\nstub\n"}),
+    *[(f"scan_7z_{m}", "7z", {}, {"method": m}) for m in ("copy", "lzma", "lzma2", "bzip2", "deflate", "zstd")],
+    ("scan_7z_delta", "7z", {}, {"filters": (("delta", 4),)}),
+    ("scan_7z_solid", "7z", {}, {"solid": 1000}),
+    *[(f"scan_tar_{c}", "tar", {}, {"compression": c}) for c in ("gzip", "bzip2", "xz", "zstd", "lzip")],
+    ("scan_named_format", "tar", {"format": "TAR"}, {}),
+]:
+    query(DIGEST, _name)(roundtrip(_fmt, _read, **_how))
+
+
+@query("SELECT source AS archive, lang, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY ALL")
+def archive_statistics(spark, sf_dir):
+    """Sizes by directory from metadata alone: no body is decoded."""
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "zip")
+    entries = archive.entries_of(packed, archive="archive")
+    return entries.groupBy("archive", F.split("entry_key", "/")[1].alias("lang")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT source AS archive, 'docs/' || lang || '/' || doc_id || '.txt' AS path, 1600000000 + doc_id AS seconds, 'rw-r-----' AS permissions, 'file' AS type, 'zip' AS format FROM documents")
+def archive_metadata(spark, sf_dir):
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "zip", method="stored")
+    e = archive.entries_of(packed, archive="archive")
+    return e.select("archive", "path", F.unix_timestamp("mtime").alias("seconds"), native.permissions(F.col("mode")).alias("permissions"), "type", "format")
+
+
+@query("SELECT source AS archive, 'gzip,zstd' AS outer_codecs, count(*) AS files FROM documents GROUP BY source")
+def outer_layers(spark, sf_dir):
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "tar", compression="zstd")
+    wrapped = packed.select("archive", columns.compress(F.col("content"), "gzip").alias("content"))
+    e = archive.entries_of(wrapped, archive="archive")
+    return e.groupBy("archive", F.array_join("outer_codecs", ",").alias("outer_codecs")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT source AS archive, 'LimitExceeded' AS error FROM documents GROUP BY source HAVING count(*) > 20")
+def limit_entry_count(spark, sf_dir):
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "tar")
+    e = archive.entries_of(packed, archive="archive", maxEntryCount=20, onError="permissive")
+    return e.where("_error is not null").select("archive", F.split("_error", ":")[0].alias("error"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE source = 'src1' AND lang = 'en'")
+def glob_filter(spark, sf_dir):
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "tar")
+    e = archive.entries_of(packed, archive="archive", includeBody=True).where(native.path_matches(F.col("path"), "glob:docs/{en,xx}/*.txt") & (F.col("archive") == "src1"))
+    return e.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.sha2("body", 256).alias("sha256"))
+
+
+for _e in ("traditional", "aes-128", "aes-192", "aes-256"):
+
+    @query("SELECT item_id, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM benchmark", f"zip_{_e.replace('-', '')}")
+    def zip_encrypted(spark, sf_dir, scheme=_e):
+        items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("archive"), F.col("item_id").cast("string").alias("path"), F.col("text").cast("binary").alias("body"))
+        packed = archive.packed(items, "zip", encrypt=scheme, password="open sesame")
+        e = archive.entries_of(packed, archive="archive", includeBody=True, password="open sesame")
+        return e.select(F.col("path").cast("long").alias("item_id"), "size", F.sha2("body", 256).alias("sha256"))
+
+
+@query("SELECT item_id, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM benchmark")
+def sevenz_encrypted(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("archive"), F.col("item_id").cast("string").alias("path"), F.col("text").cast("binary").alias("body"))
+    packed = archive.packed(items, "7z", method="lzma", password="open sesame", encrypt_headers=True)
+    e = archive.entries_of(packed, archive="archive", includeBody=True, password="open sesame")
+    return e.select(F.col("path").cast("long").alias("item_id"), "size", F.sha2("body", 256).alias("sha256"))
+
+
+# --- codecs ---------------------------------------------------------------------------------------
+
+TEXTS = "SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS sha256 FROM documents"
+
+
+def codec_roundtrip(codec: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = documents(spark, sf_dir)
+        packed = docs.select("doc_id", columns.compress(F.col("body"), codec).alias("c"))
+        plain = packed.select("doc_id", columns.decompress(F.col("c"), codec).alias("p"))
+        return plain.select("doc_id", F.octet_length("p").cast("long").alias("n_bytes"), F.sha2("p", 256).alias("sha256"))
+
+    return run
+
+
+for _c in ("bzip2", "compress", "deflate", "deflate64", "gzip", "lz4", "lz4-block", "lzip", "lzma", "lzma-raw", "lzma2", "xz", "zlib", "zstd"):
+    query(TEXTS, f"codec_{_c.replace('-', '_')}")(codec_roundtrip(_c))
+
+
+@query("SELECT c AS codec, doc_id, c AS detected FROM documents, (VALUES ('bzip2'), ('compress'), ('gzip'), ('lz4'), ('lzip'), ('xz'), ('zlib'), ('zstd')) v(c)")
+def detect_codecs(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    kinds = ("bzip2", "compress", "gzip", "lz4", "lzip", "xz", "zlib", "zstd")
+    packed = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), columns.compress(F.substring("body", 1, 200), k).alias("c")) for k in kinds])).alias("x"))
+    return packed.select("x.codec", "doc_id", detect.detected(F.col("x.c")).alias("detected"))
+
+
+@query("SELECT source AS archive, f AS format, f AS detected FROM (SELECT DISTINCT source FROM documents), (VALUES ('7z'), ('ar'), ('cpio'), ('tar'), ('zip')) v(f)")
+def detect_archives(spark, sf_dir):
+    entries = as_entries(documents(spark, sf_dir))
+    out = None
+    for f in ("7z", "ar", "cpio", "tar", "zip"):
+        one = archive.packed(entries, f).select("archive", F.lit(f).alias("format"), detect.detected(F.col("content")).alias("detected"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT doc_id, octet_length(encode(text)) > 2000 AS over_limit FROM documents")
+def limit_output(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    r = docs.select("doc_id", columns.try_decompress(columns.compress(F.col("body"), "zstd"), "zstd", max_output=2000).alias("r"))
+    return r.select("doc_id", F.coalesce(F.col("r.error").startswith("LimitExceeded"), F.lit(False)).alias("over_limit"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS first_bytes, 2 * octet_length(encode(text)) AS all_bytes FROM documents")
+def codec_frames(spark, sf_dir):
+    """The first of two gzip members, and both."""
+    two = documents(spark, sf_dir).select("doc_id", columns.compress(F.col("body"), "gzip").alias("c")).select("doc_id", F.concat("c", "c").alias("c"))
+    return two.select("doc_id", columns.try_decompress(F.col("c"), "gzip", frame=True).alias("f"), columns.try_decompress(F.col("c"), "gzip").alias("a")).select("doc_id", F.col("f.output_bytes").alias("first_bytes"), F.col("a.output_bytes").alias("all_bytes"))
+
+
+@query("SELECT doc_id, greatest(1, ceil(octet_length(encode(text)) / 1000.0))::BIGINT AS frames, substr(hex(encode(text)), 3001, 200) AS part FROM documents")
+def zstd_seekable(spark, sf_dir):
+    packed = documents(spark, sf_dir).select("doc_id", columns.compress(F.col("body"), "zstd", frame_size=1000).alias("c"))
+    return packed.select("doc_id", F.size(columns.zstd_seek_table(F.col("c"))).cast("long").alias("frames"), F.hex(columns.zstd_range(F.col("c"), F.lit(1500), F.lit(100))).alias("part"))
+
+
+@query("SELECT lang, count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang")
+def zstd_dictionaries(spark, sf_dir):
+    """One dictionary per language from its first kilobytes, then each text with its language's dictionary."""
+    docs = documents(spark, sf_dir)
+    trained = docs.groupBy("lang").agg(columns.train_dictionary(F.substring("body", 1, 2000), 8192).alias("d"))
+    # one dictionary of at most 8 KiB per language
+    met = docs.join(F.broadcast(trained), "lang")
+    there = met.select("lang", "d", columns.compress_with(F.col("body"), F.col("d"), "zstd").alias("c"))
+    return there.select("lang", F.octet_length(columns.decompress_with(F.col("c"), F.col("d"), "zstd")).alias("n")).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("bytes"))
+
+
+for _t in ("delta", "x86", "ppc", "ia64", "arm", "thumb", "sparc", "arm64", "riscv"):
+
+    @query(TEXTS, f"transform_{_t}")
+    def transform_roundtrip(spark, sf_dir, name=_t):
+        docs = documents(spark, sf_dir)
+        there = docs.select("doc_id", columns.transform(F.col("body"), name, True, 3).alias("t"))
+        back = there.select("doc_id", columns.transform(F.col("t"), name, False, 3).alias("p"))
+        return back.select("doc_id", F.octet_length("p").cast("long").alias("n_bytes"), F.sha2("p", 256).alias("sha256"))
+
+
+# --- checksums ------------------------------------------------------------------------------------
+
+_BYTES = "list_transform(range(octet_length(encode(text))), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INTEGER)"
+
+
+@query(TEXTS)
+def checksum_sha256(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), columns.checksum(F.col("body"), "sha256").alias("sha256"))
+
+
+@query(f"SELECT item_id, ((octet_length(encode(text)) + list_sum(list_transform(range(len(b)), lambda i: (len(b) - i) * b[i + 1]))) % 65521 * 65536 + (1 + list_sum(b)) % 65521)::BIGINT AS adler32, list_sum(b)::BIGINT AS byte_sum FROM (SELECT item_id, text, {_BYTES} AS b FROM benchmark)")
+def checksum_native_sums(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("b"))
+    return items.select("item_id", native.adler32(F.col("b")).alias("adler32"), native.byte_sum(F.col("b")).alias("byte_sum"))
+
+
+def _crc_sql(polynomial: int) -> str:
+    """Bitwise CRC over the bytes of benchmark texts."""
+    step = f"xor(x >> 1, CASE WHEN x & 1 = 1 THEN {polynomial} ELSE 0 END)"
+    nested = "xor(a, b)"
+    for _ in range(8):
+        nested = f"list_transform([{nested}], lambda x: {step})[1]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({_BYTES}, lambda v: v::BIGINT)), lambda a, b: {nested}), 4294967295)"
+
+
+@query(f"SELECT item_id, {_crc_sql(0xEDB88320)} AS crc32, {_crc_sql(0x82F63B78)} AS crc32c FROM benchmark")
+def checksum_crc(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("b"))
+    return items.select("item_id", columns.checksum(F.col("b"), "crc32").alias("crc32"), columns.checksum(F.col("b"), "crc32c").alias("crc32c"))
+
+
+@query()
+def checksum_others(spark, sf_dir):
+    """Held against known answers and the libraries in the tests: SQL has none of these."""
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", *[columns.checksum(F.col("body"), a).alias(a.replace("-", "_")) for a in ("adler32", "crc64-xz", "crc32-bzip2", "xxh32", "xxh64", "blake2sp")], columns.checksum(F.col("body"), "xxh64", 42).alias("xxh64_42"))
+
+
+# --- paths, modes, times --------------------------------------------------------------------------
+
+_PATHS = "(VALUES ('a/b'), ('a//./b'), ('a\\b'), ('/a'), ('C:x'), ('../a'), ('a/..'), ('.'), (''), ('ü/é.txt'))"
+
+
+@query(f"SELECT o_orderkey, p AS path, v AS valid, CASE WHEN v THEN array_to_string(list_filter(regexp_split_to_array(p, '[/\\\\]'), lambda x: x NOT IN ('', '.')), '/') END AS entry_key FROM (SELECT o_orderkey, s || '/' || o_orderstatus AS p, NOT regexp_matches(s || '/' || o_orderstatus, '^[/\\\\]|^.:|(^|[/\\\\])\\.\\.([/\\\\]|$)') AS v FROM orders, {_PATHS} t(s))")
+def entry_paths(spark, sf_dir):
+    shapes = ["a/b", "a//./b", "a\\b", "/a", "C:x", "../a", "a/..", ".", "", "ü/é.txt"]
+    p = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(s) for s in shapes])).alias("s"), "o_orderstatus").select("o_orderkey", F.concat("s", F.lit("/"), "o_orderstatus").alias("path"))
+    return p.select("o_orderkey", "path", native.path_valid(F.col("path")).alias("valid"), native.entry_key(F.col("path")).alias("entry_key"))
+
+
+@query("SELECT o_orderkey, m AS mode, " + " || ".join(f"CASE WHEN m & {1 << 8 - i} != 0 THEN '{'rwx'[i % 3]}' ELSE '-' END" for i in range(9)) + " AS permissions, CASE (m >> 12) WHEN 8 THEN 'file' WHEN 0 THEN 'file' WHEN 4 THEN 'directory' WHEN 10 THEN 'symlink' ELSE 'other' END AS type, m & 511 AS again FROM (SELECT o_orderkey, (o_orderkey * 7919 % 65536)::INTEGER AS m FROM orders)")
+def posix_modes(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 65536).cast("int").alias("mode"))
+    return m.withColumn("permissions", native.permissions(F.col("mode"))).withColumn("type", native.mode_type(F.col("mode"))).withColumn("again", native.mode_of_permissions(F.col("permissions")))
+
+
+@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT // 2 * 2 AS dos_seconds, epoch(o_orderdate)::BIGINT AS windows_seconds FROM orders")
+def archive_times(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("t"))
+    date = (F.year("t") - 1980) * 512 + F.month("t") * 32 + F.dayofmonth("t")
+    time = F.hour("t") * 2048 + F.minute("t") * 32 + F.call_function("div", F.second("t"), F.lit(2))
+    ticks = (F.unix_timestamp("t") + 11_644_473_600) * 10_000_000
+    return o.select("o_orderkey", F.unix_timestamp(native.dos_time(date.cast("int"), time.cast("int"))).alias("dos_seconds"), F.unix_timestamp(native.windows_time(ticks)).alias("windows_seconds"))
+
+
+# --- updates --------------------------------------------------------------------------------------
+
+
+def stored_entries(spark, sf_dir, includeBody: bool = True) -> DataFrame:
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "tar")
+    return archive.entries_of(packed, archive="archive", includeBody=includeBody)
+
+
+@query("SELECT source AS archive, 'docs/' || lang || '/' || doc_id || '.txt' AS entry_key, CASE WHEN doc_id % 10 = 3 THEN sha256('new') ELSE sha256(text) END AS sha256 FROM documents WHERE doc_id % 10 != 5 UNION ALL SELECT DISTINCT source, 'added.txt', sha256('more') FROM documents")
+def update_put_delete(spark, sf_dir):
+    e = stored_entries(spark, sf_dir).select("archive", "path", "entry_key", "type", "size", "link_target", "body")
+    number = F.regexp_extract("entry_key", r"(\d+)\.txt$", 1).cast("int")
+    fresh = e.where(number % 10 == 3).withColumn("body", F.lit(b"new"))
+    added = e.select("archive").distinct().select("archive", F.lit("added.txt").alias("path"), F.lit("added.txt").alias("entry_key"), F.lit("file").alias("type"), F.lit(b"more").alias("body"))
+    out = mutate.put(mutate.put(mutate.delete(e, F.coalesce(number % 10 == 5, F.lit(False))), fresh), added)
+    again = archive.entries_of(archive.packed(out, "zip", order="entry_key"), archive="archive", includeBody=True)
+    return again.select("archive", "entry_key", F.sha2("body", 256).alias("sha256"))
+
+
+@query("SELECT source AS archive, CASE WHEN lang = 'en' THEN 'english/' || doc_id || '.txt' ELSE 'docs/' || lang || '/' || doc_id || '.txt' END AS entry_key, CASE WHEN doc_id % 2 = 0 THEN 384 ELSE 416 END AS mode FROM documents")
+def update_move_attributes(spark, sf_dir):
+    e = stored_entries(spark, sf_dir)
+    even = F.regexp_extract("entry_key", r"(\d+)\.txt$", 1).cast("int") % 2 == 0
+    return mutate.set_attributes(mutate.move(e, "docs/en", "english"), even, mode=F.lit(0o600)).select("archive", "entry_key", "mode")
+
+
+@query("SELECT source AS archive, 'link/' || doc_id AS entry_key, 'file' AS type, sha256(text) AS sha256 FROM documents")
+def update_delete_hard_links(spark, sf_dir):
+    """Links to deleted files become files."""
+    e = as_entries(documents(spark, sf_dir)).select("archive", "path", "body", F.lit("file").alias("type"), F.lit(None).cast("string").alias("link_target"))
+    links = e.select("archive", F.concat(F.lit("link/"), F.regexp_extract("path", r"(\d+)\.txt$", 1)).alias("path"), F.lit(None).cast("binary").alias("body"), F.lit("hardlink").alias("type"), F.col("path").alias("link_target"))
+    packed = archive.packed(e.unionByName(links), "tar")
+    stored = archive.entries_of(packed, archive="archive", includeBody=True)
+    return mutate.delete(stored, F.col("entry_key").startswith("docs/")).select("archive", "entry_key", "type", F.sha2("body", 256).alias("sha256"))
+
+
+@query("SELECT source AS archive, parent, count(*) AS children FROM (SELECT source, 'docs/' || lang AS parent FROM documents UNION ALL SELECT DISTINCT source, 'docs' || substr(lang, 1, 0) FROM (SELECT DISTINCT source, lang FROM documents) WHERE false UNION ALL SELECT source, 'docs' FROM (SELECT DISTINCT source, lang FROM documents) UNION ALL SELECT DISTINCT source, '' FROM documents) GROUP BY ALL")
+def directory_listing(spark, sf_dir):
+    return mutate.listing(stored_entries(spark, sf_dir, False)).groupBy("archive", "parent").agg(F.count("*").alias("children"))
+
+
+@query("SELECT source AS archive, lang AS entry_key, count(*) AS times FROM documents GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    d = documents(spark, sf_dir).select(F.col("source").alias("archive"), F.col("lang").alias("path"), "body")
+    return mutate.duplicates(archive.entries_of(archive.packed(d, "tar"), archive="archive"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checksum_sha256(spark, sf_dir)
+    """One TAR per source, read back: path, size, checksums."""
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "tar")
+    e = archive.entries_of(packed, archive="archive", includeBody=True)
+    return e.select("archive", "path", "size", F.crc32("body").alias("crc32"), F.sha2("body", 256).alias("sha256"))
 
 
 def queries() -> dict:
-    return _QUERIES
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return dict(_SQL)
