@@ -157,3 +157,45 @@ def train_dictionary(data: Column, size: int = 16_384) -> Column:
         return codecs.native.zstd_train([bytes(x) for x in s if x is not None], size)
 
     return f(_binary(data))
+
+
+def chunked_checksum(df, key: str, order: str, data: str, algorithm: str, seed: int = 0):
+    """Checksum per key over chunks in order: rows (key, checksum as hexadecimal, bytes).
+
+    Chunks stream through in sorted order; only the state of the key at hand is held.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        current, state, size, started = None, None, 0, False
+        out: list[tuple] = []
+        for batch in batches:
+            for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not started or k != current:
+                    if started:
+                        out.append((current, state.finish().hex(), size))
+                    current, state, size, started = k, hashes.Accumulator(algorithm, seed), 0, True
+                if d is not None:
+                    state.update(d)
+                    size += len(d)
+        if started:
+            out.append((current, state.finish().hex(), size))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["key", "checksum", "n_bytes"])
+
+    keyed = df.select(F.col(key).cast("string").alias("key"), F.col(data).cast("binary").alias("data"), F.col(order).alias("order"))
+    return keyed.repartition("key").sortWithinPartitions("key", "order").select("key", "data").mapInArrow(run, "key string, checksum string, n_bytes long")
+
+
+def zip_preamble(data: Column) -> Column:
+    """Bytes before a ZIP archive, such as a self-extracting stub."""
+
+    @F.pandas_udf("binary")
+    def f(s: pd.Series) -> pd.Series:
+        import io
+
+        from ..formats import zip_
+
+        return s.map(lambda x: None if x is None else bytes(x)[: zip_.directory(io.BytesIO(bytes(x)))[3]])
+
+    return f(_binary(data))

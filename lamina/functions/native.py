@@ -119,3 +119,39 @@ def delta_encode(data: Column, distance: int = 1) -> Column:
     """The delta filter as an expression; hexadecimal digits carry the bytes."""
     v = byte_values(data)
     return F.unhex(F.array_join(F.transform(v, lambda x, i: F.lpad(F.hex(F.pmod(x - F.when(i >= distance, F.get(v, i - distance)).otherwise(0), F.lit(256))), 2, "0")), ""))
+
+
+# --- path algebra ---------------------------------------------------------------------------------
+
+
+def path_normalized(path: Column) -> Column:
+    """Without empty and `.` parts, `..` taken with the part before it; the root stays."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    up = lambda done: F.slice(done, 1, F.size(done) - 1)
+    step = lambda done, p: F.when((p == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != ".."), up(done)).when((p == "..") & path.startswith("/"), done).otherwise(F.concat(done, F.array(p)))
+    text = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), text)).otherwise(text)
+
+
+def path_resolved(base: Column, other: Column) -> Column:
+    """`other` as seen from `base`: itself if absolute, `base` if empty."""
+    return F.when(other.startswith("/"), other).when(other == "", base).when((base == "") | base.endswith("/"), F.concat(base, other)).otherwise(F.concat_ws("/", base, other))
+
+
+def path_relative(base: Column, other: Column) -> Column:
+    """The way from `base` to `other`, both normalized and of one kind; null if only one is absolute."""
+    a = F.filter(F.split(base, "/"), lambda p: p != "")
+    b = F.filter(F.split(other, "/"), lambda p: p != "")
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    n = F.when(F.array_position(same, False) == 0, F.size(same)).otherwise(F.array_position(same, False).cast("int") - 1)
+    way = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - n), F.slice(b, n + 1, F.size(b))), "/")
+    return F.when(base.startswith("/") == other.startswith("/"), way)
+
+
+def path_starts_with(path: Column, prefix: Column) -> Column:
+    """By whole parts."""
+    return (path == prefix) | path.startswith(F.concat(F.regexp_replace(prefix, "/$", ""), F.lit("/")))
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(path, "/+$", ""), "[^/]*$", 0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns, detect, native
 from ..operators import mutate
 from ..sources import archive
+from . import catalog
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -321,6 +322,30 @@ def duplicate_keys(spark, sf_dir):
     return mutate.duplicates(archive.entries_of(archive.packed(d, "tar"), archive="archive"))
 
 
+@query("SELECT source AS key, sha256(string_agg(text, '' ORDER BY doc_id)) AS checksum, sum(octet_length(encode(text)))::BIGINT AS n_bytes FROM documents GROUP BY source")
+def checksum_chunks(spark, sf_dir):
+    """Texts of a source as the chunks of one stream."""
+    return columns.chunked_checksum(table(spark, sf_dir, "documents"), "source", "doc_id", "text", "SHA-256")
+
+
+@query("SELECT source AS archive, '7374756220' AS preamble FROM documents GROUP BY source")
+def archive_preamble(spark, sf_dir):
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "zip", preamble=b"stub ")
+    return packed.select("archive", F.hex(columns.zip_preamble(F.col("content"))).alias("preamble"))
+
+
+@query("SELECT * FROM (VALUES ('archive', '7z', true), ('archive', 'ar', true), ('archive', 'cpio', true), ('archive', 'rar', false), ('archive', 'tar', true), ('archive', 'zip', true), ('codec', 'bzip2', true), ('codec', 'compress', true), ('codec', 'deflate', true), ('codec', 'deflate64', true), ('codec', 'gzip', true), ('codec', 'lz4', true), ('codec', 'lz4-block', true), ('codec', 'lzip', true), ('codec', 'lzma', true), ('codec', 'lzma-raw', true), ('codec', 'lzma2', true), ('codec', 'xz', true), ('codec', 'zlib', true), ('codec', 'zstd', true)) t(kind, name, writable)")
+def format_catalog(spark, sf_dir):
+    return catalog.catalog(spark).select("kind", "name", "writable")
+
+
+@query("SELECT o_orderkey, 'a/' || o_orderstatus AS normalized, 'x/./a//b/../' || o_orderstatus AS resolved, '../' || o_orderstatus AS relative, o_orderstatus AS name, o_orderstatus = 'F' AS below FROM orders")
+def path_algebra(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit("./a//b/../"), "o_orderstatus").alias("p"))
+    n = native.path_normalized(F.col("p"))
+    return o.select("o_orderkey", n.alias("normalized"), native.path_resolved(F.lit("x"), F.col("p")).alias("resolved"), native.path_relative(F.lit("a/q"), n).alias("relative"), native.file_name(F.col("p")).alias("name"), native.path_starts_with(n, F.lit("a/F")).alias("below"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One TAR per source, read back: path, size, checksums."""
     packed = archive.packed(as_entries(documents(spark, sf_dir)), "tar")

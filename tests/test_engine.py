@@ -28,7 +28,7 @@ def duck():
     return con
 
 
-CHECKED = ["scan_tar", "scan_cpio_crc", "scan_zip_deflated", "scan_zip_stream", "scan_7z_lzma2", "scan_tar_xz", "archive_statistics", "archive_metadata", "outer_layers", "limit_entry_count", "glob_filter", "zip_aes256", "sevenz_encrypted", "codec_zstd", "codec_compress", "codec_frames", "detect_codecs", "limit_output", "zstd_seekable", "zstd_dictionaries", "transform_x86", "checksum_native_sums", "checksum_crc", "entry_paths", "posix_modes", "archive_times", "update_put_delete", "update_move_attributes", "update_delete_hard_links", "directory_listing", "duplicate_keys"]
+CHECKED = ["scan_tar", "scan_cpio_crc", "scan_zip_deflated", "scan_zip_stream", "scan_7z_lzma2", "scan_tar_xz", "archive_statistics", "archive_metadata", "outer_layers", "limit_entry_count", "glob_filter", "zip_aes256", "sevenz_encrypted", "codec_zstd", "codec_compress", "codec_frames", "detect_codecs", "limit_output", "zstd_seekable", "zstd_dictionaries", "transform_x86", "checksum_native_sums", "checksum_crc", "entry_paths", "posix_modes", "archive_times", "update_put_delete", "update_move_attributes", "update_delete_hard_links", "directory_listing", "duplicate_keys", "checksum_chunks", "archive_preamble", "format_catalog", "path_algebra"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -151,3 +151,16 @@ def test_updates_on_rows(spark):
     assert set(left) == {"d/b", "l"} and left["l"].type == "file" and bytes(left["l"].body) == b"1"
     assert {r.entry_key for r in mutate.move(e, "d", "e").collect()} == {"a", "e/b", "l"}
     assert mutate.duplicates(e.unionByName(e.limit(1))).count() == 1
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([("/a/../../b/",), ("../a/./b",), ("a/../..",), ("",)], "p string")
+    assert [r.n for r in df.select(native.path_normalized(F.col("p")).alias("n")).collect()] == ["/b", "../a/b", "..", ""]
+    pairs = spark.createDataFrame([("a/b", "a/c/d"), ("", "x"), ("/a", "/a"), ("/a", "b")], "a string, b string")
+    assert [r.n for r in pairs.select(native.path_relative(F.col("a"), F.col("b")).alias("n")).collect()] == ["../c/d", "x", "", None]
+
+
+def test_catalog_names():
+    from lamina.plans import catalog
+
+    assert catalog.find("SevenZip") == ("archive", "7z") and catalog.find(".jar") == ("archive", "zip") and catalog.find("unix-compress") == ("codec", "compress") and catalog.find("zst") == ("codec", "zstd") and catalog.find("nothing") is None
