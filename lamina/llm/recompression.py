@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, as_bytes, mix, sliding_argmin
+from .common import I2, M2, NULL_ID, Rolling, Scratch, as_bytes, mix, sliding_argmin
 from .repeats import Kind, covered, earlier_judge, prepared, repeated_spans, with_spans, word_units
 
 SIZE = 50
@@ -123,10 +123,16 @@ def levels(words: np.ndarray, ends: np.ndarray, caps: tuple[int, ...] = CAPS) ->
 
 
 def anchors(words: np.ndarray, ends: np.ndarray, size: int, caps: tuple[int, ...] = CAPS, decided: int = DECIDED) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start the word where its anchor's decision begins, and names by such words."""
+    """For each window start the word where its anchor's decision begins, and names by such words.
+
+    A name stands for the anchor's symbol and for the `decided` words from there on, which lie in the
+    window too: symbols of a few words alone would often be shared by chance.
+    """
     n = len(words)
     most = np.iinfo(np.uint64).max
     best, names = np.full(n, most, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    at = np.arange(n)
+    stretch = Rolling(words, M2, I2).of(at, np.minimum(at + decided, n))
     found = levels(words, ends, caps)
     for rank, x in enumerate(reversed(found)):
         level = len(found) - 1 - rank
@@ -143,7 +149,7 @@ def anchors(words: np.ndarray, ends: np.ndarray, size: int, caps: tuple[int, ...
         at, value, name = at[one], value[one], name[one]
         better = value < best[at]
         best[at[better]], names[at[better]] = value[better], name[better]
-    return sliding_argmin(best, size - decided + 1)[: max(0, n - size + 1)], names
+    return sliding_argmin(best, size - decided + 1)[: max(0, n - size + 1)], mix(names ^ stretch)
 
 
 WORDS = Kind(SIZE, word_units, anchors, earlier=True)

@@ -5,8 +5,8 @@ place inside it that its own content alone decides, so equal windows have equal
 offsets. Neighbouring windows with the same anchor form a run, which is described by the anchor's
 name, two 64-bit hashes of the run's content, and where it starts. Then, on these short rows only:
 
-1. runs whose anchor name occurs once are dropped: no window of theirs can be repeated;
-2. runs of equal content are counted as one, so thousands of copies are one row;
+1. runs of equal content are counted as one, so thousands of copies are one row;
+2. contents whose anchor name occurs once are dropped: no window of theirs can be repeated;
 3. where a name has several contents, one run of each is cut out of its text, and windows of runs
    with the same name are compared in order of content;
 4. every run learns which of its windows are repeated, and rows go back to their texts as spans.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import I1, I2, M1, M2, NULL_ID, Rolling, Scratch, as_bytes, chunks, row_key
 
 RUN = "key long, h1 long, h2 long, doc long, rk long, start int, n int"
-CONTENT = "key long, h1 long, h2 long, lo long, times long, n int, content binary"
+CONTENT = "key long, h1 long, h2 long, lo long, crowd long, n int, content binary"
 FLAG = "key long, h1 long, h2 long, span array<int>"
 
 
@@ -45,6 +45,7 @@ class Kind:
     units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     anchors: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
     earlier: bool
+    segment: int = 1 << 21  # units worked on at once; a window's anchor needs no more than the window
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,13 +53,24 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def run_rows(kind: Kind, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """Runs of some texts: (text, name, h1, h2, start in its text, windows)."""
+    """Runs of some texts: (text, name, h1, h2, start in its text, windows). Long texts go in segments."""
     digits, ends = kind.units(texts)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    if not len(digits) or not np.any(ends - starts >= kind.size):
+    parts = []
+    for a in range(0, max(0, len(digits) - kind.size + 1), kind.segment):
+        b = min(len(digits), a + kind.segment + kind.size - 1)
+        if (found := _segment_runs(kind, digits[a:b], np.clip(ends - a, 0, b - a))) is not None:
+            t, name, h1, h2, begin, n = found
+            parts.append((t, name, h1, h2, begin + a - starts[t], n))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else None
+
+
+def _segment_runs(kind: Kind, digits: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    sizes = np.diff(ends, prepend=0)
+    if not np.any(sizes >= kind.size):
         return None
     anchor, names = kind.anchors(digits, ends, kind.size)
-    of = np.repeat(np.arange(len(ends)), ends - starts)
+    of = np.repeat(np.arange(len(ends)), sizes)
     windows = np.arange(len(anchor))
     windows = windows[of[windows] == of[windows + kind.size - 1]]
     a, t = anchor[windows], of[windows]
@@ -69,7 +81,7 @@ def run_rows(kind: Kind, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
     begin = windows[at]
     end = begin + n + kind.size - 1
     h1, h2 = Rolling(digits, M1, I1).of(begin, end), Rolling(digits, M2, I2).of(begin, end)
-    return t[at], names[a[at]], h1, h2, begin - starts[t[at]], n
+    return t[at], names[a[at]], h1, h2, begin, n
 
 
 def runs(kind: Kind, docs: DataFrame) -> DataFrame:
@@ -89,8 +101,8 @@ def runs(kind: Kind, docs: DataFrame) -> DataFrame:
 
 
 def contents(kind: Kind, wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cut the wanted runs out of their texts, as the digits of their units in 8 bytes each, or 1 for bytes."""
-    per = wanted.groupBy("doc", "rk").agg(F.collect_list(F.struct("key", "h1", "h2", "lo", "times", "start", "n")).alias("w"))
+    """Cut the wanted runs out of their texts: bytes as they are, words as two hashes per window, which is less."""
+    per = wanted.groupBy("doc", "rk").agg(F.collect_list(F.struct("key", "h1", "h2", "lo", "crowd", "start", "n")).alias("w"))
 
     def run(batches):
         import pyarrow as pa
@@ -99,15 +111,21 @@ def contents(kind: Kind, wanted: DataFrame, docs: DataFrame) -> DataFrame:
             texts, asked = as_bytes(batch.column(0)), batch.column(1)
             offsets = asked.offsets.to_numpy()
             flat = asked.values.flatten()
-            key, h1, h2, lo_id, times, start, n = (x.to_numpy(zero_copy_only=False) for x in flat)
+            key, h1, h2, lo_id, many, start, n = (x.to_numpy(zero_copy_only=False) for x in flat)
             for lo, hi in chunks(texts):
                 digits, ends = kind.units(texts[lo:hi])
                 begins = np.concatenate([[0], ends[:-1]])
-                digits = digits.astype(np.uint8) if kind.units is byte_units else digits
                 r = slice(offsets[lo], offsets[hi])
                 at = np.repeat(begins, np.diff(offsets[lo : hi + 1])) + start[r]
-                cut = [digits[p : p + m].tobytes() for p, m in zip(at.tolist(), (n[r] + (kind.size - 1)).tolist())]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[r]) for x in (key, h1, h2, lo_id, times, n)), pa.array(cut, pa.binary())], ["key", "h1", "h2", "lo", "times", "n", "content"])
+                if kind.units is byte_units:
+                    cut = [digits[p : p + m].tobytes() for p, m in zip(at.tolist(), (n[r] + (kind.size - 1)).tolist())]
+                else:
+                    p, m = np.repeat(at, n[r]), n[r].astype(np.int64)
+                    p += np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+                    both = np.stack([Rolling(digits, b, i).of(p, p + kind.size) for b, i in ((M1, I1), (M2, I2))], axis=1)
+                    edge = np.append(0, np.cumsum(m)).tolist()
+                    cut = [both[s:e].tobytes() for s, e in zip(edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[r]) for x in (key, h1, h2, lo_id, many, n)), pa.array(cut, pa.binary())], ["key", "h1", "h2", "lo", "crowd", "n", "content"])
 
     # a row that comes repeatedly is cut more than once: the later steps don't mind
     return docs.join(per, ["doc", "rk"]).select("text", "w").mapInArrow(run, CONTENT)
@@ -115,14 +133,18 @@ def contents(kind: Kind, wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def window_hashes(kind: Kind, content: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(content number, offset, h1, h2) of all windows."""
-    raw = np.frombuffer(b"".join(content), dtype=np.uint8 if kind.units is byte_units else np.uint64)
-    digits = byte_digits(raw) if kind.units is byte_units else raw
-    lengths = np.array([len(c) for c in content], dtype=np.int64) // raw.itemsize
-    n = lengths - kind.size + 1
-    starts = np.cumsum(lengths) - lengths
+    if kind.units is byte_units:
+        digits = np.frombuffer(b"".join(content), dtype=np.uint8)
+        lengths = np.array([len(c) for c in content], dtype=np.int64)
+        n = lengths - kind.size + 1
+    else:
+        both = np.frombuffer(b"".join(content), dtype=np.uint64).reshape(-1, 2)
+        n = np.array([len(c) for c in content], dtype=np.int64) // 16
     which = np.repeat(np.arange(len(content)), n)
     x = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    p = starts[which] + x
+    if kind.units is not byte_units:
+        return which, x, both[:, 0], both[:, 1]
+    p = (np.cumsum(lengths) - lengths)[which] + x
     return which, x, Rolling(digits, M1, I1).of(p, p + kind.size), Rolling(digits, M2, I2).of(p, p + kind.size)
 
 
@@ -213,27 +235,30 @@ def earlier_judge(order, same, which, lo):
 
 
 def repeated_spans(kind: Kind, docs: DataFrame, scratch: Scratch, judge, crowd: int = 20_000) -> DataFrame:
-    """Per (doc, rk) of prepared documents the spans of repeated windows: flat pairs (first, last + size)."""
+    """Per (doc, rk) of prepared documents the spans of repeated windows: flat pairs (first, last + size).
+
+    Contents are counted before anything meets by name, so a hot name brings its distinct contents
+    only; tables between the steps give each join exchanges of its own, which can be split.
+    """
     found = scratch.table("runs", runs(kind, docs))
-    names = found.groupBy("key").agg(F.count("*").alias("of"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("of > 1").select("key", (F.col("a") != F.col("b")).alias("several"))
-    shared = scratch.table("shared", found.join(names, "key"))
-    scratch.drop("runs")
-    classes = scratch.table("classes", shared.groupBy("key", "h1", "h2").agg(F.min("doc").alias("lo"), F.count("*").alias("times"), F.min(F.struct("doc", "rk", "start", "n")).alias("rep"), F.max("several").alias("several")))
-    sizes = classes.where("several").groupBy("key").agg(F.count("*").alias("crowd"))
-    reps = classes.where("several").select("key", "h1", "h2", "lo", "times", "rep.doc", "rep.rk", "rep.start", "rep.n")
-    cut = scratch.table("contents", contents(kind, reps, docs).join(sizes, "key"))
+    every = scratch.table("every", found.groupBy("key", "h1", "h2").agg(F.min("doc").alias("lo"), F.count("*").alias("times"), F.min(F.struct("doc", "rk", "start", "n")).alias("rep")))
+    names = scratch.table("names", every.groupBy("key").agg(F.sum("times").alias("of"), F.count("*").alias("crowd")).where("of > 1").drop("of"))
+    classes = scratch.table("classes", every.join(names, "key"))
+    scratch.drop("every", "names")
+    wanted = classes.where("crowd > 1").select("key", "h1", "h2", "lo", "crowd", "rep.doc", "rep.rk", "rep.start", "rep.n")
+    cut = scratch.table("contents", contents(kind, wanted, docs))
     flags = compared(kind, judge, cut, crowd)
     if not cut.where(f"crowd > {crowd}").isEmpty():
         flags = flags.unionByName(crowded(kind, cut, crowd))
     # a run without repeated windows has no row here
-    known = classes.drop("rep", "several").join(scratch.table("flags", flags), ["key", "h1", "h2"], "left").where("span is not null or times > 1")
-    scratch.drop("contents")
+    known = scratch.table("known", classes.select("key", "h1", "h2", "lo", "times").join(scratch.table("flags", flags), ["key", "h1", "h2"], "left").where("span is not null or times > 1"))
+    scratch.drop("contents", "classes", "flags")
     everything = "doc > lo" if kind.earlier else "times > 1"
     whole = F.array(F.col("start"), F.col("start") + F.col("n") - 1 + kind.size)
     parts = F.transform("span", lambda x, i: F.col("start") + x + F.when(i % 2 == 1, kind.size).otherwise(0))
-    spans = shared.join(known, ["key", "h1", "h2"]).select("doc", "rk", F.when(F.expr(everything), whole).otherwise(parts).alias("s")).where("s is not null")
+    spans = found.join(known, ["key", "h1", "h2"]).select("doc", "rk", F.when(F.expr(everything), whole).otherwise(parts).alias("s")).where("s is not null")
     spans = scratch.table("spans", spans.groupBy("doc", "rk").agg(F.flatten(F.collect_set("s")).alias("spans")))
-    scratch.drop("shared", "classes", "flags")
+    scratch.drop("runs", "known")
     return spans
 
 
@@ -261,13 +286,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def byte_digits(raw: np.ndarray) -> np.ndarray:
-    return raw.astype(np.uint64)
-
-
 def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    return byte_digits(raw), np.cumsum([len(t) for t in texts]).astype(np.int64)
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts]).astype(np.int64)
 
 
 def word_bounds(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -278,11 +298,23 @@ def word_bounds(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word, and where each text's words end."""
-    buffer = b"\n".join(texts)
-    s, e = word_bounds(buffer)
-    raw = np.frombuffer(buffer, dtype=np.uint8)
-    hashes = Rolling(BYTE[raw], M1, I1).of(s, e) ^ (e - s).astype(np.uint64)
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(s, text_ends).astype(np.int64)
+def word_units(texts: list[bytes], block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per word, and where each text's words end. Long texts go in blocks that end with a word."""
+    hashes, ends, total = [], [], 0
+    for lo, hi in chunks(texts, block):
+        buffer = b"\n".join(texts[lo:hi])
+        at, starts = 0, []
+        while at < len(buffer):
+            to = min(len(buffer), at + block)
+            while to < len(buffer) and not _IS_SPACE[buffer[to]]:
+                to += 1
+            s, e = word_bounds(buffer[at:to])
+            raw = np.frombuffer(buffer, dtype=np.uint8, count=to - at, offset=at)
+            hashes.append(Rolling(BYTE[raw], M1, I1).of(s, e) ^ (e - s).astype(np.uint64))
+            starts.append(s + at)
+            at = to
+        s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        ends.append(total + np.searchsorted(s, np.cumsum([len(t) + 1 for t in texts[lo:hi]])))
+        total += len(s)
+    empty = np.zeros(0, np.uint64)
+    return np.concatenate([empty, *hashes]), np.concatenate([np.zeros(0, np.int64), *ends]).astype(np.int64)
