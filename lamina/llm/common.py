@@ -68,19 +68,23 @@ def partitions(spark: SparkSession) -> int:
 def globally_ordered(df: DataFrame, *order: Column | str, keep=stored) -> DataFrame:
     """Adds `_part` and `_at`: rows sorted by `_part`, then `_at`, are in the given order.
 
-    A range exchange sorts the rows and each task numbers its own, so no task sees them all.
+    A range exchange sorts the rows and each task numbers its own, so no task sees them all. Rows that
+    are equal in the order are sorted by a hash of all their columns, so a task that runs again after a
+    lost executor sends the same rows to the same place; wholly equal rows are spread by a running
+    number, and it doesn't matter which of them is which.
     The outcome is checkpointed because range bounds come from samples: a second evaluation
     could draw others. For rows with texts `keep` can write a table instead, which is compressed.
     """
     n = partitions(df.sparkSession)
-    tie = "_tie"
-    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *order, tie).sortWithinPartitions(*order, tie)
+    ties = ["_same", "_tie"]
+    ranged = df.withColumns({"_same": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_tie": F.monotonically_increasing_id()})
+    ranged = ranged.repartitionByRange(n, *order, *ties).sortWithinPartitions(*order, *ties)
     at = F.monotonically_increasing_id()
     return keep(
         ranged.withColumn("_mid", at)
         .withColumn("_part", F.shiftright("_mid", 33))
         .withColumn("_at", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mid", tie)
+        .drop("_mid", *ties)
     )
 
 

@@ -6,8 +6,8 @@ so all partners of a suffix are in its bucket. In a bucket, suffixes are ordered
 bytes (by a 128-bit hash of these, ties by position), so suffixes that agree that far are neighbours,
 and inside such a class the previous smaller position is the one before and the next larger one the
 one after. A longest previous factor of 400 bytes or more exists just where the previous smaller
-position is in the class: `later` removes these, which keeps the first copy of all. `all` also removes
-the first copy, that is, each byte covered by a 400-byte string that starts anywhere else too.
+position is in the class: `later` removes these (by doc_id), which keeps the first copy. `all` also
+removes the first copy, that is, each byte covered by a 400-byte string that starts anywhere else too.
 
 The order is by hash and not by byte value because only neighbourhood matters here, and factors are
 cut at 400 bytes because longer ones cover the same bytes; a suffix array of the whole corpus would
@@ -36,17 +36,12 @@ def anchors(digits: np.ndarray, ends: np.ndarray, size: int, gram: int = GRAM) -
     """For each window start the place of its smallest gram, and the grams' names by place."""
     n = len(digits)
     at = np.arange(max(0, n - gram + 1))
-    names = Rolling(BYTE[digits.astype(np.uint8)], M1, I1).of(at, at + gram)
+    names = Rolling(BYTE[digits], M1, I1).of(at, at + gram)
     return sliding_argmin(names, size - gram + 1), names
 
 
-def previous_smaller(order, same, which, lo):
-    """The class neighbour before, in order of position, is the previous smaller position."""
-    return same
-
-
 def any_other(order, same, which, lo):
-    """Either neighbour: some other position starts with the same 400 bytes."""
+    """A class neighbour to either side, at a smaller or a larger position, has the same 400 bytes."""
     return same | np.append(same[1:], False)
 
 

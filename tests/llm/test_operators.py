@@ -66,6 +66,28 @@ def test_byte_repeats(spark, crowd):
     assert as_set(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.repeats_bytes(rows))
 
 
+def test_repeats_in_segments(spark):
+    """Texts longer than a segment give the same, wherever the cuts fall."""
+    from dataclasses import replace
+
+    rows = corpus(15, 30)
+    got = recompression.deduplicated(frame(spark, rows), kind=replace(recompression.WORDS, segment=37))
+    assert as_set(got, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.repeats_words(rows))
+    got = previous_factors.deduplicated(frame(spark, rows), kind=replace(previous_factors.BYTES, segment=211))
+    assert as_set(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.repeats_bytes(rows))
+
+
+def test_word_hashes_in_blocks():
+    import numpy as np
+
+    from lamina.llm.repeats import word_units
+
+    texts = [b"a few words", b"", b"  and\tsome more\n", b"x" * 50, b"a few words"]
+    whole, parts = word_units(texts), word_units(texts, block=7)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1]) and list(whole[1]) == [3, 3, 6, 7, 10]
+    assert np.array_equal(whole[0][:3], whole[0][7:])
+
+
 def test_byte_repeats_keep_the_first(spark):
     rows = [(1, "x" + "abcdefghij" * 60), (2, "abcdefghij" * 60 + "tail"), (3, "short")]
     got = {r.doc_id: r for r in previous_factors.deduplicated(frame(spark, rows), remove="later").collect()}
