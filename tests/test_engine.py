@@ -104,6 +104,18 @@ def test_streaming_reads_each_archive_once(spark, tmp_path):
     assert drain() == 3
 
 
+def test_arrivals_by_the_file_stream(spark, tmp_path):
+    from lamina.streaming.arrivals import arriving
+
+    source, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    os.makedirs(source)
+    packed = {r.archive: bytes(r.content) for r in archive.packed(sample(spark), "zip").collect()}
+    for i, name in enumerate(("one.tar", "two.tar")):
+        (source / f"{i}.zip").write_bytes(packed[name])
+        arriving(spark, str(source), includeBody=True).select("path", "body").writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+    assert {(r.path, bytes(r.body)) for r in spark.read.parquet(out).collect()} == {("a.txt", b"first"), ("dir/b.txt", b"second" * 50), ("c", b"")}
+
+
 def test_errors_can_be_rows(spark):
     df = spark.createDataFrame([("bad", b"not an archive"), ("none", None)], "path string, content binary")
     got = archive.entries_of(df, onError="permissive").collect()
