@@ -76,29 +76,24 @@ def pre_tokens(text: str) -> list[str]:
     return [x[1:] for x in PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE))]
 
 
-def frequent(docs: DataFrame, text: str, sample_rows: int, table_size: int) -> list[str]:
-    """The most frequent pre-tokens of a bounded sample of rows."""
+def frequent(docs: DataFrame, text: str, rows: int, characters: int, table_size: int) -> list[str]:
+    """The most frequent pre-tokens of a bounded sample: the first rows, cut to some characters each.
 
-    def tally(batches):
-        import pyarrow as pa
-
-        seen: Tally = Tally()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    seen.update(x for x in pre_tokens(t[:100_000]) if len(x) <= 64)
-        top = seen.most_common(table_size)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["k", "n"])
-
-    found = docs.select(text).limit(sample_rows).mapInArrow(tally, "k string, n long")
-    return [r[0] for r in found.groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(table_size).collect()]
+    take() reads as few partitions as it needs and shuffles nothing; what comes to the driver is at
+    most rows x characters.
+    """
+    seen: Tally = Tally()
+    for (t,) in docs.select(F.substring(text, 1, characters)).take(rows):
+        if t:
+            seen.update(x for x in pre_tokens(t) if len(x) <= 64)
+    return [k for k, _ in seen.most_common(table_size)]
 
 
-def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", sample_rows: int = 2_000, table_size: int = 32_768, name: str = "n_tokens") -> DataFrame:
+def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", sample_rows: int = 1_000, sample_characters: int = 10_000, table_size: int = 32_768, name: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens."""
     spark = docs.sparkSession
     driver = Counter(model)
-    table = {} if driver.whole else {k: driver.encoded(k) for k in frequent(docs, text, sample_rows, table_size)}
+    table = {} if driver.whole else {k: driver.encoded(k) for k in frequent(docs, text, sample_rows, sample_characters, table_size)}
     known = spark.sparkContext.broadcast(table)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
