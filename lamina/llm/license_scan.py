@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are the stretches of a text around cue words. Each is compressed once by itself and
-once per template, the template serving as zstandard raw dictionary; the more a template says what
+Candidate blocks are the stretches of a text around cue words, across line ends, so notices may be
+wrapped and stand in comments. Each is compressed once by itself and once per template, the template serving as zstandard raw dictionary; the more a template says what
 the block says, the smaller the result. Templates are ranked by the size reduction; the best few are
 confirmed by the exact differences in wording, in alphabetical order of names where reductions tie.
 
@@ -13,6 +13,8 @@ rows are scanned each.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -35,24 +37,35 @@ TEMPLATES = {
 }
 #: Lower-case words near which a license may stand.
 CUES = ("licens", "licenc", "copyright", "permission is", "redistribut", "creative commons", "spdx", "warrant")
-#: Characters to each side of a cue that a block may have beyond its line's ends.
+#: Characters other than white space to each side of a cue that a block may have, across line ends.
 REACH = 600
 WORDS = re.compile(r"\w+(?:[.\-]\w+)*")
 
 
+#: A line without words: notices rarely go on beyond it.
+GAP = re.compile(r"\n[^\w\n]*(?=\n)")
+
+
 @dataclass(frozen=True)
 class Match:
-    """A confirmed template: size reduction, and the words that only one side has."""
+    """A confirmed template: where its wording stands, size reduction, and the words that only one side has."""
 
     name: str
+    start: int
+    end: int
     block: str
     reduction: float
+    same: int
     missing: tuple[str, ...]
     extra: tuple[str, ...]
 
+    def order(self) -> tuple:
+        """The match that explains most words comes first."""
+        return len(self.missing) + len(self.extra) - self.same, self.name, self.start, self.end
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Stretches (start, end): lines with a cue, cut REACH characters from it, overlaps joined."""
+
+def cues(text: str) -> list[tuple[int, int]]:
+    """Places (start, end) of all cue words."""
     low = text.lower()
     if len(low) != len(text):  # some capitals grow in lower case: places would shift
         low = text.translate({c: c + 32 for c in range(65, 91)})
@@ -60,12 +73,27 @@ def blocks(text: str) -> list[tuple[int, int]]:
     for cue in CUES:
         at = low.find(cue)
         while at >= 0:
-            start = max(text.rfind("\n", 0, at) + 1, at - REACH)
-            end = text.find("\n", at)
-            found.append((start, min(len(text) if end < 0 else end, at + len(cue) + REACH)))
+            found.append((at, at + len(cue)))
             at = low.find(cue, at + len(cue))
+    return sorted(found)
+
+
+def reaches(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each place the stretch with REACH characters to both sides, white space not counted."""
+    solid = [m.start() for m in re.finditer(r"\S", text)] if places else []
+    return [(solid[max(0, bisect_left(solid, s) - REACH)], solid[min(len(solid), bisect_left(solid, e) + REACH) - 1] + 1) for s, e in places]
+
+
+def line(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch as far as its first and last line go, cut REACH characters from it."""
+    stop = text.find("\n", end)
+    return max(text.rfind("\n", 0, start) + 1, start - REACH), min(len(text) if stop < 0 else stop, end + REACH)
+
+
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Stretches (start, end) around cues, overlaps joined."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted(set(found)):
+    for s, e in reaches(text, cues(text)):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -88,28 +116,74 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
-    def match(self, block: str) -> Match | None:
-        """The template whose wording is in the block, up to 1 - confirmed of its words; of the ranked best."""
-        words = WORDS.findall(block.lower())
-        good = []
-        for reduction, name in self.ranked(block)[: self.best]:
+    def aligned(self, theirs: list[str], words: list[str]) -> list | None:
+        """Runs of equal words, without outer ones that cost more differences than they save."""
+        runs = SequenceMatcher(None, theirs, words, autojunk=False).get_matching_blocks()[:-1]
+        best = None
+        for i in range(len(runs)):
+            n = 0
+            for j in range(i, len(runs)):
+                n += runs[j].size
+                cost = len(theirs) + runs[j].b + runs[j].size - runs[i].b - 2 * n, -n
+                if n >= self.confirmed * len(theirs) and (best is None or cost < best[0]):
+                    best = cost, runs[i : j + 1]
+        return best and best[1]
+
+    def matches(self, text: str, start: int, end: int) -> list[Match]:
+        """Templates whose wording is in the stretch, up to 1 - confirmed of their words; of the ranked best.
+
+        A match over several lines has no more extra words than the template has words, so words that
+        merely stand near each other confirm nothing.
+        """
+        found = [(m.group().lower(), start + m.start(), start + m.end()) for m in WORDS.finditer(text[start:end])]
+        words, good = [w for w, _, _ in found], []
+        there = Counter(words)
+        able = {k for k, t in self.templates.items() if sum((Counter(t) & there).values()) >= self.confirmed * len(t)}
+        for _, name in self.ranked(text[start:end])[: self.best] if able else []:
             theirs = self.templates[name]
-            same = SequenceMatcher(None, theirs, words, autojunk=False).get_matching_blocks()
-            n = sum(m.size for m in same)
-            if reduction > 0 and n >= self.confirmed * len(theirs):
-                a, b = {i for m in same for i in range(m.a, m.a + m.size)}, {i for m in same for i in range(m.b, m.b + m.size)}
-                first, last = min(b), max(b)
-                missing = tuple(w for i, w in enumerate(theirs) if i not in a)
-                extra = tuple(w for i, w in enumerate(words) if first <= i <= last and i not in b)
-                good.append(Match(name, block, reduction, missing, extra))
-        return min(good, key=lambda m: (len(m.missing) + len(m.extra), -len(self.templates[m.name]), m.name), default=None)
+            same = self.aligned(theirs, words) if name in able else None
+            if not same:
+                continue
+            a, b = {i for m in same for i in range(m.a, m.a + m.size)}, {i for m in same for i in range(m.b, m.b + m.size)}
+            first, last = min(b), max(b)
+            missing = tuple(w for i, w in enumerate(theirs) if i not in a)
+            extra = tuple(w for i, w in enumerate(words) if first <= i <= last and i not in b)
+            s, e = found[first][1], found[last][2]
+            if len(extra) > len(theirs) and "\n" in text[s:e]:
+                continue
+            block = text[slice(*line(text, s, e))]
+            reduction = dict((k, r) for r, k in self.ranked(block))[name]
+            if reduction > 0:
+                good.append(Match(name, s, e, block, reduction, len(b), missing, extra))
+        return good
+
+    def notices(self, text: str) -> list[Match]:
+        """Confirmed matches that don't overlap: those that explain most words, in order of place.
+
+        Each cue is looked at in its line, in its paragraph, and as far as it reaches.
+        """
+        places = cues(text)
+        stretches = set()
+        for (s, e), (low, high) in zip(places, reaches(text, places)):
+            stretches |= {line(text, s, e), (low, high)}
+            gaps = [m.end() for m in GAP.finditer(text, low, s)][-1:]
+            after = GAP.search(text, e, high)
+            stretches.add((max([low, *gaps]), after.start() if after else high))
+        taken: list[tuple[int, int]] = []
+        out = []
+        for m in sorted({min(good, key=Match.order) for s, e in stretches if (good := self.matches(text, s, e))}, key=Match.order):
+            at = bisect_left(taken, (m.start, m.end))
+            if (at == 0 or taken[at - 1][1] <= m.start) and (at == len(taken) or m.end <= taken[at][0]):
+                insort(taken, (m.start, m.end))
+                out.append(m)
+        return sorted(out, key=lambda m: m.start)
 
 
 SCHEMA = "doc_id long, n_blocks long, n_matches long, license string, reduction double, n_missing long, n_extra long, block string"
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Per document row: blocks, confirmed blocks, and the confirmed block that saves most."""
+    """Per document row: blocks, confirmed notices, and the notice that saves most, with its lines as block."""
 
     def run(batches):
         import pyarrow as pa
@@ -119,7 +193,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
             rows = []
             for text in batch.column(1).to_pylist():
                 places = blocks(text) if text else []
-                found = [m for m in (scanner.match(text[s:e]) for s, e in places) if m]
+                found = scanner.notices(text) if places else []
                 top = min(found, key=lambda m: (-m.reduction, m.name, m.block), default=None)
                 rows.append((len(places), len(found), *((top.name, round(top.reduction, 6), len(top.missing), len(top.extra), top.block) if top else (None,) * 5)))
             names = [f.split()[0] for f in SCHEMA.split(", ")]

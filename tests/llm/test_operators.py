@@ -205,6 +205,24 @@ def test_license_scan(spark):
     assert got[None].license == "Apache-2.0-header"
 
 
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "        // ", "REM "])
+def test_license_scan_of_wrapped_notices(spark, prefix):
+    import textwrap
+
+    names = sorted(license_scan.TEMPLATES)
+    code = "import os\nprint(os.name)\n\n"
+    rows = [(i, code + textwrap.indent(textwrap.fill(license_scan.TEMPLATES[n], width, break_long_words=False, break_on_hyphens=False), prefix) + "\n\n" + code) for i, n in enumerate(names * 2) for width in [76 if i < len(names) else 40]]
+    got = {r.doc_id: r for r in license_scan.scanned(frame(spark, rows)).collect()}
+    assert [got[i].license for i in range(len(rows))] == names * 2
+    assert all(r.n_missing == 0 and r.n_matches == 1 for r in got.values())
+
+
+def test_license_scan_of_scattered_words(spark):
+    text = "We released it.\nIt went under,\nas the people of that time said in letters\nof MIT to each other.\nNo license."
+    assert license_scan.scanned(frame(spark, [(1, text)])).first().license is None
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "a", "Hello there my friends.\nSecond line of text."),
