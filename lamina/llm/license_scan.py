@@ -2,11 +2,13 @@
 
 Candidate blocks are the stretches of a text around cue words, across line ends, so notices may be
 wrapped and stand in comments. Each is compressed once by itself and once per template, the template serving as zstandard raw dictionary; the more a template says what
-the block says, the smaller the result. Templates are ranked by the size reduction; the best few are
-confirmed by the exact differences in wording, in alphabetical order of names where reductions tie.
+the block says, the smaller the result. Every template is compared by the exact differences in wording
+and confirmed where it also saves bytes; a confirmed notice is cut out and the rest is compared again.
+The notice with the largest size reduction is named first, in alphabetical order where reductions tie.
 
 Whole texts are searched, every cue counts, nothing leaves the row: no shuffle. Null and empty texts
-have no blocks; a text without confirmed license has null there. Extra columns are ignored; repeated
+have no blocks; a text without confirmed license has null there and no
+licenses. Extra columns are ignored; repeated
 rows are scanned each.
 """
 
@@ -102,19 +104,18 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], level: int = 9, best: int = 3, confirmed: float = 0.9):
+    def __init__(self, templates: dict[str, str], level: int = 9, confirmed: float = 0.9):
         import zstandard as z
 
         self.templates = {k: WORDS.findall(v.lower()) for k, v in templates.items()}
         self.plain = z.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
         self.given = {k: z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(v.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in sorted(templates.items())}
-        self.best, self.confirmed = best, confirmed
+        self.confirmed = confirmed
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Bytes saved as a share of the block's own compressed size, the largest first."""
+    def reduction(self, block: str, name: str) -> float:
+        """Bytes saved with a template as a share of the block's own compressed size."""
         raw = block.encode("utf-8", "replace")
-        alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        return 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
 
     def aligned(self, theirs: list[str], words: list[str]) -> list | None:
         """Runs of equal words, without outer ones that cost more differences than they save."""
@@ -130,7 +131,7 @@ class Scanner:
         return best and best[1]
 
     def matches(self, text: str, start: int, end: int) -> list[Match]:
-        """Templates whose wording is in the stretch, up to 1 - confirmed of their words; of the ranked best.
+        """All templates whose wording is in the stretch, up to 1 - confirmed of their words, and that save bytes of its lines.
 
         A match over several lines has no more extra words than the template has words, so words that
         merely stand near each other confirm nothing.
@@ -138,10 +139,10 @@ class Scanner:
         found = [(m.group().lower(), start + m.start(), start + m.end()) for m in WORDS.finditer(text[start:end])]
         words, good = [w for w, _, _ in found], []
         there = Counter(words)
-        able = {k for k, t in self.templates.items() if sum((Counter(t) & there).values()) >= self.confirmed * len(t)}
-        for _, name in self.ranked(text[start:end])[: self.best] if able else []:
-            theirs = self.templates[name]
-            same = self.aligned(theirs, words) if name in able else None
+        for name, theirs in self.templates.items():
+            # counts of words bound what can be equal in order
+            able = sum((Counter(theirs) & there).values()) >= self.confirmed * len(theirs)
+            same = self.aligned(theirs, words) if able else None
             if not same:
                 continue
             a, b = {i for m in same for i in range(m.a, m.a + m.size)}, {i for m in same for i in range(m.b, m.b + m.size)}
@@ -152,7 +153,7 @@ class Scanner:
             if len(extra) > len(theirs) and "\n" in text[s:e]:
                 continue
             block = text[slice(*line(text, s, e))]
-            reduction = dict((k, r) for r, k in self.ranked(block))[name]
+            reduction = self.reduction(block, name)
             if reduction > 0:
                 good.append(Match(name, s, e, block, reduction, len(b), missing, extra))
         return good
@@ -160,30 +161,49 @@ class Scanner:
     def notices(self, text: str) -> list[Match]:
         """Confirmed matches that don't overlap: those that explain most words, in order of place.
 
-        Each cue is looked at in its line, in its paragraph, and as far as it reaches.
+        Each cue is looked at in its line, in its paragraph, and as far as it reaches. What was confirmed
+        is cut out and cues outside of it are looked at again in what is left, until nothing is found.
         """
         places = cues(text)
-        stretches = set()
-        for (s, e), (low, high) in zip(places, reaches(text, places)):
-            stretches |= {line(text, s, e), (low, high)}
-            gaps = [m.end() for m in GAP.finditer(text, low, s)][-1:]
-            after = GAP.search(text, e, high)
-            stretches.add((max([low, *gaps]), after.start() if after else high))
+        around = list(zip(places, reaches(text, places)))
         taken: list[tuple[int, int]] = []
-        out = []
-        for m in sorted({min(good, key=Match.order) for s, e in stretches if (good := self.matches(text, s, e))}, key=Match.order):
+        seen: dict[tuple[int, int], list[Match]] = {}
+        out: list[Match] = []
+
+        def fits(m: Match) -> bool:
             at = bisect_left(taken, (m.start, m.end))
-            if (at == 0 or taken[at - 1][1] <= m.start) and (at == len(taken) or m.end <= taken[at][0]):
-                insort(taken, (m.start, m.end))
-                out.append(m)
+            return (at == 0 or taken[at - 1][1] <= m.start) and (at == len(taken) or m.end <= taken[at][0])
+
+        while around:
+            stretches, rest = set(), []
+            for (s, e), (low, high) in around:
+                at = bisect_left(taken, (e,))
+                if at and taken[at - 1][1] > s:
+                    continue
+                low, high = max([low, *[t[1] for t in taken[at - 1 : at]]]), min([high, *[t[0] for t in taken[at : at + 1]]])
+                rest.append(((s, e), (low, high)))
+                first, last = line(text, s, e)
+                gaps = [m.end() for m in GAP.finditer(text, low, s)][-1:]
+                after = GAP.search(text, e, high)
+                stretches |= {(max(first, low), min(last, high)), (low, high), (max([low, *gaps]), after.start() if after else high)}
+            around = rest
+            for stretch in stretches - seen.keys():
+                seen[stretch] = self.matches(text, *stretch)
+            n = len(out)
+            for m in sorted({m for stretch in stretches for m in seen[stretch]}, key=Match.order):
+                if fits(m):
+                    insort(taken, (m.start, m.end))
+                    out.append(m)
+            if len(out) == n:
+                break
         return sorted(out, key=lambda m: m.start)
 
 
-SCHEMA = "doc_id long, n_blocks long, n_matches long, license string, reduction double, n_missing long, n_extra long, block string"
+SCHEMA = "doc_id long, n_blocks long, n_matches long, license string, reduction double, n_missing long, n_extra long, block string, licenses array<string>"
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Per document row: blocks, confirmed notices, and the notice that saves most, with its lines as block."""
+    """Per document row: blocks, confirmed notices, and the notice that saves most, with its lines as block; and the names of all."""
 
     def run(batches):
         import pyarrow as pa
@@ -195,9 +215,9 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
                 places = blocks(text) if text else []
                 found = scanner.notices(text) if places else []
                 top = min(found, key=lambda m: (-m.reduction, m.name, m.block), default=None)
-                rows.append((len(places), len(found), *((top.name, round(top.reduction, 6), len(top.missing), len(top.extra), top.block) if top else (None,) * 5)))
+                rows.append((len(places), len(found), *((top.name, round(top.reduction, 6), len(top.missing), len(top.extra), top.block) if top else (None,) * 5), sorted({m.name for m in found})))
             names = [f.split()[0] for f in SCHEMA.split(", ")]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
             cols = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names)
 

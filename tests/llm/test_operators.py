@@ -223,6 +223,20 @@ def test_license_scan_of_scattered_words(spark):
     assert license_scan.scanned(frame(spark, [(1, text)])).first().license is None
 
 
+def test_license_scan_names_all(spark):
+    t = license_scan.TEMPLATES
+    rows = [
+        (1, "Released under the MIT License. Docs: Licensed under CC BY-SA 4.0."),
+        (2, t["MIT"] + "\nsome words\n" + t["GPL-3.0"]),
+        (3, " ".join(t[k] for k in sorted(t)[1:])),
+        (4, "\n".join([t["MIT"]] * 30 + [t["MPL-2.0"]])),
+        (5, "no license"),
+    ]
+    got = {r.doc_id: r for r in license_scan.scanned(frame(spark, rows)).collect()}
+    assert [got[i].licenses for i in (1, 2, 3, 4, 5)] == [["CC-BY-SA-4.0", "MIT"], ["GPL-3.0", "MIT"], sorted(t)[1:], ["MIT", "MPL-2.0"], []]
+    assert [got[i].n_matches for i in (1, 2, 3, 4, 5)] == [2, 2, len(t) - 1, 31, 0]
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "a", "Hello there my friends.\nSecond line of text."),
