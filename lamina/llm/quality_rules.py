@@ -1,10 +1,12 @@
 """Quality rules: text statistics and a decision list learned by sequential covering.
 
 Statistics are computed inside each row with array functions, without a shuffle. The list is learned
-from labelled statistics that are first counted per vector of bins, so every later step works on
+from labelled statistics that are first counted per vector of features, so every later step works on
 counts. A rule grows by the threshold condition with the best gain on two thirds of the counts, is
-pruned on the last third, and takes the rows it covers out of the rest. The list becomes one Spark
-expression of nested conditions. The driver holds bin counts of one condition at a time, never rows.
+pruned on the last third, and takes the rows it covers out of the rest. Every value of a feature can be
+a threshold. A rule that fails is set aside with its first feature and direction, and the next best
+start is tried; learning ends when all have failed. The list becomes one Spark expression of nested
+conditions. The driver holds the best condition per feature and direction, never rows.
 
 Null texts and texts without words have zeros everywhere and fail the base rule. Without labels, or
 with labels of one kind only, the list is empty and the base rule decides. Labels other than 0 and 1,
@@ -13,10 +15,9 @@ null ones, and those of unknown documents are ignored; repeated labels count as
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, let, stored
@@ -115,41 +116,53 @@ def _totals(counts: DataFrame) -> dict[bool, tuple[int, int]]:
     return {r["held"]: (r["p"], r["n"]) for r in rows}
 
 
-def _best(counts: DataFrame, p0: int, n0: int) -> tuple[float, tuple[str, str, int]] | None:
-    """Condition of the largest FOIL gain on the growing part; ties go to the first in order."""
-    stacked = counts.where("not held").select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in FEATURES])).alias("x"), "pos", "neg")
-    rows = stacked.groupBy("x.f", "x.v").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()  # features x bins at most
-    base = math.log2(p0 / (p0 + n0))
-    best = None
-    for f in FEATURES:
-        p = n = 0
-        values = sorted((r["v"], r["p"], r["n"]) for r in rows if r["f"] == f)
-        for v, dp, dn in values[:-1]:
-            p, n = p + dp, n + dn
-            for op, a, b in (("<=", p, n), (">", p0 - p, n0 - n)):
-                gain = a * (math.log2(a / (a + b)) - base) if a else 0.0
-                if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
-                    best = (gain, (f, op, v))
-    return best
-
-
-def binned(labelled: DataFrame, label: str, bins: int = 64) -> DataFrame:
-    """Counts per vector of bins: feature columns hold the bin's upper bound, `held` marks the pruning part."""
-    rows = stored(labelled.select(F.col(label).alias("y"), (F.pmod(F.xxhash64(F.col("_id")), F.lit(3)) == 0).alias("held"), *[c.alias(n) for n, c in features().items()]))
-    cuts = rows.agg(*[F.percentile_approx(n, [i / bins for i in range(1, bins)], 10_000).alias(n) for n in FEATURES]).first()
-    for name in FEATURES:
-        bounds = sorted(set(cuts[name] or []))
-        rows = rows.withColumn(name, F.coalesce(*[F.when(F.col(name) <= b, F.lit(b).cast("long")) for b in bounds], F.lit((1 << 62))))
+def _best(counts: DataFrame, p0: int, n0: int) -> list[tuple[tuple[str, str, int], int, int]]:
+    """The condition of the largest FOIL gain on the growing part per feature and direction, with what it
+    covers; the best first, ties in order of features, thresholds and directions."""
+    stacked = counts.where("not held").select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("v")) for i, f in enumerate(FEATURES)])).alias("x"), "pos", "neg")
+    values = stacked.groupBy(F.col("x.f").alias("f"), F.col("x.v").alias("v")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    # a window per feature, over its distinct values on at most MAX_LABELLED rows
+    upto = Window.partitionBy("f").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.select("f", "v", F.sum("p").over(upto).alias("p"), F.sum("n").over(upto).alias("n")).where((F.col("p") + F.col("n") > 0) & (F.col("p") + F.col("n") < p0 + n0))
+    sides = F.array(F.struct(F.lit(0).alias("op"), F.col("p").alias("a"), F.col("n").alias("b")), F.struct(F.lit(1).alias("op"), (p0 - F.col("p")).alias("a"), (n0 - F.col("n")).alias("b")))
+    found = values.select("f", "v", F.explode(sides).alias("s")).select("f", "v", "s.*").where("a > 0")
+    gain = F.round(F.col("a") * (F.log2(F.col("a") / (F.col("a") + F.col("b"))) - F.log2(F.lit(p0 / (p0 + n0)))), 9)
+    top = found.withColumn("gain", gain).where("gain > 0").groupBy("f", "op").agg(F.max(F.struct("gain", (-F.col("v")).alias("v"), "a", "b")).alias("m"))
+    rows = top.select("f", "op", "m.*").collect()  # a row per feature and direction
+    rows.sort(key=lambda r: (-r["gain"], r["f"], -r["v"], r["op"]))
+    return [((FEATURES[r["f"]], ("<=", ">")[r["op"]], -r["v"]), r["a"], r["b"]) for r in rows]
+
+
+def counted(labelled: DataFrame, label: str) -> DataFrame:
+    """Counts per vector of features; `held` marks the pruning part."""
+    rows = labelled.select(F.col(label).alias("y"), (F.pmod(F.xxhash64(F.col("_id")), F.lit(3)) == 0).alias("held"), *[c.alias(n) for n, c in features().items()])
     return stored(rows.groupBy("held", *FEATURES).agg(F.sum("y").alias("one"), F.sum(1 - F.col("y")).alias("zero")))
 
 
+def _grown(left: DataFrame, start: tuple[str, str, int], p: int, n: int, max_conditions: int) -> Rule:
+    """The rule that grows from a first condition, pruned; right and covered are those of the pruning part."""
+    conditions = [start]
+    while len(conditions) < max_conditions and n:
+        found = _best(left.where(_met(conditions)), p, n)
+        if not found:
+            break
+        condition, p, n = found[0]
+        conditions.append(condition)
+    # prune: the shortest prefix of conditions that judges best on the held part
+    held = left.where("held").agg(*[c for k in range(1, len(conditions) + 1) for c in (F.sum(F.when(_met(conditions[:k]), F.col("pos")).otherwise(0)).alias(f"p{k}"), F.sum(F.when(_met(conditions[:k]), F.col("neg")).otherwise(0)).alias(f"n{k}"))]).first()
+    worth = [((held[f"p{k}"] or 0) - (held[f"n{k}"] or 0)) / max(1, (held[f"p{k}"] or 0) + (held[f"n{k}"] or 0)) for k in range(1, len(conditions) + 1)]
+    k = 1 + worth.index(max(worth))
+    right, wrong = held[f"p{k}"] or 0, held[f"n{k}"] or 0
+    return Rule(conditions[:k], 0, right, right + wrong)
+
+
 def learned(labelled: DataFrame, label: str = "quality", target: int = 0, max_rules: int = 6, max_conditions: int = 3, min_covered: int = 8, min_precision: float = 0.9) -> DecisionList:
     """Rules for the label `target` in order, everything else gets the other label.
 
     `labelled` has the statistics, the label and `_id`. Only rules whose precision on the pruning part
     reaches `min_precision` are kept, so that rows of the other label are left alone.
     """
-    counts = binned(labelled.where(F.col(label).isin(0, 1)), label)
+    counts = counted(labelled.where(F.col(label).isin(0, 1)), label)
     pos, neg = ("one", "zero") if target == 1 else ("zero", "one")
     counts = counts.select("held", *FEATURES, F.col(pos).alias("pos"), F.col(neg).alias("neg"))
     out = DecisionList(default=1 - target)
@@ -158,26 +171,16 @@ def learned(labelled: DataFrame, label: str = "quality", target: int = 0, max_ru
         left = counts
         for done in remaining:
             left = left.where(~_met(done))
-        conditions: list[tuple[str, str, int]] = []
         p0, n0 = _totals(left).get(False, (0, 0))
-        while len(conditions) < max_conditions and p0 and n0:
-            found = _best(left.where(_met(conditions)), p0, n0)
-            if found is None:
+        for start, p1, n1 in _best(left, p0, n0) if p0 and n0 else []:
+            rule = _grown(left, start, p1, n1, max_conditions)
+            if rule.covered >= max(1, min_covered // 3) and rule.right >= min_precision * rule.covered:
                 break
-            conditions.append(found[1])
-            p0, n0 = _totals(left.where(_met(conditions))).get(False, (0, 0))
-        if not conditions:
-            break
-        # prune: the shortest prefix of conditions that judges best on the held part
-        held = left.where("held").agg(*[c for k in range(1, len(conditions) + 1) for c in (F.sum(F.when(_met(conditions[:k]), F.col("pos")).otherwise(0)).alias(f"p{k}"), F.sum(F.when(_met(conditions[:k]), F.col("neg")).otherwise(0)).alias(f"n{k}"))]).first()
-        worth = [((held[f"p{k}"] or 0) - (held[f"n{k}"] or 0)) / max(1, (held[f"p{k}"] or 0) + (held[f"n{k}"] or 0)) for k in range(1, len(conditions) + 1)]
-        k = 1 + worth.index(max(worth))
-        conditions = conditions[:k]
-        p, n = held[f"p{k}"] or 0, held[f"n{k}"] or 0
-        if p + n < max(1, min_covered // 3) or p < min_precision * (p + n):
+        else:
             break
-        out.rules.append(Rule(conditions, target, p, p + n))
-        remaining.append(conditions)
+        rule.label = target
+        out.rules.append(rule)
+        remaining.append(rule.conditions)
     return out
 
 

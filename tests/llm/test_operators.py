@@ -134,6 +134,32 @@ def test_learned_rules_find_a_planted_threshold(spark):
     assert not none.rules and nothing.where("kept").count() == 400
 
 
+def labelled_rows(spark, rows):
+    """(quality, mean_word, symbol_rate) as statistics of texts of 100 words."""
+    data = [(i, y, 100, m // 10, m // 10 * s // 1000, 0, 0) for i, (y, m, s) in enumerate(rows)]
+    return spark.createDataFrame(data, "_id long, quality long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+
+
+@pytest.mark.parametrize("bad", [40, 20])
+def test_learned_rules_find_a_rare_class(spark, bad):
+    r = random.Random(11)
+    rows = [(1, r.randint(4000, 6000), 0) for _ in range(4000)] + [(0, r.randint(6200, 8000), 0) for _ in range(bad)]
+    found = quality_rules.learned(labelled_rows(spark, rows))
+    judged = labelled_rows(spark, rows).withColumn("label", found.column())
+    assert judged.where("quality = 0 and label = 1").count() <= bad // 10 and judged.where("quality = 1 and label = 0").count() == 0
+
+
+def test_learned_rules_go_on_after_a_failed_one(spark):
+    """A large class that no threshold tells apart well comes first; the clean one behind it is still learned."""
+    r = random.Random(12)
+    rows = [(r.choice([0, 1]), r.randint(6000, 7000), 0) for _ in range(3000)] + [(1, r.randint(4000, 7000), 0) for _ in range(3000)]
+    rows += [(0, r.randint(4000, 7000), 300) for _ in range(300)]
+    found = quality_rules.learned(labelled_rows(spark, rows))
+    assert any(c[0] == "symbol_rate" for rule in found.rules for c in rule.conditions)
+    judged = labelled_rows(spark, rows).withColumn("label", found.column())
+    assert judged.where("quality = 0 and n_symbols > 0 and label = 1").count() == 0
+
+
 def test_decontamination(spark):
     rows = corpus(8)
     words = [t.split() for _, t in rows if t and len(t.split()) > 80]
