@@ -2,8 +2,9 @@
 
 Each line of a message has a quote level, the number of `>` before it. Neighbouring lines of one level
 are a passage. Passages are normalised (lower case, words joined by one space) and hashed, whole and by
-line; so is what messages say themselves. A message replies to the latest earlier message of its
-conversation that says something it quotes at level 1; deeper levels are linked alike and name the
+line; so is what messages say themselves. A quoted passage comes from the latest earlier message of its
+conversation that says all of it, or else its lines come from the latest ones that say them. A message
+replies to the latest message it quotes at level 1; deeper levels are linked alike and name the
 messages before. Without such a message it starts a thread. Conversations come out without quotes and
 in reply order: by the thread's first turn, then by depth, then by turn.
 
@@ -12,8 +13,10 @@ a conversation with a third of all rows is spread. Threads are followed by point
 come from a global order. DataFrame functions alone.
 
 Null texts are empty. Rows with one conv_id and turn are parts of one message and share its links. Rows
-without conv_id are one conversation, rows without turn are never linked and come first. Passages of
-fewer than `min_chars` normalised characters link nothing. Extra columns are carried along.
+without conv_id are one conversation, rows without turn are never linked and come first. Passages and
+lines of fewer than `min_chars` normalised characters are ambiguous: they link where nothing longer of
+their level does. Text without letters or digits stands for itself; blank lines link nothing. Extra
+columns are carried along.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ def level(line: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(words == "", F.trim(F.regexp_replace(text, r"\s+", " "))).otherwise(words)
 
 
 def lines(text: Column) -> Column:
@@ -60,10 +64,16 @@ def passages(read: Column) -> Column:
     return F.aggregate(read, empty, step)
 
 
-def units(read: Column) -> Column:
-    """Distinct (level, text) that can be matched: whole passages, and lines."""
-    both = F.concat(read, passages(read))
-    return F.array_distinct(F.transform(both, lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("text"))))
+def units(read: Column, quoted: bool) -> Column:
+    """Distinct (level, passage, whole, text) that can be matched, of what is quoted or said: whole passages, and their lines."""
+    wanted = F.filter(passages(read), lambda p: (p["level"] > 0) if quoted else (p["level"] == 0))
+
+    def of(p: Column) -> Column:
+        passage = normal(p["body"])
+        one = lambda body, whole: F.struct(p["level"].alias("level"), passage.alias("passage"), F.lit(whole).alias("whole"), normal(body).alias("text"))
+        return F.concat(F.array(one(p["body"], True)), F.transform(F.split(p["body"], "\n"), lambda x: one(x, False)))
+
+    return F.array_distinct(F.flatten(F.transform(wanted, of)))
 
 
 def own_text(read: Column) -> Column:
@@ -73,22 +83,41 @@ def own_text(read: Column) -> Column:
 
 
 def linked(messages: DataFrame, min_chars: int = 8) -> DataFrame:
-    """(conv, turn, level, source): the latest earlier message that says what is quoted at the level."""
-    found = messages.where("turn is not null").select("conv", "turn", F.explode(units(F.col("_lines"))).alias("u"))
-    found = found.where((F.col("u.level") >= 0) & (F.char_length("u.text") >= min_chars)).select("conv", "turn", F.col("u.level").alias("level"), F.xxhash64("u.text").alias("h"), F.md5("u.text").alias("h2"))
-    quoted = stored(found.where("level > 0").distinct())
+    """(conv, turn, level, passage, weak, source): what quoted passages come from, one row or one per line that links.
+
+    `weak` marks short units; all that link come out.
+    """
+
+    def found(quoted: bool) -> DataFrame:
+        out = messages.where("turn is not null").select("conv", "turn", F.explode(units(F.col("_lines"), quoted)).alias("u"))
+        text = F.col("u.text")
+        return out.where(text != "").select("conv", "turn", F.col("u.level").alias("level"), F.md5("u.passage").alias("passage"), F.when(F.col("u.whole"), 0).otherwise(1).alias("part"), (F.char_length(text) < min_chars).alias("weak"), F.xxhash64(text).alias("h"), F.md5(text).alias("h2"))
+
+    quoted = stored(found(True).distinct())
     if quoted.isEmpty():
-        return quoted.select("conv", "turn", "level", F.col("turn").alias("source"))
+        return quoted.select("conv", "turn", "level", "passage", "weak", F.col("turn").alias("source"))
     key = ["conv", "h", "h2"]
-    said = found.where("level = 0").join(quoted.select(*key).distinct(), key, "left_semi").select(*key, "turn").distinct()
-    rows = quoted.select(*key, "turn", "level", F.lit(None).cast("long").alias("said")).unionByName(said.select(*key, "turn", F.lit(None).cast("int").alias("level"), F.col("turn").alias("said")))
+    said = found(False).join(quoted.select(*key).distinct(), key, "left_semi").select(*key, "turn").distinct()
+    asked = quoted.select(*key, "turn").distinct()
+    rows = asked.select(*key, "turn", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("said")).unionByName(said.select(*key, "turn", F.lit(False).alias("asks"), F.col("turn").alias("said")))
     rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
     near = Window.partitionBy(*key, "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    ends = said.withColumn("block", F.floor(F.col("turn") / BLOCK)).unionByName(quoted.select(*key, F.lit(None).cast("long").alias("turn"), F.floor(F.col("turn") / BLOCK).alias("block")))
+    ends = said.withColumn("block", F.floor(F.col("turn") / BLOCK)).unionByName(asked.select(*key, F.lit(None).cast("long").alias("turn"), F.floor(F.col("turn") / BLOCK).alias("block")))
     ends = ends.groupBy(*key, "block").agg(F.max("turn").alias("end"))
     far = ends.withColumn("far", F.max("end").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("end")
-    rows = rows.withColumn("near", F.max("said").over(near)).where("level is not null").join(far, [*key, "block"])
-    return rows.withColumn("source", F.coalesce("near", "far")).where("source is not null").groupBy("conv", "turn", "level").agg(F.max("source").alias("source"))
+    rows = rows.withColumn("near", F.max("said").over(near)).where("asks").join(far, [*key, "block"])
+    sources = rows.withColumn("source", F.coalesce("near", "far")).where("source is not null").select(*key, "turn", "source")
+    links = quoted.join(sources, [*key, "turn"])
+    # a passage that is known as a whole isn't looked up by lines
+    parts = Window.partitionBy("conv", "turn", "level", "passage")
+    links = links.withColumn("first", F.min("part").over(parts)).where("part = first")
+    return links.select("conv", "turn", "level", F.col("h2").alias("passage"), "weak", "source").distinct()
+
+
+def parents_of(links: DataFrame) -> DataFrame:
+    """(conv, turn, source): the latest message quoted at level 1, short units only where no longer one links."""
+    best = F.max(F.struct((~F.col("weak")).alias("strong"), F.col("source").alias("source")))["source"]
+    return links.where("level = 1").groupBy("conv", "turn").agg(best.alias("source"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -109,7 +138,7 @@ def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
     scratch = Scratch(conversations.sparkSession)
     keyed = conversations.withColumns({"_conv": F.struct(F.col(conv)), "_turn": F.col(turn).cast("long"), "_lines": lines(F.col(text))})
     links = linked(keyed.select(F.col("_conv").alias("conv"), F.col("_turn").alias("turn"), "_lines"), min_chars)
-    parents = stored(links.where("level = 1").select("conv", "turn", "source"))
+    parents = stored(parents_of(links))
     above = parents.join(threads(parents), ["conv", "turn"]).withColumnsRenamed({"conv": "_conv", "turn": "_turn"})
     out = keyed.join(above, ["_conv", "_turn"], "left")
     passage = passages(F.col("_lines"))

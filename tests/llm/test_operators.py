@@ -286,6 +286,26 @@ def test_quotation_linking(spark):
     assert chat_quotes.formatted(df.limit(0)).count() == 0
 
 
+def chat(spark, *texts):
+    """The messages of one conversation, by turn."""
+    rows = [(1, i, "a", t) for i, t in enumerate(texts)]
+    got = chat_quotes.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return [r for r in got.orderBy("turn").collect()]
+
+
+def test_short_quotes_link(spark):
+    got = chat(spark, "Yes.", "> Yes.\nso be it", "你好吗", "> 你好吗\n很好", "👍", "> 👍\nfine with me", "> \nnothing quoted", "ok", "> ok\nfirst", "ok", "> ok\nsecond")
+    assert [r.parent_turn for r in got] == [None, 0, None, 2, None, 4, None, None, 7, None, 9]
+
+
+def test_long_quotes_link_before_short_ones(spark):
+    whole = "a line that is long enough\nok"
+    got = chat(spark, whole, "another long line here\nok", "> a line that is long enough\n> ok\nanswer", "> a line that is long enough\n> never said\n\n> ok\nanswer")
+    assert [r.parent_turn for r in got] == [None, None, 0, 0]
+    got = chat(spark, whole, "nothing in it", "ok", "> a line that is long enough\n> ok\nanswer")
+    assert got[3].parent_turn == 0
+
+
 def test_long_reply_chains(spark):
     """A conversation longer than a block of turns, each message quoting the one before."""
     n = chat_quotes.BLOCK + 40
