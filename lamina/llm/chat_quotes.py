@@ -115,9 +115,11 @@ def linked(messages: DataFrame, min_chars: int = 8) -> DataFrame:
 
 
 def parents_of(links: DataFrame) -> DataFrame:
-    """(conv, turn, source): the latest message quoted at level 1, short units only where no longer one links."""
-    best = F.max(F.struct((~F.col("weak")).alias("strong"), F.col("source").alias("source")))["source"]
-    return links.where("level = 1").groupBy("conv", "turn").agg(best.alias("source"))
+    """(conv, turn, source, quotes): the latest message quoted at the shallowest level that links, short units
+    only where no longer one does; and all links as array of (level, passage, source)."""
+    best = F.max(F.struct((-F.col("level")).alias("level"), (~F.col("weak")).alias("strong"), F.col("source").alias("source")))["source"]
+    quotes = F.array_sort(F.collect_set(F.struct("level", "passage", "source")))
+    return links.groupBy("conv", "turn").agg(best.alias("source"), quotes.alias("quotes"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -131,21 +133,24 @@ def threads(parents: DataFrame) -> DataFrame:
 
 
 def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", min_chars: int = 8) -> DataFrame:
-    """The rows with n_quotes, max_level, parent_turn, thread_turn, depth, position and clean_text.
+    """The rows with n_quotes, max_level, quotes, parent_turn, thread_turn, depth, position and clean_text.
 
+    quotes has (level, passage, source) of every quoted passage or line that links, passage being the MD5
+    of its normal form and source the turn that says it.
     position counts from 0 inside a conversation, in reply order.
     """
     scratch = Scratch(conversations.sparkSession)
     keyed = conversations.withColumns({"_conv": F.struct(F.col(conv)), "_turn": F.col(turn).cast("long"), "_lines": lines(F.col(text))})
     links = linked(keyed.select(F.col("_conv").alias("conv"), F.col("_turn").alias("turn"), "_lines"), min_chars)
     parents = stored(parents_of(links))
-    above = parents.join(threads(parents), ["conv", "turn"]).withColumnsRenamed({"conv": "_conv", "turn": "_turn"})
+    above = parents.join(threads(parents.drop("quotes")), ["conv", "turn"]).withColumnsRenamed({"conv": "_conv", "turn": "_turn"})
     out = keyed.join(above, ["_conv", "_turn"], "left")
     passage = passages(F.col("_lines"))
     out = out.withColumns(
         {
             "n_quotes": F.size(F.filter(passage, lambda x: x["level"] > 0)),
             "max_level": F.greatest(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0)),
+            "quotes": F.coalesce("quotes", F.array().cast("array<struct<level:int,passage:string,source:bigint>>")),
             "parent_turn": F.col("source"),
             "thread_turn": F.coalesce("root", "_turn"),
             "depth": F.coalesce("depth", F.lit(0).cast("long")),

@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_quotes.formatted(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "parent_turn", "thread_turn", "depth", "position", "clean_text")
+    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "parent_turn", "thread_turn", "depth", "position", "clean_text", "quotes")
 
 
 @query

@@ -306,6 +306,12 @@ def test_long_quotes_link_before_short_ones(spark):
     assert got[3].parent_turn == 0
 
 
+def test_nested_quotes_are_linked(spark):
+    got = chat(spark, "the very first message", "> the very first message\nthe second message", ">> the very first message\n> the second message\nthe third message", ">> the very first message\nonly the deeper level", "> the second message\ntext\n> the third message\nboth", "> the second message\n> the third message\nadjacent")
+    assert [r.parent_turn for r in got] == [None, 0, 1, 0, 2, 2]
+    assert [sorted((q.level, q.source) for q in r.quotes) for r in got] == [[], [(1, 0)], [(1, 1), (2, 0)], [(2, 0)], [(1, 1), (1, 2)], [(1, 1), (1, 2)]]
+
+
 def test_long_reply_chains(spark):
     """A conversation longer than a block of turns, each message quoting the one before."""
     n = chat_quotes.BLOCK + 40
