@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -176,3 +180,17 @@ def test_catalog_names():
     from lamina.plans import catalog
 
     assert catalog.find("SevenZip") == ("archive", "7z") and catalog.find(".jar") == ("archive", "zip") and catalog.find("unix-compress") == ("codec", "compress") and catalog.find("zst") == ("codec", "zstd") and catalog.find("nothing") is None
+
+
+@pytest.mark.parametrize("kept", ["", "corpus_pipeline.py"])
+def test_entry_without_the_training_data_operators(tmp_path, kept):
+    """Their subpackage, their tests and the pipeline can go; the pipeline alone may be left behind."""
+    root = Path(__file__).parent.parent
+    for name in ("__spark_entry__.py", "lamina", *filter(None, [kept])):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q; print('fine')"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120)
+    assert done.stdout.strip() == "fine", done.stderr
