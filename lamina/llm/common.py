@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,15 @@ NULL_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is set a temporary one serves a local master, whose
+    tasks all see it; on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lamina-"))
     return sc.getCheckpointDir()
 
@@ -61,6 +65,21 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def aside(df: DataFrame, **needed: Column) -> DataFrame:
+    """The caller's columns put away in one struct `_row`, beside columns of the operator's own naming,
+    so that no name of the caller's can clash with one of these."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in needed.items()])
+
+
+def beside(df: DataFrame, *results: str, **renamed: str) -> DataFrame:
+    """The caller's columns again, then the results (name=column for a column of another name). A column
+    of the caller's with the name of a result, in any case, gives way to it."""
+    names = {**{r: r for r in results}, **renamed}
+    taken = {n.lower() for n in names}
+    own = [F.col("_row")[c].alias(c) for c in df.schema["_row"].dataType.names if c.lower() not in taken]
+    return df.select(*own, *[F.col(c).alias(n) for n, c in names.items()])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -152,6 +171,42 @@ class Rolling:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
 
+class PrimeRolling:
+    """Hashes of ranges like Rolling's, modulo two primes below 2^32: strings on which a modulus of 2^64
+    fails, whatever its base, are told apart here."""
+
+    PRIMES = (((1 << 31) - 1, 1_103_515_245), (4_294_967_291, 2_891_336_453))
+
+    def __init__(self, digits: np.ndarray):
+        n = len(digits)
+        self.sides = []
+        for prime, base in self.PRIMES:
+            p = np.uint64(prime)
+            prefix = np.zeros(n + 1, dtype=np.uint64)
+            # below 2^32 each, so up to 2^32 of them add up without overflow
+            np.cumsum((digits % p) * prime_powers(prime, base, n)[:n] % p, out=prefix[1:])
+            self.sides.append((p, prefix % p, prime_powers(prime, pow(base, -1, prime), n)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = ((prefix[end] + p - prefix[start]) % p * inverse[start] % p for p, prefix, inverse in self.sides)
+        return mix(a << np.uint64(32) | b)
+
+
+def prime_powers(prime: int, base: int, n: int) -> np.ndarray:
+    """base^0 .. base^n modulo a prime below 2^32, by doubling; a worker keeps the longest made so far."""
+    key = -base * (1 << 32) - prime
+    if key not in _POWERS or len(_POWERS[key]) <= n:
+        size, p = max(n, 1 << 16) + 1, np.uint64(prime)
+        out = np.ones(size, dtype=np.uint64)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % p
+            done += more
+        _POWERS[key] = out
+    return _POWERS[key][: n + 1]
+
+
 def sliding_argmin(values: np.ndarray, width: int, bits: int = 32) -> np.ndarray:
     """For each window of `width` values the position of its smallest one, the leftmost among equals.
 

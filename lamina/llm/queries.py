@@ -67,7 +67,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = previous_factors.deduplicated(table(spark, sf_dir, "documents"), remove="all")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later", "n_earlier_docs", "first_kept_sha256")
 
 
 @query

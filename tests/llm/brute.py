@@ -55,6 +55,30 @@ def repeats_bytes(docs, size=400):
     return out
 
 
+def later_bytes(docs, keys, floor=256):
+    """keys: a number per row that orders rows of one doc_id. Rows (doc_id, n_later, n_earlier_docs, first_kept_sha256)."""
+    last = (1 << 63) - 1
+    raws = [(t or "").encode() for _, t in docs]
+    ids = [last if d is None else d for d, _ in docs]
+    first, least = {}, {}
+    for i, k, r in zip(ids, keys, raws):
+        for p in range(len(r) - floor + 1):
+            s = r[p : p + floor]
+            first[s] = min(first.get(s, (i, k, p)), (i, k, p))
+            least[s] = min(least.get(s, i), i)
+    out = []
+    for (d, _), i, k, r in zip(docs, ids, keys, raws):
+        gone, other = bytearray(len(r)), bytearray(len(r))
+        for p in range(len(r) - floor + 1):
+            s = r[p : p + floor]
+            if first[s] < (i, k, p):
+                gone[p : p + floor] = b"\x01" * floor
+            if least[s] < i:
+                other[p : p + floor] = b"\x01" * floor
+        out.append((d, sum(gone), sum(other), sha(bytes(x for x, g in zip(r, gone) if not g))))
+    return out
+
+
 def simhash(text):
     import xxhash
 

@@ -59,11 +59,51 @@ def test_word_repeats_when_names_are_crowded(spark):
     assert as_set(got, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.repeats_words(rows))
 
 
+def row_keys(spark, rows):
+    """The number that orders rows of one doc_id."""
+    from lamina.llm.common import row_key
+
+    numbered = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "i int, doc_id long, text string")
+    return [r[1] for r in sorted(numbered.select("i", row_key()).collect())]
+
+
 @pytest.mark.parametrize("crowd", [20_000, 2])
 def test_byte_repeats(spark, crowd):
-    rows = corpus(5) + [(900, "a" * 1500), (901, "ab" * 700 + "c" * 100)]
+    rows = corpus(5) + [(900, "a" * 1500), (901, "ab" * 700 + "c" * 100), (902, "a" * 300), (903, "x" + "ab" * 170 + "\0" * 300), (904, "ab" * 160 + "\0" * 200)]
     got = previous_factors.deduplicated(frame(spark, rows), crowd=crowd)
     assert as_set(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.repeats_bytes(rows))
+    assert as_set(got, "doc_id", "n_later", "n_earlier_docs", "first_kept_sha256") == Counter(brute.later_bytes(rows, row_keys(spark, rows)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_previous_factors_of_random_bytes(seed):
+    """Lengths of factors from suffix order, against all pairs of positions."""
+    import numpy as np
+
+    r = random.Random(seed)
+    text = [bytes(r.choices(b"ab" if seed % 2 else b"a\0b", [6, 1] if seed % 2 else [5, 1, 1], k=r.randint(8, 60))) for _ in range(12)]
+    how = previous_factors.Lengths(size=12, floor=5, gram=2)
+    place = [np.array(r.sample(range(10_000, 20_000), 12)), np.zeros(12, np.int64), np.zeros(12, np.int64)]
+    s = previous_factors.Suffixes(how, text, tuple(place))
+    position = place[0][s.which] * 100 + s.x
+    got = {(int(w), int(x)): int(n) for w, x, n in zip(s.which, s.x, previous_factors.previous_factors(position, s.common)) if n}
+    want = {}
+    for i, t in enumerate(text):
+        for p in range(len(t) - how.floor + 1):
+            best = 0
+            for j, u in enumerate(text):
+                for q in range(len(u) - how.floor + 1):
+                    if (place[0][j], q) < (place[0][i], p):
+                        n = 0
+                        while n < how.size and p + n < len(t) and q + n < len(u) and t[p + n] == u[q + n]:
+                            n += 1
+                        best = max(best, n)
+            if best >= how.floor:
+                want[i, p] = best
+    assert got == want
+    order = [text[w][x : x + how.size] for w, x in zip(s.which, s.x)]
+    for a, b, n in zip(order, order[1:], s.common[1:]):
+        assert n == 0 or a <= b
 
 
 def test_repeats_in_segments(spark):
@@ -73,8 +113,9 @@ def test_repeats_in_segments(spark):
     rows = corpus(15, 30)
     got = recompression.deduplicated(frame(spark, rows), kind=replace(recompression.WORDS, segment=37))
     assert as_set(got, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.repeats_words(rows))
-    got = previous_factors.deduplicated(frame(spark, rows), kind=replace(previous_factors.BYTES, segment=211))
+    got = previous_factors.deduplicated(frame(spark, rows), how=previous_factors.Lengths(segment=211))
     assert as_set(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.repeats_bytes(rows))
+    assert as_set(got, "doc_id", "n_later", "n_earlier_docs", "first_kept_sha256") == Counter(brute.later_bytes(rows, row_keys(spark, rows)))
 
 
 def test_word_hashes_in_blocks():
@@ -91,7 +132,9 @@ def test_word_hashes_in_blocks():
 def test_byte_repeats_keep_the_first(spark):
     rows = [(1, "x" + "abcdefghij" * 60), (2, "abcdefghij" * 60 + "tail"), (3, "short")]
     got = {r.doc_id: r for r in previous_factors.deduplicated(frame(spark, rows), remove="later").collect()}
-    assert got[1].n_removed == 0 and got[2].n_removed == 600 and bytes(got[2].kept) == b"tail"
+    # the passage repeats itself from its tenth byte on
+    assert got[1].n_later == 590 and bytes(got[1].kept) == b"xabcdefghij" and got[1].n_earlier_docs == 0
+    assert got[2].n_later == got[2].n_earlier_docs == 600 and bytes(got[2].kept) == b"tail" and got[2].n_removed == 600
 
 
 @pytest.mark.parametrize("crowd", [20_000, 1])
