@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, stored
+from .common import Scratch, aside, beside, let, numbered, stored
 
 QUOTE = r"^((?:[ \t]*>)+)[ \t]?"
 #: A line that only announces the quote after it.
@@ -53,27 +53,29 @@ def lines(text: Column) -> Column:
 
 
 def passages(read: Column) -> Column:
-    """Array of (level, body): neighbouring lines of one level as one."""
-    empty = F.array().cast("array<struct<level:int,body:string>>")
+    """Array of (level, body): neighbouring lines of one level as one. Levels change at heads; each passage
+    is the slice from its head to the next, so the work grows with the lines."""
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", last["body"], x["body"]).alias("body"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["level"] == x["level"]), grown).otherwise(F.concat(done, F.array(x)))
+    def cut(x: Column) -> Column:
+        changes = F.transform(x, lambda line, i: F.when((i == 0) | (F.get(x, i - 1)["level"] != line["level"]), i))
+        heads = F.filter(changes, lambda i: i.isNotNull())
+        whole = lambda h: F.transform(h, lambda i, k: F.struct(F.get(x, i)["level"].alias("level"), F.array_join(F.slice(x, i + 1, F.coalesce(F.get(h, k + 1), F.size(x)) - i)["body"], "\n").alias("body")))
+        return let(heads, whole)
 
-    return F.aggregate(read, empty, step)
+    return let(read, cut)
 
 
-def units(read: Column, quoted: bool) -> Column:
-    """Distinct (level, passage, whole, text) that can be matched, of what is quoted or said: whole passages, and their lines."""
-    wanted = F.filter(passages(read), lambda p: (p["level"] > 0) if quoted else (p["level"] == 0))
+def units(found: Column, quoted: bool) -> Column:
+    """Distinct (level, passage, part, weak, h, h2) that can be matched, of what passages quote or say: whole
+    passages (part 0) and their lines (part 1), as hashes of their normal form."""
+    wanted = F.filter(found, lambda p: (p["level"] > 0) if quoted else (p["level"] == 0))
 
     def of(p: Column) -> Column:
-        passage = normal(p["body"])
-        one = lambda body, whole: F.struct(p["level"].alias("level"), passage.alias("passage"), F.lit(whole).alias("whole"), normal(body).alias("text"))
-        return F.concat(F.array(one(p["body"], True)), F.transform(F.split(p["body"], "\n"), lambda x: one(x, False)))
+        one = lambda text, passage, part: F.struct(p["level"].alias("level"), F.md5(passage).alias("passage"), F.lit(part).alias("part"), F.char_length(text).alias("length"), F.xxhash64(text).alias("h"), F.md5(text).alias("h2"))
+        parts = lambda passage: F.concat(F.array(one(passage, passage, 0)), F.transform(F.split(p["body"], "\n"), lambda x: let(normal(x), lambda text: one(text, passage, 1))))
+        return let(normal(p["body"]), parts)
 
-    return F.array_distinct(F.flatten(F.transform(wanted, of)))
+    return F.array_distinct(F.filter(F.flatten(F.transform(wanted, of)), lambda u: u["length"] > 0))
 
 
 def own_text(read: Column) -> Column:
@@ -83,21 +85,19 @@ def own_text(read: Column) -> Column:
 
 
 def linked(messages: DataFrame, min_chars: int = 8) -> DataFrame:
-    """(conv, turn, level, passage, weak, source): what quoted passages come from, one row or one per line that links.
+    """(conv, turn, level, passage, weak, source) of messages(conv, turn, text, quoted): what quoted passages
+    come from, one row or one per line that links.
 
-    `weak` marks short units; all that link come out.
+    `weak` marks short units; all that link come out. What messages say is parsed only where quotes exist.
     """
-
-    def found(quoted: bool) -> DataFrame:
-        out = messages.where("turn is not null").select("conv", "turn", F.explode(units(F.col("_lines"), quoted)).alias("u"))
-        text = F.col("u.text")
-        return out.where(text != "").select("conv", "turn", F.col("u.level").alias("level"), F.md5("u.passage").alias("passage"), F.when(F.col("u.whole"), 0).otherwise(1).alias("part"), (F.char_length(text) < min_chars).alias("weak"), F.xxhash64(text).alias("h"), F.md5(text).alias("h2"))
-
-    quoted = stored(found(True).distinct())
+    timed = messages.where("turn is not null")
+    quoted = timed.select("conv", "turn", F.explode("quoted").alias("u")).select("conv", "turn", "u.level", "u.passage", "u.part", (F.col("u.length") < min_chars).alias("weak"), "u.h", "u.h2")
+    quoted = stored(quoted.distinct())
     if quoted.isEmpty():
         return quoted.select("conv", "turn", "level", "passage", "weak", F.col("turn").alias("source"))
     key = ["conv", "h", "h2"]
-    said = found(False).join(quoted.select(*key).distinct(), key, "left_semi").select(*key, "turn").distinct()
+    every = timed.select("conv", "turn", F.explode(units(passages(lines(F.col("text"))), False)).alias("u")).select("conv", "u.h", "u.h2", "turn")
+    said = every.join(quoted.select(*key).distinct(), key, "left_semi").select(*key, "turn").distinct()
     asked = quoted.select(*key, "turn").distinct()
     rows = asked.select(*key, "turn", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("said")).unionByName(said.select(*key, "turn", F.lit(False).alias("asks"), F.col("turn").alias("said")))
     rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
@@ -132,6 +132,10 @@ def threads(parents: DataFrame) -> DataFrame:
     return ways.drop("done")
 
 
+#: What formatted() adds; a column of the caller's with one of these names gives way to it.
+RESULTS = ("n_quotes", "max_level", "quotes", "parent_turn", "thread_turn", "depth", "position", "clean_text")
+
+
 def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", min_chars: int = 8) -> DataFrame:
     """The rows with n_quotes, max_level, quotes, parent_turn, thread_turn, depth, position and clean_text.
 
@@ -140,24 +144,25 @@ def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
     position counts from 0 inside a conversation, in reply order.
     """
     scratch = Scratch(conversations.sparkSession)
-    keyed = conversations.withColumns({"_conv": F.struct(F.col(conv)), "_turn": F.col(turn).cast("long"), "_lines": lines(F.col(text))})
-    links = linked(keyed.select(F.col("_conv").alias("conv"), F.col("_turn").alias("turn"), "_lines"), min_chars)
+    keyed = aside(conversations, conv=F.struct(F.col(conv)), turn=F.col(turn).cast("long"), role=F.col(role), text=F.col(text))
+
+    def parsed(read: Column) -> Column:
+        top = F.greatest(F.array_max(F.transform(read, lambda x: x["level"])), F.lit(0))
+        of = lambda p: F.struct(F.size(F.filter(p, lambda x: x["level"] > 0)).alias("n_quotes"), top.alias("max_level"), own_text(read).alias("clean_text"), units(p, True).alias("quoted"))
+        return let(passages(read), of)
+
+    # texts are read once, into a table: later plans sort, join and sample its columns
+    rows = scratch.table("parsed", keyed.withColumn("p", let(lines(F.col("text")), parsed)).select("_row", "conv", "turn", "role", "p.*"))
+    links = linked(rows.select("conv", "turn", F.col("_row")[text].alias("text"), "quoted"), min_chars)
     parents = stored(parents_of(links))
-    above = parents.join(threads(parents.drop("quotes")), ["conv", "turn"]).withColumnsRenamed({"conv": "_conv", "turn": "_turn"})
-    out = keyed.join(above, ["_conv", "_turn"], "left")
-    passage = passages(F.col("_lines"))
-    out = out.withColumns(
+    above = parents.join(threads(parents.drop("quotes")), ["conv", "turn"])
+    out = rows.drop("quoted").join(above, ["conv", "turn"], "left").withColumns(
         {
-            "n_quotes": F.size(F.filter(passage, lambda x: x["level"] > 0)),
-            "max_level": F.greatest(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0)),
             "quotes": F.coalesce("quotes", F.array().cast("array<struct<level:int,passage:string,source:bigint>>")),
-            "parent_turn": F.col("source"),
-            "thread_turn": F.coalesce("root", "_turn"),
+            "thread_turn": F.coalesce("root", "turn"),
             "depth": F.coalesce("depth", F.lit(0).cast("long")),
-            "clean_text": own_text(F.col("_lines")),
         }
-    ).drop("source", "root", "_lines")
-    order = ["_conv", "thread_turn", "depth", "_turn", role, "clean_text"]
-    rows = numbered(out, *order, name="_n", keep=lambda df: scratch.table("ordered", df))
-    first = rows.groupBy("_conv").agg(F.min("_n").alias("_first"))
-    return rows.join(first, "_conv").withColumn("position", F.col("_n") - F.col("_first")).drop("_conv", "_turn", "_n", "_first")
+    ).withColumnRenamed("source", "parent_turn").drop("root")
+    ordered = numbered(out, "conv", "thread_turn", "depth", "turn", "role", "clean_text", name="n", keep=lambda df: scratch.table("ordered", df))
+    first = ordered.groupBy("conv").agg(F.min("n").alias("first"))
+    return beside(ordered.join(first, "conv").withColumn("position", F.col("n") - F.col("first")), *RESULTS)

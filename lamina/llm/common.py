@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word of the corpus contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,6 +85,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_keys(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose (id, key) is among `keys`, or with how="left_anti" is not; columns as they are."""
+    rows = aside(docs, id=F.col(id_col), key=row_key(id_col, text_col))
+    asked = keys.select(F.col("id").alias("asked_id"), F.col("key").alias("asked_key"))
+    return beside(rows.join(asked, (F.col("key") == F.col("asked_key")) & F.col("id").eqNullSafe(F.col("asked_id")), how))
+
+
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash values of a type: maps and what holds them can't be."""
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind.fields)
+    return hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def content_key(df: DataFrame) -> Column:
+    """A hash of all columns and fields that can be hashed: equal for equal rows."""
+
+    def of(column: Column, kind: T.DataType) -> list[Column]:
+        if hashable(kind):
+            return [column]
+        return [x for f in kind.fields for x in of(column[f.name], f.dataType)] if isinstance(kind, T.StructType) else []
+
+    return F.xxhash64(F.lit(0), *[x for f in df.schema.fields for x in of(F.col(f"`{f.name}`"), f.dataType)])
+
+
 def globally_ordered(df: DataFrame, *order: Column | str, keep=stored) -> DataFrame:
     """Adds `_part` and `_at`: rows sorted by `_part`, then `_at`, are in the given order.
 
@@ -96,7 +122,7 @@ def globally_ordered(df: DataFrame, *order: Column | str, keep=stored) -> DataFr
     """
     n = partitions(df.sparkSession)
     ties = ["_same", "_tie"]
-    ranged = df.withColumns({"_same": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_tie": F.monotonically_increasing_id()})
+    ranged = df.withColumns({"_same": content_key(df), "_tie": F.monotonically_increasing_id()})
     ranged = ranged.repartitionByRange(n, *order, *ties).sortWithinPartitions(*order, *ties)
     at = F.monotonically_increasing_id()
     return keep(
@@ -142,7 +168,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^n modulo 2^64; a worker keeps the longest made so far."""
     if base not in _POWERS or len(_POWERS[base]) <= n:
-        out = np.full(max(n, 1 << 16) + 1, base, dtype=np.uint64)
+        out = np.full(1 << max(16, n.bit_length()), base, dtype=np.uint64)
         out[0] = 1
         _POWERS[base] = np.multiply.accumulate(out)
     return _POWERS[base][: n + 1]
@@ -172,23 +198,26 @@ class Rolling:
 
 
 class PrimeRolling:
-    """Hashes of ranges like Rolling's, modulo two primes below 2^32: strings on which a modulus of 2^64
-    fails, whatever its base, are told apart here."""
+    """Hashes of ranges of bytes like Rolling's, modulo two primes below 2^32: strings on which a modulus
+    of 2^64 fails, whatever its base, are told apart here. `digits` has a digit per byte value."""
 
     PRIMES = (((1 << 31) - 1, 1_103_515_245), (4_294_967_291, 2_891_336_453))
 
-    def __init__(self, digits: np.ndarray):
-        n = len(digits)
+    def __init__(self, data: np.ndarray, digits: np.ndarray):
+        n = len(data)
         self.sides = []
         for prime, base in self.PRIMES:
             p = np.uint64(prime)
-            prefix = np.zeros(n + 1, dtype=np.uint64)
+            terms = (digits % p)[data]
+            terms *= prime_powers(prime, base, n)[:n]
+            terms %= p
             # below 2^32 each, so up to 2^32 of them add up without overflow
-            np.cumsum((digits % p) * prime_powers(prime, base, n)[:n] % p, out=prefix[1:])
-            self.sides.append((p, prefix % p, prime_powers(prime, pow(base, -1, prime), n)))
+            prefix = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(terms, out=prefix[1:])
+            self.sides.append((p, prefix, prime_powers(prime, pow(base, -1, prime), n)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        a, b = ((prefix[end] + p - prefix[start]) % p * inverse[start] % p for p, prefix, inverse in self.sides)
+        a, b = ((prefix[end] - prefix[start]) % p * inverse[start] % p for p, prefix, inverse in self.sides)
         return mix(a << np.uint64(32) | b)
 
 
@@ -196,13 +225,12 @@ def prime_powers(prime: int, base: int, n: int) -> np.ndarray:
     """base^0 .. base^n modulo a prime below 2^32, by doubling; a worker keeps the longest made so far."""
     key = -base * (1 << 32) - prime
     if key not in _POWERS or len(_POWERS[key]) <= n:
-        size, p = max(n, 1 << 16) + 1, np.uint64(prime)
+        size, p = 1 << max(16, n.bit_length()), np.uint64(prime)
         out = np.ones(size, dtype=np.uint64)
         done = 1
         while done < size:
-            more = min(done, size - done)
-            out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % p
-            done += more
+            out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, prime)) % p
+            done *= 2
         _POWERS[key] = out
     return _POWERS[key][: n + 1]
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key, stored
+from .common import let, row_key, stored, with_keys
 
 WINDOW, GRAM = 13, 5
 #: Hashes in one choice: WINDOW words have this many GRAM-word stretches.
@@ -138,5 +138,4 @@ def per_row(found: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that aren't contaminated. Only the keys of contaminated rows go to the join."""
-    found = judged(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
-    return docs.withColumn("_k", row_key(id_col, text_col)).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti").drop("_k")
+    return with_keys(docs, judged(docs, benchmark, id_col, text_col).where("contaminated"), "left_anti", id_col, text_col)

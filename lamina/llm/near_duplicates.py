@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, row_key, stored
+from .common import NULL_ID, as_bytes, aside, beside, row_key, stored, with_keys
 
 SHINGLE, BITS, SHARED = 3, 3, 5
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
@@ -207,11 +207,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, named = components(docs, id_col, text_col, crowd)
     heads = named.select("head.doc", "head.rk").distinct()
     kept = stored(rows.join(heads, ["doc", "rk"]).groupBy("doc", "rk").count())
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_k": row_key(id_col, text_col)})
-    on = lambda k: (F.col("_d") == k["doc"]) & (F.col("_k") == k["rk"])
+    keys = lambda k: k.select(F.nullif("doc", F.lit(NULL_ID)).alias("id"), F.col("rk").alias("key"))
     once, again = kept.where("count = 1"), kept.where("count > 1")
-    out = keyed.join(once, on(once), "left_semi")
+    out = with_keys(docs, keys(once), "left_semi", id_col, text_col)
     if not again.isEmpty():
         # rows that came repeatedly, and only these, are compared as rows
-        out = out.unionByName(keyed.join(again, on(again), "left_semi").dropDuplicates(["_d", "_k"]))
-    return out.drop("_d", "_k")
+        some = with_keys(docs, keys(again), "left_semi", id_col, text_col)
+        some = aside(some, id=F.col(id_col), key=row_key(id_col, text_col)).dropDuplicates(["id", "key"])
+        out = out.unionByName(beside(some))
+    return out

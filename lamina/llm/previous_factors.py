@@ -5,8 +5,8 @@ found in suffix order, where the nearest neighbour to either side that stands at
 shares it. Suffixes are put in order bucket by bucket: a bucket holds the suffixes whose first FLOOR
 bytes have one anchor, the smallest hash of 32 bytes among them. Suffixes that agree on FLOOR bytes or
 more have the same anchor at the same offset, so all that factors of that length need is in one bucket.
-Inside it suffixes are sorted by their bytes, ties by position; common prefixes of neighbours are
-measured on the bytes themselves, and the previous and next smaller positions follow by pointer jumping.
+Inside it suffixes are sorted by their bytes; common prefixes of neighbours are measured on the bytes
+themselves, and the previous and next smaller positions follow by pointer jumping.
 Factors shorter than FLOOR are none, and they are measured up to SIZE bytes, as longer ones cover the
 same bytes from their later positions.
 
@@ -41,9 +41,9 @@ from .repeats import BYTE, byte_units, covered, prepared
 #: Bytes of the contract's strings, of the shortest factor, and of the pieces that anchors are chosen from.
 SIZE, FLOOR, GRAM = 400, 256, 32
 RUN = "key long, h1 long, h2 long, doc long, rk long, start int, n int, size int"
-CONTENT = "key long, h1 long, h2 long, doc long, rk long, start int, crowd long, content binary"
+CONTENT = "key long, h1 long, h2 long, doc long, rk long, start int, n int, crowd long, content binary"
 FLAG = "key long, h1 long, h2 long, anywhere array<int>, later array<int>, earlier array<int>"
-#: Suffixes compared byte by byte at once.
+#: Strings compared byte by byte at once.
 BLOCK = 1 << 14
 
 
@@ -88,7 +88,7 @@ def _segment_runs(how: Lengths, data: np.ndarray, ends: np.ndarray) -> tuple[np.
     n = np.diff(np.append(head, len(suffixes)))
     begin, t = suffixes[head], t[head]
     end = np.minimum(begin + n + how.size - 1, ends[t])
-    return t, names[a[head]], rolling.of(begin, end), PrimeRolling(digits).of(begin, end), begin, n, end - begin
+    return t, names[a[head]], rolling.of(begin, end), PrimeRolling(data, BYTE).of(begin, end), begin, n, end - begin
 
 
 def runs(how: Lengths, docs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def runs(how: Lengths, docs: DataFrame) -> DataFrame:
 
 def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Cut the first run of each wanted content out of its text."""
-    per = wanted.groupBy("doc", "rk").agg(F.collect_list(F.struct("key", "h1", "h2", "start", "crowd", "size")).alias("w"))
+    per = wanted.groupBy("doc", "rk").agg(F.collect_list(F.struct("key", "h1", "h2", "start", "n", "crowd", "size")).alias("w"))
 
     def run(batches):
         import pyarrow as pa
@@ -117,13 +117,13 @@ def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, asked = as_bytes(batch.column(2)), batch.column(3)
             offsets = asked.offsets.to_numpy()
-            key, h1, h2, start, many, size = (x.to_numpy(zero_copy_only=False) for x in asked.values.flatten())
+            key, h1, h2, start, n, many, size = (x.to_numpy(zero_copy_only=False) for x in asked.values.flatten())
             of = np.repeat(np.arange(len(texts)), np.diff(offsets))
             doc, rk = (batch.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
             for lo, hi in chunks(texts):
                 r = slice(offsets[lo], offsets[hi])
                 cut = [texts[i][p : p + m] for i, p, m in zip(of[r].tolist(), start[r].tolist(), size[r].tolist())]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[r]) for x in (key, h1, h2, doc, rk, start, many)), pa.array(cut, pa.binary())], [f.split()[0] for f in CONTENT.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[r]) for x in (key, h1, h2, doc, rk, start, n, many)), pa.array(cut, pa.binary())], [f.split()[0] for f in CONTENT.split(", ")])
 
     # a row that comes repeatedly is cut more than once: the later steps don't mind
     return docs.join(per, ["doc", "rk"]).select("doc", "rk", "text", "w").mapInArrow(run, CONTENT)
@@ -132,84 +132,107 @@ def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 # --- suffix order ---------------------------------------------------------------------------------
 
 
+class Minima:
+    """Smallest value of any range, from those of ranges of 2^k values."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while (step := 1 << (len(self.levels) - 1)) < len(values):
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last, np.append(last[step:], last[-step:] if step < len(last) else last)))
+        self.table = np.stack(self.levels)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of values start .. end - 1, at least one each."""
+        level = np.frexp((end - start).astype(np.float64))[1] - 1
+        return np.minimum(self.table[level, start], self.table[level, end - (1 << level)])
+
+
+def shared_prefixes(parts: list[bytes], most: int) -> np.ndarray:
+    """Bytes that each string shares with the one before it, `most` at most; 0 for the first."""
+    out = np.zeros(len(parts), dtype=np.int64)
+    sizes = np.array([min(len(p), most) for p in parts], dtype=np.int64)
+    for s in range(1, len(parts), BLOCK):
+        e = min(len(parts), s + BLOCK)
+        width = int(sizes[s - 1 : e].max())
+        rows = np.frombuffer(b"".join(p[:width].ljust(width, b"\0") for p in parts[s - 1 : e]), dtype=np.uint8).reshape(e - s + 1, width)
+        differ = rows[:-1] != rows[1:]
+        first = differ.argmax(axis=1) if width else np.zeros(e - s, dtype=np.int64)
+        if width:
+            first[~differ[np.arange(e - s), first]] = width
+        out[s:e] = np.minimum(first, np.minimum(sizes[s - 1 : e - 1], sizes[s:e]))
+    return out
+
+
 class Suffixes:
-    """The suffixes of some contents that have a partner, in order of their bytes.
+    """The suffixes of some buckets' contents that have a partner, in suffix order.
 
-    data: all contents in a row. at, left: where each suffix starts in it, and its bytes up to SIZE and its
-    content's end. which, x: its content and its place in that. common: bytes that it shares with the one
-    before it in the order, 0 below the floor.
+    Suffixes that agree on their first bytes stand equally far before their bucket's anchor, and agree up
+    to it. So behind the anchor, where they can differ, one order of the contents' right parts is the
+    order of all these classes at once: right parts are sorted, and each class takes its suffixes in that
+    order. Common prefixes of two suffixes are the common prefix of their right parts, a minimum over that
+    order, and the way to the anchor, if their left parts agree so far: a minimum over the order of the
+    left parts read backwards. Both are counted on the bytes.
+
+    which, x: content and place in it. common: bytes shared with the suffix before in the order, up to
+    SIZE; 0 below the floor and at the start of a class.
     """
 
-    def __init__(self, how: Lengths, content: list[bytes], tie: tuple[np.ndarray, ...]):
+    def __init__(self, how: Lengths, content: list[bytes], key: np.ndarray, n: np.ndarray):
         self.how = how
         sizes = np.array([len(c) for c in content], dtype=np.int64)
-        n = sizes - how.floor + 1
         starts = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(content) + bytes(how.size + 8), dtype=np.uint8)
+        data = np.frombuffer(b"".join(content), dtype=np.uint8)
+        rolling = Rolling(BYTE[data], M1, I1)
+        anchor = self._anchors(rolling, starts, key)
         which = np.repeat(np.arange(len(content)), n)
         x = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         at = starts[which] + x
-        rolling = Rolling(BYTE[data[: int(sizes.sum())]], M1, I1)
         name = rolling.of(at, at + how.floor)
-        order = np.argsort(name, kind="stable")
-        same = name[order][1:] == name[order][:-1]
-        partnered = order[np.append(same, False) | np.append(False, same)]
-        self.which, self.x, at, name = which[partnered], x[partnered], at[partnered], name[partnered]
-        left = np.minimum(starts[self.which] + sizes[self.which] - at, how.size)
-        # equal strings are ordered once: the rest of their bytes decides among those of one name
-        whole = rolling.of(at, at + left)
-        rank = self._ranked(data, at, left, name, whole)
-        order = np.lexsort((self.x, *[t[self.which] for t in reversed(tie)], rank, name))
-        self.which, self.x, self.at, self.left = self.which[order], self.x[order], at[order], left[order]
-        self.common = self._common(data)
-
-    def _ranked(self, data, at, left, name, whole) -> np.ndarray:
-        """Places among suffixes of one name in order of the bytes from the floor on; a prefix comes first."""
-        n = len(at)
-        out = np.zeros(n, dtype=np.int64)
-        if not n:
-            return out
-        order = np.lexsort((left, whole, name))
-        new = np.ones(n, dtype=bool)
-        new[1:] = (name[order][1:] != name[order][:-1]) | (whole[order][1:] != whole[order][:-1]) | (left[order][1:] != left[order][:-1])
-        kind = np.empty(n, dtype=np.int64)
-        kind[order] = np.cumsum(new) - 1
-        rep = order[new]
-        # representatives whose name has others are sorted by eight bytes at a time
-        names = name[rep]
-        again = np.append(names[1:] == names[:-1], False) | np.append(False, names[1:] == names[:-1])
-        if again.any():
-            some = rep[again]
-            keys = [left[some]]
-            for p in range(self.how.size - 8, self.how.floor - 8, -8):
-                eight = np.lib.stride_tricks.sliding_window_view(data, 8)[at[some] + p].astype(np.uint64)
-                beyond = np.arange(p, p + 8) >= left[some][:, None]
-                value = np.zeros(len(some), dtype=np.uint64)
-                for i in range(8):
-                    value = value << np.uint64(8) | np.where(beyond[:, i], np.uint64(0), eight[:, i])
-                if (value != value[0]).any():
-                    keys.append(value)
-            keys.append(name[some])
-            place = np.empty(len(some), dtype=np.int64)
-            place[np.lexsort(keys)] = np.arange(len(some))
-            ranks = np.zeros(len(rep), dtype=np.int64)
-            ranks[again] = place
-            out = ranks[kind]
+        order = np.argsort(name)
+        sorted_name = name[order]
+        same = sorted_name[1:] == sorted_name[:-1]
+        partnered = np.append(same, False) | np.append(False, same)
+        group = np.cumsum(np.append(True, ~same)[partnered]) if len(name) else np.zeros(0, np.int64)
+        which, x = which[order[partnered]], x[order[partnered]]
+        # right parts from the anchor on, left parts from it back, both inside their bucket
+        right = [(int(k), c[a:]) for k, c, a in zip(key, content, anchor)]
+        left = [(int(k), c[:a][::-1]) for k, c, a in zip(key, content, anchor)]
+        rank, right_common = self._ordered(right)
+        back, left_common = self._ordered(left)
+        order = np.argsort(group << 32 | rank[which])
+        self.which, self.x, group = which[order], x[order], group[order]
+        self.common = np.zeros(len(group), dtype=np.int64)
+        if len(group):
+            i = 1 + np.flatnonzero(group[1:] == group[:-1])
+            a, b = self.which[i - 1], self.which[i]
+            far = anchor[b] - self.x[i]
+            behind = right_common.of(rank[a] + 1, rank[b] + 1)
+            p, q = np.minimum(back[a], back[b]), np.maximum(back[a], back[b])
+            # one name for different bytes: no partners
+            agree = (anchor[a] - self.x[i - 1] == far) & (left_common.of(p + 1, q + 1) >= far)
+            common = np.where(agree, np.minimum(far + behind, how.size), 0)
+            self.common[i] = np.where(common >= how.floor, common, 0)
+
+    def _anchors(self, rolling: Rolling, starts: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Where the anchor of each content's run is: the first piece with the bucket's name."""
+        pieces = np.arange(self.how.floor - self.how.gram + 1)
+        out = np.zeros(len(starts), dtype=np.int64)
+        for s in range(0, len(starts), 1 << 12):
+            at = starts[s : s + (1 << 12), None] + pieces
+            out[s : s + (1 << 12)] = (rolling.of(at, at + self.how.gram) == key[s : s + (1 << 12), None].view(np.uint64)).argmax(axis=1)
         return out
 
-    def _common(self, data: np.ndarray) -> np.ndarray:
-        """Bytes shared with the suffix before, counted on the bytes; below the floor 0."""
-        n, size = len(self.at), self.how.size
-        out = np.zeros(n, dtype=np.int64)
-        rows = np.lib.stride_tricks.sliding_window_view(data, size)
-        for s in range(1, n, BLOCK):
-            e = min(n, s + BLOCK)
-            differ = rows[self.at[s - 1 : e - 1]] != rows[self.at[s:e]]
-            first = differ.argmax(axis=1)
-            first[~differ[np.arange(e - s), first]] = size
-            out[s:e] = np.minimum(first, np.minimum(self.left[s - 1 : e - 1], self.left[s:e]))
-        out[out < self.how.floor] = 0
-        return out
+    def _ordered(self, parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, Minima]:
+        """Each part's place in the order of (bucket, bytes), and the minima of what neighbours share."""
+        order = sorted(range(len(parts)), key=parts.__getitem__)
+        rank = np.empty(len(parts), dtype=np.int64)
+        rank[order] = np.arange(len(parts))
+        shared = shared_prefixes([parts[i][1] for i in order], self.how.size)
+        for i in range(1, len(order)):
+            if parts[order[i]][0] != parts[order[i - 1]][0]:
+                shared[i] = 0
+        return rank, Minima(shared)
 
 
 def smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -238,32 +261,39 @@ def previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.maximum(smaller_before(position, common), smaller_before(position[::-1], back)[::-1])
 
 
-def flagged(how: Lengths, content: list[bytes], doc: np.ndarray, rk: np.ndarray, start: np.ndarray) -> tuple[list[list[int]], ...]:
+def flagged(how: Lengths, content: list[bytes], key: np.ndarray, doc: np.ndarray, rk: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[list[list[int]], ...]:
     """Per content, as flat pairs (first, last): suffixes that share SIZE bytes with another, those with a
     previous factor, and those with one in a document of smaller doc_id."""
-    s = Suffixes(how, content, (doc, rk, start))
-    # positions as dense numbers: of all places, and of documents
-    order = np.lexsort((start[s.which] + s.x, rk[s.which], doc[s.which]))
-    d, r, p = doc[s.which][order], rk[s.which][order], (start[s.which] + s.x)[order]
-    new_doc = np.append(True, d[1:] != d[:-1])[: len(d)]
-    new = new_doc | np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1]))[: len(d)]
-    place, document = np.empty(len(d), dtype=np.int64), np.empty(len(d), dtype=np.int64)
-    place[order], document[order] = np.cumsum(new), np.cumsum(new_doc)
-    anywhere = np.maximum(s.common, np.append(s.common[1:], 0)[: len(d)]) >= how.size
-    later = previous_factors(place, s.common) >= how.floor
-    earlier = previous_factors(document, s.common) >= how.floor
-    back = np.lexsort((s.x, s.which))
-    which, x = s.which[back], s.x[back]
-    return tuple(_runs_of(flag[back], which, x, len(content)) for flag in (anywhere, later, earlier))
-
-
-def _runs_of(flag: np.ndarray, which: np.ndarray, x: np.ndarray, count: int) -> list[list[int]]:
-    at = np.flatnonzero(flag)
-    which, x = which[at], x[at]
+    s = Suffixes(how, content, key, n)
+    # positions as numbers: texts in order of (doc, rk), each with as many as its runs reach to
+    order = np.lexsort((rk, doc))
+    new_doc = np.append(0, doc[order][1:] != doc[order][:-1])
+    text = np.cumsum(new_doc | np.append(0, rk[order][1:] != rk[order][:-1]))
+    reach = np.zeros(len(content) + 1, dtype=np.int64)
+    np.maximum.at(reach, text + 1, (start + n)[order])
+    first, document = np.empty(len(content), dtype=np.int64), np.empty(len(content), dtype=np.int64)
+    first[order] = np.cumsum(reach)[text]
+    first += start
+    document[order] = np.cumsum(new_doc)
+    anywhere = np.maximum(s.common, np.append(s.common[1:], 0)[: len(s.common)]) >= how.size
+    later = previous_factors(first[s.which] + s.x, s.common) >= how.floor
+    earlier = previous_factors(document[s.which], s.common) >= how.floor
+    offsets = np.cumsum(n) - n
+    out = []
+    for flag in (anywhere, later, earlier):
+        marks = np.zeros(int(n.sum()), dtype=bool)
+        marks[(offsets[s.which] + s.x)[flag]] = True
+        at = np.flatnonzero(marks)
+        which = np.searchsorted(offsets, at, side="right") - 1
+        out.append(_runs_of(which, at - offsets[which], len(content)))
+    return tuple(out)
+
+
+def _runs_of(which: np.ndarray, x: np.ndarray, count: int) -> list[list[int]]:
     out: list[list[int]] = [[] for _ in range(count)]
-    cut = np.flatnonzero((np.diff(x) != 1) | (np.diff(which) != 0))
-    if len(at):
-        for s, e in zip(np.append(0, cut + 1).tolist(), np.append(cut, len(at) - 1).tolist()):
+    if len(x):
+        cut = np.flatnonzero((np.diff(x) != 1) | (np.diff(which) != 0))
+        for s, e in zip(np.append(0, cut + 1).tolist(), np.append(cut, len(x) - 1).tolist()):
             out[which[s]] += [int(x[s]), int(x[e])]
     return out
 
@@ -274,8 +304,8 @@ def compared(how: Lengths, cut: DataFrame, crowd: int, held_bytes: int = 2_000_0
     def flags(rows: list[tuple]):
         import pyarrow as pa
 
-        numbers = [np.array([r[i] for r in rows], dtype=np.int64) for i in range(6)]
-        found = flagged(how, [r[6] for r in rows], *numbers[3:])
+        numbers = [np.array([r[i] for r in rows], dtype=np.int64) for i in range(7)]
+        found = flagged(how, [r[7] for r in rows], numbers[0], *numbers[3:])
         some = [i for i in range(len(rows)) if any(f[i] for f in found)]
         return pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in numbers[:3]), *(pa.array([f[i] for i in some], pa.list_(pa.int32())) for f in found)], [f.split()[0] for f in FLAG.split(", ")])
 
@@ -283,14 +313,14 @@ def compared(how: Lengths, cut: DataFrame, crowd: int, held_bytes: int = 2_000_0
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "h1", "h2", "doc", "rk", "start", "content"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "h1", "h2", "doc", "rk", "start", "n", "content"))):
                 if row[0] != last and size > held_bytes:
                     yield flags(held)
                     held, size = [], 0
                 if held and row[:3] == held[-1][:3]:
                     continue  # cut twice
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
                 last = row[0]
         if held:
             yield flags(held)
@@ -312,7 +342,7 @@ def crowded(how: Lengths, cut: DataFrame, crowd: int) -> DataFrame:
             for lo, hi in chunks(content, 500_000):
                 data, ends = byte_units(content[lo:hi])
                 sizes = np.diff(ends, prepend=0)
-                n = sizes - how.floor + 1
+                n = batch.column("n").to_numpy(zero_copy_only=False)[lo:hi].astype(np.int64)
                 which = np.repeat(np.arange(hi - lo), n)
                 x = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 at = (ends - sizes)[which] + x
@@ -321,7 +351,7 @@ def crowded(how: Lengths, cut: DataFrame, crowd: int) -> DataFrame:
                 own = [batch.column(c).to_numpy(zero_copy_only=False)[lo:hi][which] for c in ("key", "h1", "h2", "doc", "rk", "start")]
                 own[5] = own[5].astype(np.int64) + x
                 digits = BYTE[data]
-                sides = [h.view(np.int64) for rolling in (Rolling(digits, M1, I1), PrimeRolling(digits)) for h in (rolling.of(at, at + how.floor), rolling.of(at, full))]
+                sides = [h.view(np.int64) for rolling in (Rolling(digits, M1, I1), PrimeRolling(data, BYTE)) for h in (rolling.of(at, at + how.floor), rolling.of(at, full))]
                 cols = [*(pa.array(c) for c in own), pa.array(x.astype(np.int32)), pa.array(sides[0]), pa.array(sides[2]), pa.array(sides[1], mask=~known), pa.array(sides[3], mask=~known)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -338,7 +368,7 @@ def crowded(how: Lengths, cut: DataFrame, crowd: int) -> DataFrame:
 def factor_spans(how: Lengths, docs: DataFrame, scratch: Scratch, crowd: int) -> DataFrame:
     """Per (doc, rk) flat pairs (start, end) of bytes: anywhere, later, earlier."""
     found = scratch.table("runs", runs(how, docs))
-    every = scratch.table("every", found.groupBy("key", "h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc", "rk", "start", "size")).alias("rep")))
+    every = scratch.table("every", found.groupBy("key", "h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc", "rk", "start", "n", "size")).alias("rep")))
     names = scratch.table("names", every.groupBy("key").agg(F.sum("times").alias("of"), F.count("*").alias("crowd")).where("of > 1").drop("of"))
     classes = scratch.table("classes", every.join(names, "key"))
     scratch.drop("every", "names")

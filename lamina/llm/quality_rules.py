@@ -11,6 +11,7 @@ conditions. The driver holds the best condition per feature and direction, never
 Null texts and texts without words have zeros everywhere and fail the base rule. Without labels, or
 with labels of one kind only, the list is empty and the base rule decides. Labels other than 0 and 1,
 null ones, and those of unknown documents are ignored; repeated labels count as often as they come.
+Extra columns are carried along; one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, stored
+from .common import WORD, aside, beside, let, row_key, stored, with_keys
 
 SYMBOLS = r"[#*$%&|<>]"
 SHINGLE = 8
 #: Ratios, per thousand, that conditions look at, beside n_words.
 FEATURES = ("n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Labelled rows to learn from; a documented bound, more are sampled down by hash.
 MAX_LABELLED = 2_000_000
 
@@ -63,9 +65,10 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     words = let(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), of_words)
     lines = let(F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = docs.withColumns({"_w": words, "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"), "n_dup_lines": lines})
-    out = out.withColumns({c: F.col("_w")[c] for c in ("n_words", "word_chars", "n_repeat_words")}).drop("_w")
-    return out.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
+    out = aside(docs, w=words, n_symbols=F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"), n_dup_lines=lines)
+    out = out.withColumns({c: F.col("w")[c] for c in ("n_words", "word_chars", "n_repeat_words")})
+    out = out.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
+    return beside(out, *STATISTICS, "base_failed")
 
 
 def features() -> dict[str, Column]:
@@ -191,8 +194,14 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: st
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
-    numbers = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     # rows that fail the base rule are out already; the list learns what it alone must decide
-    labelled = stats.where("not base_failed").select(F.col(id_col).alias("_id"), *numbers).join(known, "_id")
+    labelled = stats.where("not base_failed").select(F.col(id_col).alias("_id"), *STATISTICS, "base_failed").join(known, "_id")
     rules = learned(labelled, label)
     return stats.withColumn("kept", ~F.col("base_failed") & (rules.column() == 1)), rules
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that pass the base rule and the learned list; columns as they are."""
+    numbers = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))).drop("text")
+    found, _ = judged(numbers, labels)
+    return with_keys(docs, found.where("kept").select(F.col("doc_id").alias("id"), "key").distinct(), "left_semi", id_col, text_col)

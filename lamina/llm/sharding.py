@@ -7,7 +7,8 @@ measured on them alone and the main expression is unrolled to just that length.
 p gives shard p mod shards and slot p div shards, so shard sizes differ by at most one (law `rows`).
 
 Everything is a DataFrame expression. Results for edge cases: an empty table gives an empty result;
-null doc_ids come first; repeated rows get places of their own; extra columns are carried along.
+null doc_ids come first; repeated rows get places of their own; extra columns are carried along, and
+one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, numbered, stored
+from .common import aside, beside, let, numbered, stored
 
 PRIME = (1 << 31) - 1
 
@@ -86,20 +87,22 @@ def walks(spark: SparkSession, n: int, keys: list[tuple[int, int]]) -> int:
     return passes
 
 
-def shuffled(df: DataFrame, *order: str, seed: int = 7, rounds: int = 6, name: str = "place", keep=stored) -> DataFrame:
-    """Adds the place of each row in a reproducible shuffle of the rows as ordered by `order`."""
-    rows = numbered(df, *order, name="_row", keep=keep)
+def shuffled(df: DataFrame, *order: Column | str, seed: int = 7, rounds: int = 6, name: str = "place", keep=stored) -> DataFrame:
+    """Adds the place of each row in a reproducible shuffle of the rows as ordered by `order`, names or expressions."""
+    own = aside(df, **{f"k{i}": c for i, c in enumerate(order) if not isinstance(c, str)})
+    rows = numbered(own, *[F.col("_row")[c] if isinstance(c, str) else F.col(f"k{i}") for i, c in enumerate(order)], name="row", keep=keep)
     n = rows.count()
     if n == 0:
-        return rows.withColumn(name, F.col("_row")).drop("_row")
+        return beside(rows, **{name: "row"})
     keys = round_keys(seed, rounds)
-    place = permute(F.col("_row"), n, keys)
+    place = permute(F.col("row"), n, keys)
     for _ in range(walks(df.sparkSession, n, keys) - 1):
         place = let(place, lambda p: F.when(p < n, p).otherwise(permute(p, n, keys)))
-    return rows.withColumn(name, place).drop("_row")
+    return beside(rows.withColumn("place", place), **{name: "place"})
 
 
-def sharded(df: DataFrame, *order: str, shards: int = 16, seed: int = 7, rounds: int = 6, keep=stored) -> DataFrame:
+def sharded(df: DataFrame, *order: Column | str, shards: int = 16, seed: int = 7, rounds: int = 6, keep=stored) -> DataFrame:
     """Adds `shard` and `slot`. Slots of a shard run from 0 without gaps; shard sizes differ by one at most."""
-    placed = shuffled(df, *order, seed=seed, rounds=rounds, name="_place", keep=keep)
-    return placed.withColumn("shard", (F.col("_place") % shards).cast("int")).withColumn("slot", whole(F.col("_place"), shards)).drop("_place")
+    placed = aside(df, **{f"k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)})
+    placed = shuffled(placed, *[f"k{i}" for i in range(len(order))], seed=seed, rounds=rounds, keep=keep)
+    return beside(placed.withColumns({"shard": (F.col("place") % shards).cast("int"), "slot": whole(F.col("place"), shards)}), "shard", "slot")

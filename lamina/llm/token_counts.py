@@ -8,7 +8,7 @@ the table lacks and remembers it in a bounded cache. No pre-token is ever shuffl
 save work: results don't depend on the sample.
 
 Null and empty texts have no tokens. Special strings in texts are plain text. Extra columns are
-carried along; repeated rows are counted each.
+carried along, but for one with the name of the result; repeated rows are counted each.
 """
 
 from __future__ import annotations
@@ -83,20 +83,25 @@ def frequent(docs: DataFrame, text: str, rows: int, characters: int, table_size:
     most rows x characters.
     """
     seen: Tally = Tally()
-    for (t,) in docs.select(F.substring(text, 1, characters)).take(rows):
+    for (t,) in docs.select(F.substring(F.col(f"`{text}`"), 1, characters)).take(rows):
         if t:
             seen.update(x for x in pre_tokens(t) if len(x) <= 64)
     return [k for k, _ in seen.most_common(table_size)]
 
 
 def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", sample_rows: int = 1_000, sample_characters: int = 10_000, table_size: int = 32_768, name: str = "n_tokens") -> DataFrame:
-    """Adds the number of tokens."""
+    """Adds the number of tokens; a column of that name gives way to it."""
     spark = docs.sparkSession
+    own = [c for c in docs.columns if c.lower() != name.lower()]
+    # a text column of that name is read under another, and goes
+    hidden = "_" + name if text not in own else None
+    docs = docs.select(*[F.col(f"`{c}`") for c in own], *([F.col(f"`{text}`").alias(hidden)] if hidden else []))
+    text = hidden or text
     driver = Counter(model)
     table = {} if driver.whole else {k: driver.encoded(k) for k in frequent(docs, text, sample_rows, sample_characters, table_size)}
     known = spark.sparkContext.broadcast(table)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    schema = T.StructType([*docs.schema.fields[: len(own)], T.StructField(name, T.LongType())])
 
     def run(batches):
         import pyarrow as pa
@@ -104,6 +109,6 @@ def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.mod
         count = Counter(model, known.value)
         for batch in batches:
             n = pa.array([count(t) for t in batch.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], n], [*batch.schema.names[: len(own)], name])
 
     return docs.mapInArrow(run, schema)

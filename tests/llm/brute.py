@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -149,3 +150,62 @@ def contaminated(docs, items):
         names = ",".join(sorted(str(x) for x in found if x is not None))
         out.append((d, len(w), len(hit), len(found - {None}), sha(names.encode()), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
+
+
+def quote_lines(text):
+    """(level, body) of a message's lines; -1 for lines that announce a quote."""
+    out = []
+    for line in re.split("\r?\n", text or ""):
+        m = re.match(r"((?:[ \t]*>)+)[ \t]?", line)
+        out.append((m.group(1).count(">"), line[m.end() :]) if m else (0, line))
+    return [(-1, b) if lv == 0 and i + 1 < len(out) and out[i + 1][0] > 0 and re.search(r"(?i)^[ \t]*on\b.*\bwrote:[ \t]*$", b) else (lv, b) for i, (lv, b) in enumerate(out)]
+
+
+def quote_normal(text):
+    import regex
+
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip(" ") or re.sub(r"\s+", " ", text).strip(" ")
+
+
+def quote_units(text, quoted):
+    """(level, passage, part, text) of whole passages and of their lines."""
+    out = set()
+    for lv, group in itertools.groupby(quote_lines(text), key=lambda x: x[0]):
+        if (lv > 0) if quoted else (lv == 0):
+            bodies = [b for _, b in group]
+            whole = quote_normal("\n".join(bodies))
+            out |= {u for u in [(lv, whole, 0, whole), *((lv, whole, 1, quote_normal(b)) for b in bodies)] if u[3]}
+    return out
+
+
+def conversations(rows, min_chars=8):
+    """rows: (conv, turn, role, text). Rows (conv, turn, n_quotes, max_level, quotes, parent, thread, depth, position, clean)."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    said, links = {}, {}
+    for c, t, _, x in rows:
+        if t is not None:
+            for u in quote_units(x, False):
+                said.setdefault((c, u[3]), set()).add(t)
+    for c, t, _, x in rows:
+        if t is None:
+            continue
+        found = [(u, max(s)) for u in quote_units(x, True) if (s := [y for y in said.get((c, u[3]), ()) if y < t])]
+        for (lv, passage, part, text), source in found:
+            if part == min(u[2] for u, _ in found if u[:2] == (lv, passage)):
+                links.setdefault((c, t), set()).add((lv, md5(text), len(text) < min_chars, source))
+    parent = {k: max((-lv, not weak, source) for lv, _, weak, source in v)[2] for k, v in links.items()}
+    out = []
+    for c, t, role, x in rows:
+        at, depth = t, 0
+        while (c, at) in parent:
+            at, depth = parent[c, at], depth + 1
+        read = quote_lines(x)
+        clean = re.sub(r"\n{3,}", "\n\n", "\n".join(b for lv, b in read if lv == 0)).strip(" ")
+        groups = [lv for lv, _ in itertools.groupby(read, key=lambda y: y[0])]
+        out.append((c, t, sum(lv > 0 for lv in groups), max(0, max(groups)), tuple(sorted((lv, p, s) for lv, p, _, s in links.get((c, t), ()))), parent.get((c, t)), at, depth, role, clean))
+    none = lambda v: (v is not None, v if v is not None else 0)
+    out.sort(key=lambda r: (none(r[0]), none(r[6]), r[7], none(r[1]), (r[8] is not None, (r[8] or "").encode()), r[9].encode()))
+    first = {}
+    for i, r in enumerate(out):
+        first.setdefault(r[0], i)
+    return [(*r[:8], i - first[r[0]], r[9]) for i, r in enumerate(out)]

@@ -83,25 +83,30 @@ def test_previous_factors_of_random_bytes(seed):
     r = random.Random(seed)
     text = [bytes(r.choices(b"ab" if seed % 2 else b"a\0b", [6, 1] if seed % 2 else [5, 1, 1], k=r.randint(8, 60))) for _ in range(12)]
     how = previous_factors.Lengths(size=12, floor=5, gram=2)
-    place = [np.array(r.sample(range(10_000, 20_000), 12)), np.zeros(12, np.int64), np.zeros(12, np.int64)]
-    s = previous_factors.Suffixes(how, text, tuple(place))
-    position = place[0][s.which] * 100 + s.x
-    got = {(int(w), int(x)): int(n) for w, x, n in zip(s.which, s.x, previous_factors.previous_factors(position, s.common)) if n}
+    # cut into runs, as buckets want them; equal runs once
+    _, name, _, _, start, many, size = previous_factors.run_rows(how, [b"\1".join(text)])
+    whole = b"\1".join(text)
+    runs = {(int(k), whole[p : p + m]): (int(p), int(n)) for k, p, n, m in reversed(list(zip(name.view(np.int64), start, many, size)))}
+    content = [c for _, c in runs]
+    at, n = (np.array(x) for x in zip(*runs.values()))
+    s = previous_factors.Suffixes(how, content, np.array([k for k, _ in runs], dtype=np.int64), n)
+    position = at[s.which] + s.x
+    got = {int(p): int(n) for p, n in zip(position, previous_factors.previous_factors(position, s.common)) if n}
+    # of equal runs the first stands for all
+    text, known = whole, {int(p) + x for p, m in zip(at, n) for x in range(m)}
     want = {}
-    for i, t in enumerate(text):
-        for p in range(len(t) - how.floor + 1):
-            best = 0
-            for j, u in enumerate(text):
-                for q in range(len(u) - how.floor + 1):
-                    if (place[0][j], q) < (place[0][i], p):
-                        n = 0
-                        while n < how.size and p + n < len(t) and q + n < len(u) and t[p + n] == u[q + n]:
-                            n += 1
-                        best = max(best, n)
-            if best >= how.floor:
-                want[i, p] = best
-    assert got == want
-    order = [text[w][x : x + how.size] for w, x in zip(s.which, s.x)]
+    for p in known:
+        best = 0
+        for q in known:
+            if q < p:
+                n = 0
+                while n < how.size and p + n < len(text) and text[p + n] == text[q + n]:
+                    n += 1
+                best = max(best, n)
+        if best >= how.floor:
+            want[p] = best
+    assert want and got == want, sorted(set(got.items()) ^ set(want.items()))
+    order = [text[p : p + how.size] for p in position]
     for a, b, n in zip(order, order[1:], s.common[1:]):
         assert n == 0 or a <= b
 
@@ -242,7 +247,7 @@ def test_mixing(spark):
     rows = [(i if i % 50 else None, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "a", "a", "b", "c", None]), "x", "y", "z") for i in range(600)]
     rows += [(1, None, "tiny", "x", "y", "z"), (2, "one", "tiny", "x", "y", "z")]
     df = spark.createDataFrame(rows, DOC)
-    got = mixing.mixed(mixing.sized(df)).collect()
+    got = mixing.mixed(df).collect()
     assert len(got) == len(rows)
     total = sum(g["size"] for g in got)
     per = {}
@@ -253,10 +258,10 @@ def test_mixing(spark):
     assert per["tiny"][1] == 3 and per["tiny"][2] <= 3
     assert all(abs(taken - target) <= 41 and target <= 3 * size for size, target, taken in per.values())
     assert sum(x[2] for x in per.values()) <= total
-    again = mixing.mixed(mixing.sized(df.repartition(5)))
+    again = mixing.mixed(df.repartition(5))
     assert as_set(again, "doc_id", "size", "source", "taken") == Counter((g.doc_id, g["size"], g.source, g.taken) for g in got)
-    assert mixing.expanded(mixing.mixed(mixing.sized(df))).count() == sum(g.copies for g in got)
-    assert mixing.mixed(mixing.sized(df.limit(0))).count() == 0
+    assert mixing.expanded(df).count() == sum(g.copies for g in got)
+    assert mixing.mixed(df.limit(0)).count() == 0
 
 
 def test_license_scan(spark):
@@ -355,6 +360,53 @@ def test_nested_quotes_are_linked(spark):
     assert [sorted((q.level, q.source) for q in r.quotes) for r in got] == [[], [(1, 0)], [(1, 1), (2, 0)], [(2, 0)], [(1, 1), (1, 2)], [(1, 1), (1, 2)]]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_conversations_against_a_plain_linker(spark, seed):
+    """Random chats with nested, edited and short quotes, announcements, blank lines, parts, nulls and copies."""
+    r = random.Random(seed)
+    say = ["Hello there, all of you!", "a second thing to say", "ok", "Yes.", "你好吗", "...", "", "  ", "Ünïcode wörds here", "one more line of text"]
+    rows = []
+    for conv in (1, 2, None):
+        told: list[str] = []
+        for turn in range(25):
+            lines: list[str] = []
+            for _ in range(r.randint(0, 3)):
+                if r.random() < 0.2:
+                    lines.append(r.choice(["On Monday a wrote:", "on and on he wrote: ", "She wrote:"]))
+                quoted = r.choice(told).split("\n") if told and r.random() < 0.8 else r.sample(say, 2)
+                mark = r.choice(["> ", ">", ">> ", " > > ", ">\t"])
+                lines += [mark + (x.upper() if r.random() < 0.2 else x) for x in quoted[r.randint(0, 1) :]]
+                lines += r.choices(say, k=r.randint(0, 3))
+            text = r.choice(["\n", "\n", "\r\n"]).join(lines + r.choices(say, k=r.randint(0, 2)))
+            told.append(text)
+            rows.append((conv, turn if r.random() < 0.95 else None, r.choice(["a", "b", None]), text if r.random() < 0.95 else None))
+    rows += [rows[3], rows[3], (1, 5, "c", "> ok\na part of one message")]
+    names = "conv_id long, turn long, role string, text string"
+    got = chat_quotes.formatted(spark.createDataFrame(rows, names).repartition(3))
+    got = [(g.conv_id, g.turn, g.n_quotes, g.max_level, tuple(map(tuple, g.quotes)), g.parent_turn, g.thread_turn, g.depth, g.position, g.clean_text) for g in got.collect()]
+    want = brute.conversations(rows)
+    assert any(w[7] > 2 for w in want)
+    drop = lambda w: w[:8] + w[9:]
+    assert Counter(map(drop, got)) == Counter(map(drop, want))
+    place = lambda w: (w[0], w[8], w[6], w[7], w[1], w[9])
+    assert Counter(map(place, got)) == Counter(map(place, want))
+
+
+def test_quotes_of_alternating_levels_take_time_by_the_line(spark):
+    """A message of many short passages costs no more a line than a short one."""
+    import time
+
+    def seconds(n):
+        text = "\n".join("> a quoted line" if i % 2 else "an answer" for i in range(n))
+        df = spark.createDataFrame([(1, 0, "a", "a quoted line")] + [(1, 1 + i, "b", text) for i in range(32_000 // n)], "conv_id long, turn long, role string, text string")
+        began = time.perf_counter()
+        assert chat_quotes.formatted(df).agg(F.max("n_quotes")).first()[0] == n // 2
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    assert seconds(32_000) < 4 * seconds(500)
+
+
 def test_long_reply_chains(spark):
     """A conversation longer than a block of turns, each message quoting the one before."""
     n = chat_quotes.BLOCK + 40
@@ -366,3 +418,50 @@ def test_long_reply_chains(spark):
 @pytest.mark.parametrize("f", [recompression.deduplicated, previous_factors.deduplicated, near_duplicates.labelled, near_duplicates.deduplicated, token_counts.counted, license_scan.scanned, quality_rules.with_statistics])
 def test_empty_tables(spark, f):
     assert f(frame(spark, [])).count() == 0
+
+
+#: Names that operators use themselves or give to results, and one that must be quoted.
+CLASHES = ["size", "copies", "SOURCE_SIZE", "target", "n_tokens", "N_Words", "word_chars", "shard", "slot", "place", "row", "_row", "key", "id", "doc", "rk", "fp", "w", "kept", "base_failed", "asked_key", "order", "p", "a", "start", "sum", "copy", "_part", "_at", "_start", "a.b"]
+
+
+@pytest.mark.parametrize(
+    "f, results",
+    [
+        (lambda d: sharding.sharded(d, "doc_id", "text"), "doc_id text shard slot"),
+        (recompression.deduplicated, "doc_id n_words n_removed kept_sha256"),
+        (previous_factors.deduplicated, "doc_id n_bytes n_removed n_later kept_sha256"),
+        (near_duplicates.labelled, "doc_id fingerprint component_id"),
+        (near_duplicates.deduplicated, "doc_id text"),
+        (quality_rules.with_statistics, "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed"),
+        (lambda d: quality_rules.kept_rows(d, d.sparkSession.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")), "doc_id text"),
+        (license_scan.scanned, "doc_id n_blocks n_matches license"),
+        (token_counts.counted, "doc_id text n_tokens"),
+        (lambda d: decontamination.decontaminated(d, d.sparkSession.createDataFrame([(1, "one")], "item_id long, text string")), "doc_id text"),
+        (lambda d: decontamination.per_row(decontamination.judged(d, d.sparkSession.createDataFrame([(1, "one")], "item_id long, text string"))), "id n_words n_hit contaminated"),
+        (mixing.mixed, "doc_id source size target copies taken"),
+        (mixing.expanded, "doc_id text source"),
+    ],
+)
+def test_extra_columns_with_clashing_names(spark, f, results):
+    """They change no result; a column with the name of a result gives way, the others are carried along."""
+    rows = corpus(21, 20)
+    plain = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    wide = plain.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES], F.create_map(F.lit("k"), F.lit(1)).alias("map"), F.lit(None).alias("nothing"))
+    got, want = f(wide), f(plain)
+    assert as_set(got, *results.split()) == as_set(want, *results.split())
+    assert len({c.lower() for c in got.columns}) == len(got.columns)
+    carried = [c for c in CLASHES if c in got.columns and c.lower() not in {x.lower() for x in want.columns}]
+    if "text" in results.split():
+        assert len(carried) >= len(CLASHES) - 8
+    for c in carried:
+        assert got.where(F.col(f"`{c}`") != f"own {c}").isEmpty() or "text" not in results.split()
+
+
+def test_conversations_with_clashing_names(spark):
+    rows = [(1, 0, "a", "the first message"), (1, 1, "b", "> the first message\nand an answer"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    names = ["conv", "source", "root", "depth", "DEPTH2", "n", "first", "level", "quoted", "quotes", "_row", "p", "position", "h", "a.b"]
+    wide = df.select("*", *[F.lit("own").alias(c) for c in names], F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+    got, want = chat_quotes.formatted(wide), chat_quotes.formatted(df)
+    assert as_set(got, *want.columns) == as_set(want, *want.columns)
+    assert got.where("source = 'own' and conv = 'own' and root = 'own'").count() == 3 and "a.b" in got.columns
