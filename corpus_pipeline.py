@@ -1,7 +1,8 @@
 """The corpus pipeline: five of the operators in a row, each on what the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of `documents`; the last adds where a
-row goes. Stages are written as Parquet and read again, so each starts with short lineage.
+row goes. Stages are written as Parquet and read again, so each starts with short lineage. Extra columns
+are carried along; the last stage's shard and slot take the place of columns of these names.
 """
 
 from __future__ import annotations
@@ -10,19 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontamination, mixing, near_duplicates, quality_rules, sharding
-from lamina.llm.common import Scratch, row_key
+from lamina.llm.common import Scratch
 
 SHARDS = 16
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned list."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    numbers = quality_rules.with_statistics(docs.select("doc_id", "text", row_key().alias("_k"))).drop("text")
-    judged, _ = quality_rules.judged(numbers, labels)
-    kept = judged.where("kept").select(F.col("doc_id").alias("_d"), "_k").distinct()
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(kept, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").drop("_key")
+    return quality_rules.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +33,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to three times."""
-    scratch = Scratch(spark)
-    out = mixing.mixed(mixing.sized(docs), keep=lambda df: scratch.table("queue", df))
-    return mixing.expanded(out).select(*docs.columns)
+    return mixing.expanded(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a global shuffle, dealt to shards; with shard and slot."""
     scratch = Scratch(spark)
-    placed = sharding.sharded(docs.withColumn("_crc", F.crc32("text")), "doc_id", "_crc", shards=SHARDS, keep=lambda df: scratch.table("rows", df))
-    return placed.drop("_crc")
+    return sharding.sharded(docs, "doc_id", F.crc32("text"), shards=SHARDS, keep=lambda df: scratch.table("rows", df))
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("weighted_mix", mix), ("feistel_sharding", shard)]
