@@ -15,18 +15,41 @@ def _bounded(size: int, maximum: int) -> None:
         raise LimitExceeded("output", maximum, size)
 
 
+#: Bytes that a decoder is given at once: what it doesn't use comes back as a copy, so it stays small.
+FEED = 1 << 16
+
+
 def _inflate(data: bytes, wbits: int, max_output: int, zdict: bytes | None = None) -> tuple[bytes, int]:
     """One deflate stream with the wrapper that wbits names, and the bytes it took."""
     d = zlib.decompressobj(wbits, zdict=zdict) if zdict else zlib.decompressobj(wbits)
+    out, total, at = [], 0, 0
     try:
-        out = d.decompress(data, max_output + 1)
+        while not d.eof and at < len(data):
+            out.append(d.decompress(data[at : at + FEED], max_output + 1 - total))
+            total += len(out[-1])
+            at += FEED
+            # input is left waiting only where the limit was passed
+            _bounded(total, max_output)
     except zlib.error as e:
         raise MalformedData(str(e)) from None
-    _bounded(len(out), max_output)
     if not d.eof:
-        # the limit leaves at most one more byte to come, so more input can't be waiting
         raise MalformedData("truncated stream")
-    return out, len(data) - len(d.unused_data)
+    return b"".join(out), min(at, len(data)) - len(d.unused_data)
+
+
+def _streamed(d, data: bytes, max_output: int) -> tuple[bytes, int]:
+    """The same for decoders that say when they need input."""
+    out, total, at = [], 0, 0
+    while not d.eof:
+        piece = b""
+        if d.needs_input:
+            piece, at = data[at : at + FEED], at + FEED
+            if not piece:
+                raise MalformedData("truncated stream")
+        out.append(d.decompress(piece, max_output + 1 - total))
+        total += len(out[-1])
+        _bounded(total, max_output)
+    return b"".join(out), min(at, len(data)) - len(d.unused_data)
 
 
 def _deflate(data: bytes, wbits: int, level: int, zdict: bytes | None = None, strategy: int = zlib.Z_DEFAULT_STRATEGY) -> bytes:
@@ -60,8 +83,9 @@ def _frames(one, data: bytes, max_output: int, single: bool, padding=None) -> tu
     """Frames up to the end of the data, or the first."""
     out, at = [], 0
     total = 0
+    data = memoryview(data)
     while at < len(data) or not out:
-        part, n = one(data[at:] if at else data, max_output - total)
+        part, n = one(data[at:], max_output - total)
         out.append(part)
         total += len(part)
         at += n
@@ -81,15 +105,12 @@ def bzip2_encode(data, level=9):
 
 
 def _bzip2_one(data, max_output):
-    d = bz2.BZ2Decompressor()
     try:
-        out = d.decompress(data, max_output + 1)
+        return _streamed(bz2.BZ2Decompressor(), data, max_output)
     except (OSError, ValueError) as e:
+        if isinstance(e, (LimitExceeded, MalformedData)):
+            raise
         raise MalformedData(str(e)) from None
-    _bounded(len(out), max_output)
-    if not d.eof:
-        raise MalformedData("truncated stream")
-    return out, len(data) - len(d.unused_data)
 
 
 def bzip2_decode(data, max_output, single=False):
@@ -98,22 +119,11 @@ def bzip2_decode(data, max_output, single=False):
 
 def _unlzma(data: bytes, max_output: int, **how) -> tuple[bytes, int]:
     try:
-        d = lzma.LZMADecompressor(**how)
-        out = d.decompress(data, max_output + 1)
-        _bounded(len(out), max_output)
-        while not d.eof and not d.needs_input:
-            more = d.decompress(b"", max_output + 1 - len(out))
-            if not more:
-                break
-            out += more
-            _bounded(len(out), max_output)
+        return _streamed(lzma.LZMADecompressor(**how), data, max_output)
     except (lzma.LZMAError, EOFError, ValueError) as e:
-        if isinstance(e, LimitExceeded):
+        if isinstance(e, (LimitExceeded, MalformedData)):
             raise
         raise MalformedData(str(e)) from None
-    if not d.eof:
-        raise MalformedData("truncated stream")
-    return out, len(data) - len(d.unused_data)
 
 
 def _memory(max_memory):
@@ -122,9 +132,17 @@ def _memory(max_memory):
 
 def xz_encode(data, level=6, check="crc64", filters=None):
     kinds = {"none": lzma.CHECK_NONE, "crc32": lzma.CHECK_CRC32, "crc64": lzma.CHECK_CRC64, "sha256": lzma.CHECK_SHA256}
+    if filters is None and len(data) < 1 << 18:
+        # tables are set up for the dictionary, which needn't be larger than the data
+        filters = [{"id": lzma.FILTER_LZMA2, "preset": level, "dict_size": _dictionary(data)}]
     return lzma.compress(data, lzma.FORMAT_XZ, kinds[check], None if filters else level, filters)
 
 
+def _dictionary(data: bytes, most: int = 1 << 26) -> int:
+    """The smallest power of two that holds the data, from 4096 to `most`."""
+    return min(most, 1 << max(12, (len(data) - 1).bit_length()))
+
+
 def _xz_padding(data: bytes, at: int) -> int:
     end = at
     while end < len(data) and not data[end]:
@@ -143,7 +161,7 @@ def lzma_filter(dict_size=1 << 20, lc=3, lp=0, pb=2):
 
 
 def lzma_encode(data, dict_size=1 << 20, lc=3, lp=0, pb=2):
-    return lzma.compress(data, lzma.FORMAT_ALONE, filters=[lzma_filter(dict_size, lc, lp, pb)])
+    return lzma.compress(data, lzma.FORMAT_ALONE, filters=[lzma_filter(_dictionary(data, dict_size), lc, lp, pb)])
 
 
 def lzma_decode(data, max_output, max_memory=None):
@@ -151,7 +169,7 @@ def lzma_decode(data, max_output, max_memory=None):
 
 
 def lzma_raw_encode(data, dict_size=1 << 20, lc=3, lp=0, pb=2):
-    return lzma.compress(data, lzma.FORMAT_RAW, filters=[lzma_filter(dict_size, lc, lp, pb)])
+    return lzma.compress(data, lzma.FORMAT_RAW, filters=[lzma_filter(_dictionary(data, dict_size), lc, lp, pb)])
 
 
 def lzma_raw_decode(data, max_output, dict_size=1 << 20, lc=3, lp=0, pb=2, decoded_size=None):
@@ -168,7 +186,7 @@ def lzma_raw_decode(data, max_output, dict_size=1 << 20, lc=3, lp=0, pb=2, decod
 
 
 def lzma2_encode(data, dict_size=1 << 20):
-    return lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": max(4096, dict_size)}])
+    return lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": _dictionary(data, max(4096, dict_size))}])
 
 
 def lzma2_decode(data, max_output, dict_size=1 << 26):
@@ -176,6 +194,7 @@ def lzma2_decode(data, max_output, dict_size=1 << 26):
 
 
 def lzip_encode(data, dict_size=1 << 23):
+    dict_size = _dictionary(data, dict_size)
     body = lzma.compress(data, lzma.FORMAT_RAW, filters=[lzma_filter(dict_size)])
     head = b"LZIP\x01" + bytes([max(12, dict_size.bit_length() - 1)])
     return head + body + struct.pack("<IQQ", zlib.crc32(data), len(data), len(head) + len(body) + 20)
@@ -239,10 +258,10 @@ def _zstd_one(data, max_output, dictionary, max_window):
     if magic != ZSTD_MAGIC:
         raise MalformedData("not a zstd frame")
     try:
-        if max_window is not None and (w := z.get_frame_parameters(data).window_size) > max_window:
+        if max_window is not None and (w := z.get_frame_parameters(bytes(data[:32])).window_size) > max_window:
             raise LimitExceeded("window", max_window, w)
         d = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(dictionary) if dictionary else None, max_window_size=max_window or 0).decompressobj()
-        size = z.frame_content_size(data)
+        size = z.frame_content_size(bytes(data[:32]))
         if size > max_output:
             raise LimitExceeded("output", max_output, size)
         out = []
@@ -269,10 +288,11 @@ def zstd_frames(data: bytes) -> list[tuple[int, int, bool, int | None]]:
     import zstandard as z
 
     out, at = [], 0
+    data = memoryview(data)
     while at < len(data):
         magic = int.from_bytes(data[at : at + 4], "little")
         _, n = _zstd_one(data[at:], 1 << 40, None, None)
-        stated = None if magic & 0xFFFFFFF0 == SKIPPABLE else z.frame_content_size(data[at:])
+        stated = None if magic & 0xFFFFFFF0 == SKIPPABLE else z.frame_content_size(bytes(data[at : at + 32]))
         out.append((at, n, magic & 0xFFFFFFF0 == SKIPPABLE, stated if stated is not None and stated >= 0 else None))
         at += n
     return out

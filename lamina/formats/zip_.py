@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -237,32 +238,41 @@ def _indexed(f, limits: Limits, charset: str | None, password: bytes | None):
         yield e
 
 
-def _find_end(f, start: int, method: int, limits: Limits) -> tuple[int, int, int, int]:
-    """(packed, real, crc, bytes of the descriptor) of a body whose sizes follow it."""
-    f.seek(start)
-    rest = f.read()
-    at = -1
+#: Marks that can end a body: its descriptor, or the record after an unsigned one.
+_AFTER_BODY = re.compile(b"PK(?:\x07\x08|\x03\x04|\x01\x02)")
+
+
+def _find_end(f, start: int, window: int = 1 << 20) -> tuple[int, int, int, int]:
+    """(packed, real, crc, bytes of the descriptor) of a body whose sizes follow it.
+
+    The first place counts where a descriptor states the way from the body's start. The file is read in
+    windows up to that place, each with the last bytes of the one before.
+    """
+    begin, held, margin = 0, b"", 32
     while True:
-        # the descriptor is where signature or sizes fit; signed ones first
-        at = rest.find(DESCRIPTOR, at + 1)
-        if at < 0:
-            break
-        for width in (4, 8):
-            if at + 8 + 2 * width > len(rest):
-                continue
-            crc, packed, real = struct.unpack_from("<IQQ" if width == 8 else "<III", rest, at + 4)
-            if packed == at and rest[at + 8 + 2 * width :][:4] in (LOCAL, CENTRAL, b"PK\x06\x06", END):
-                return packed, real, crc, 8 + 2 * width
-    for mark in (LOCAL, CENTRAL):
-        at = -1
-        while (at := rest.find(mark, at + 1)) >= 0:
-            for width in (4, 8):
-                d = at - 4 - 2 * width
-                if d >= 0:
-                    crc, packed, real = struct.unpack_from("<IQQ" if width == 8 else "<III", rest, d)
-                    if packed == d:
-                        return packed, real, crc, 4 + 2 * width
-    raise MalformedData("no data descriptor")
+        f.seek(start + begin + len(held))
+        more = f.read(window)
+        held += more
+        # marks near the window's end wait for the bytes behind them
+        last = len(held) - (margin if more else 0)
+        for m in _AFTER_BODY.finditer(held):
+            if m.start() >= last:
+                break
+            at, signed = begin + m.start(), m.group() == DESCRIPTOR
+            for width, form in ((4, "<III"), (8, "<IQQ")):
+                size = 4 + 2 * width
+                place = m.start() + 4 if signed else m.start() - size
+                if place < 0 or place + size > len(held):
+                    continue
+                crc, packed, real = struct.unpack_from(form, held, place)
+                if signed and packed == at and held[place + size :][:4] in (LOCAL, CENTRAL, b"PK\x06\x06", END):
+                    return packed, real, crc, 4 + size
+                if not signed and packed == at - size:
+                    return packed, real, crc, size
+        if not more:
+            raise MalformedData("no data descriptor")
+        cut = max(0, len(held) - 2 * margin)
+        begin, held = begin + cut, held[cut:]
 
 
 def _streamed(f, limits: Limits, charset: str | None, password: bytes | None):
@@ -289,7 +299,7 @@ def _streamed(f, limits: Limits, charset: str | None, password: bytes | None):
         after = 0
         shown = real
         if flags & 8:
-            packed, real, crc, after = _find_end(f, start, method, limits)
+            packed, real, crc, after = _find_end(f, start)
             shown = None
         else:
             wide = _wide(extra, [("real", real, 4), ("packed", packed, 4)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import lzma
+
 import numpy as np
 
 from ..errors import MalformedData
@@ -22,142 +24,102 @@ def delta_decode(data: bytes, distance: int = 1) -> bytes:
     return np.cumsum(padded.reshape(rows, distance), axis=0, dtype=np.uint8).tobytes()[:n]
 
 
-def _words(step: int, size: int, order: str, change):
-    """A filter over aligned words: change(word, place, sign) gives the new word or None."""
-
-    def run(data: bytes, encode: bool, start: int = 0) -> bytes:
-        out, sign = bytearray(data), 1 if encode else -1
-        for i in range(0, len(data) - size + 1, step):
-            w = change(int.from_bytes(out[i : i + size], order), start + i, sign)
-            if w is not None:
-                out[i : i + size] = w.to_bytes(size, order)
-        return bytes(out)
-
-    return run
-
-
-def _ppc(w, at, sign):
-    if w & 0xFC000003 == 0x48000001:
-        return 0x48000001 | ((w & 0x03FFFFFC) + sign * at) & 0x03FFFFFC
-
+#: The cheapest settings of the coder behind which the library's filters stand: it only carries bytes here.
+_CARRIER = {"id": lzma.FILTER_LZMA2, "dict_size": 4096, "mode": lzma.MODE_FAST, "mf": lzma.MF_HC3, "depth": 1, "nice_len": 3, "lc": 0, "lp": 0, "pb": 0}
 
-def _arm(w, at, sign):
-    if w >> 24 == 0xEB:
-        return 0xEB000000 | ((w & 0xFFFFFF) + sign * (at + 8 >> 2)) & 0xFFFFFF
-
-
-def _sparc(w, at, sign):
-    if w >> 22 in (0x100, 0x1FF):
-        v = (w << 2) + sign * at
-        v = (v & 0xFFFFFFFF) >> 2
-        return (0 - (v >> 22 & 1) << 22) & 0x3FFFFFFF | v & 0x3FFFFF | 0x40000000
-
-
-def _arm64(w, at, sign):
-    if w >> 26 == 0x25:
-        return 0x94000000 | (w + sign * (at >> 2)) & 0x03FFFFFF
-    if w & 0x9F000000 == 0x90000000:
-        page = w >> 29 & 3 | w >> 3 & 0x1FFFFC
-        if (page + 0x20000) & 0x1C0000:
-            return None
-        page += sign * (at >> 12)
-        return w & 0x9000001F | (page & 3) << 29 | (page & 0x3FFFC) << 3 | (0 - (page & 0x20000)) & 0xE00000
-
-
-def thumb(data: bytes, encode: bool, start: int = 0) -> bytes:
-    out, i = bytearray(data), 0
-    while i + 4 <= len(out):
-        if out[i + 1] & 0xF8 == 0xF0 and out[i + 3] & 0xF8 == 0xF8:
-            v = ((out[i + 1] & 7) << 19 | out[i] << 11 | (out[i + 3] & 7) << 8 | out[i + 2]) << 1
-            v = (v + (1 if encode else -1) * (start + i + 4)) >> 1
-            out[i + 1], out[i], out[i + 3], out[i + 2] = 0xF0 | v >> 19 & 7, v >> 11 & 255, 0xF8 | v >> 8 & 7, v & 255
-            i += 2
-        i += 2
-    return bytes(out)
 
+def _library(kind: int):
+    """A filter of liblzma: bytes go through it on one side of the carrier and come out plain on the other."""
 
-#: Slots that hold branches, as bits, by the template of an IA-64 bundle.
-_IA64 = (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 4, 4, 6, 6, 0, 0, 7, 7, 4, 4, 0, 0, 4, 4, 0, 0)
-
-
-def ia64(data: bytes, encode: bool, start: int = 0) -> bytes:
-    out = bytearray(data)
-    for i in range(0, len(out) - 15, 16):
-        mask = _IA64[out[i] & 31]
-        for slot in range(3):
-            if not mask >> slot & 1:
-                continue
-            bit = 5 + 41 * slot
-            p, shift = i + bit // 8, bit % 8
-            word = int.from_bytes(out[p : p + 6], "little")
-            n = word >> shift
-            if n >> 37 & 15 == 5 and n >> 9 & 7 == 0:
-                a = n >> 13 & 0xFFFFF | (n >> 36 & 1) << 20
-                a = ((a << 4) + (1 if encode else -1) * (start + i)) >> 4
-                n = n & ~(0x8FFFFF << 13) | (a & 0xFFFFF) << 13 | (a & 0x100000) << 16
-                word = word & (1 << shift) - 1 | n << shift
-                out[p : p + 6] = (word & (1 << 48) - 1).to_bytes(6, "little")
-    return bytes(out)
-
+    def run(data: bytes, encode: bool, start: int = 0) -> bytes:
+        chain = [{"id": kind, "start_offset": start}, _CARRIER]
+        there, back = (chain, [_CARRIER]) if encode else ([_CARRIER], chain)
+        return lzma.decompress(lzma.compress(data, lzma.FORMAT_RAW, filters=there), lzma.FORMAT_RAW, filters=back)
 
-#: By which of the three bytes before held an opcode, whether an operand may start here
-#: and which of its bytes the opcode falls on.
-_MAY_START = (True, True, True, False, True, False, False, False)
-_FALLS_ON = (0, 1, 2, 2, 3, 3, 3, 3)
+    return run
 
 
-def x86(data: bytes, encode: bool, start: int = 0) -> bytes:
-    """Operands of near calls and jumps whose top byte is all zeros or ones, unless opcodes overlap them."""
-    out = bytearray(data)
-    sign_byte = lambda b: b in (0, 255)
-    last, seen, i = -1, 0, 0
-    while i < len(out) - 4:
-        if out[i] & 0xFE != 0xE8:
-            i += 1
-            continue
-        gap, last = i - last, i
-        seen = 0 if gap > 3 else seen << (gap - 1) & 7
-        blocked = seen and (not _MAY_START[seen] or sign_byte(out[i + 4 - _FALLS_ON[seen]]))
-        if blocked or not sign_byte(out[i + 4]):
-            seen = seen << 1 & 7 | 1
-            i += 1
-            continue
-        value, place = int.from_bytes(out[i + 1 : i + 5], "little"), start + i + 5
-        while True:
-            moved = (value + (place if encode else -place)) & 0xFFFFFFFF
-            bits = 8 * _FALLS_ON[seen]
-            if not seen or not sign_byte(moved >> (24 - bits) & 255):
-                break
-            value = moved ^ (1 << (32 - bits)) - 1
-        top = 0xFF000000 if moved >> 24 & 1 else 0
-        out[i + 1 : i + 5] = (moved & 0xFFFFFF | top).to_bytes(4, "little")
-        i += 5
-    return bytes(out)
+def arm64(data: bytes, encode: bool, start: int = 0) -> bytes:
+    """BL by words and, within 512 MiB of zero, ADRP by pages; whole words only."""
+    whole = len(data) // 4 * 4
+    w = np.frombuffer(data, "<u4", whole // 4).copy()
+    at = (np.uint64(start) + np.arange(len(w), dtype=np.uint64) * np.uint64(4)).astype(np.uint32)
+    by = lambda shift: at >> np.uint32(shift) if encode else np.uint32(0) - (at >> np.uint32(shift))
+    call = w >> np.uint32(26) == 0x25
+    calls = np.uint32(0x94000000) | (w + by(2)) & np.uint32(0x03FFFFFF)
+    # the page is 21 bits in two fields, low ones first; it is signed, and only small ones are moved
+    page = w >> np.uint32(29) & np.uint32(3) | (w >> np.uint32(5) & np.uint32(0x7FFFF)) << np.uint32(2)
+    small = (page + np.uint32(0x20000)) & np.uint32(0x1FFFFF) < 0x40000
+    moved = page + by(12) & np.uint32(0x3FFFF)
+    moved |= np.where(moved & np.uint32(0x20000), np.uint32(0x1C0000), np.uint32(0))
+    pages = w & np.uint32(0x9000001F) | (moved & np.uint32(3)) << np.uint32(29) | moved >> np.uint32(2) << np.uint32(5)
+    address = (w & np.uint32(0x9F000000) == 0x90000000) & small
+    return np.where(call, calls, np.where(address, pages, w)).astype("<u4").tobytes() + data[whole:]
+
+
+#: Places of a RISC-V jump's offset: (bit in the instruction, bit in the offset, how many).
+_JAL = ((31, 20, 1), (21, 1, 10), (20, 11, 1), (12, 12, 8))
+#: The same for a converted jump: three bytes, the highest bits first.
+_JAL_PLAIN = ((12, 17, 4), (16, 9, 8), (24, 1, 8))
+
+
+def _gathered(word: int, places) -> int:
+    return sum((word >> there & (1 << n) - 1) << here for there, here, n in places)
+
+
+def _scattered(value: int, places) -> int:
+    return sum((value >> here & (1 << n) - 1) << there for there, here, n in places)
+
+
+def _riscv_pair(one: int, two: int, place: int, encode: bool) -> tuple[int, tuple[int, int, str] | None]:
+    """What becomes of AUIPC and the instruction behind it: bytes to go on by, and the new pair with the order of the second's bytes.
+
+    A pair that uses one register becomes AUIPC to x2, whose upper bits hold the second instruction's lower
+    ones, and the absolute target. What looks like that already, being AUIPC to x0 or x2, is changed into a
+    pair that isn't, so that decoding tells them apart.
+    """
+    register, upper = one >> 7 & 31, one & 0xFFFFF000
+    if register not in (0, 2):
+        if two & 3 != 3 or two >> 15 & 31 != register:
+            return 6, None
+        packed = 0x17 | 2 << 7 | two << 12 & 0xFFFFF000
+        if not encode:
+            return 8, (packed, upper + (two >> 20), "little")
+        signed = (two >> 20) - (two >> 31 << 12)
+        return 8, (packed, upper + signed + place & 0xFFFFFFFF, "big")
+    register, low = one >> 27, one >> 12 & 0xFFFFF
+    if one & 0xF80 != 2 << 7 or low & 3 != 3 or register in (0, 2):
+        return 4, None
+    if encode:
+        return 8, (0x17 | register << 7 | two & 0xFFFFF000, low | two << 20 & 0xFFF00000, "little")
+    target = int.from_bytes(two.to_bytes(4, "little"), "big") - place
+    return 8, (0x17 | register << 7 | target + 0x800 & 0xFFFFF000, low | target << 20 & 0xFFF00000, "little")
 
 
 def riscv(data: bytes, encode: bool, start: int = 0) -> bytes:
-    """JAL to x1 and x5 with absolute targets in big-endian order; address pairs stay as they are."""
-    out, i = bytearray(data), 0
-    while i + 4 <= len(out):
-        w = int.from_bytes(out[i : i + 4], "little")
-        if w & 0xDFF == 0x0EF and w & 0x80 == 0x80:
-            if encode:
-                v = (w >> 31 & 1) << 20 | (w >> 12 & 255) << 12 | (w >> 20 & 1) << 11 | (w >> 21 & 0x3FF) << 1
-                v = (v + start + i) & 0x1FFFFE
-                top = v >> 17 & 15 | (v >> 9 & 255) << 4 | (v >> 1 & 255) << 12
-            else:
-                top = w >> 12
-                v = (top & 15) << 17 | (top >> 4 & 255) << 9 | (top >> 12 & 255) << 1
-                v = (v - start - i) & 0x1FFFFE
-                top = (v >> 12 & 255) | (v >> 11 & 1) << 8 | (v >> 1 & 0x3FF) << 9 | (v >> 20 & 1) << 19
-            out[i : i + 4] = (top << 12 | w & 0xFFF).to_bytes(4, "little")
-            i += 4
+    """JAL to x1 and x5, and AUIPC with the instruction that uses its result, with absolute targets."""
+    out, go_on = bytearray(data), 0
+    first = np.frombuffer(data, np.uint8)[: max(0, len(data) - 7) : 2]
+    for i in (2 * np.flatnonzero((first == 0xEF) | (first & 0x7F == 0x17))).tolist():
+        if i < go_on:
+            continue
+        one = int.from_bytes(out[i : i + 4], "little")
+        if one & 0xFF == 0xEF:
+            if one & 0xD00:
+                continue
+            go_on = i + 4
+            places = (_JAL, _JAL_PLAIN) if encode else (_JAL_PLAIN, _JAL)
+            target = _gathered(one, places[0]) + (start + i if encode else -start - i)
+            out[i : i + 4] = (one & 0xFFF | _scattered(target, places[1])).to_bytes(4, "little")
         else:
-            i += 2
+            n, pair = _riscv_pair(one, int.from_bytes(out[i + 4 : i + 8], "little"), start + i, encode)
+            go_on = i + n
+            if pair:
+                out[i : i + 8] = pair[0].to_bytes(4, "little") + (pair[1] & 0xFFFFFFFF).to_bytes(4, pair[2])
     return bytes(out)
 
 
-BRANCHES = {"x86": x86, "ppc": _words(4, 4, "big", _ppc), "ia64": ia64, "arm": _words(4, 4, "little", _arm), "thumb": thumb, "sparc": _words(4, 4, "big", _sparc), "arm64": _words(4, 4, "little", _arm64), "riscv": riscv}
+BRANCHES = {"x86": _library(lzma.FILTER_X86), "ppc": _library(lzma.FILTER_POWERPC), "ia64": _library(lzma.FILTER_IA64), "arm": _library(lzma.FILTER_ARM), "thumb": _library(lzma.FILTER_ARMTHUMB), "sparc": _library(lzma.FILTER_SPARC), "arm64": arm64, "riscv": riscv}
 
 
 def apply(name: str, data: bytes, encode: bool, distance: int = 1) -> bytes:
