@@ -39,8 +39,6 @@ TEMPLATES = {
 }
 #: Lower-case words near which a license may stand.
 CUES = ("licens", "licenc", "copyright", "permission is", "redistribut", "creative commons", "spdx", "warrant")
-#: Characters other than white space to each side of a cue that a block may have, across line ends.
-REACH = 600
 WORDS = re.compile(r"\w+(?:[.\-]\w+)*")
 
 
@@ -80,22 +78,28 @@ def cues(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def reaches(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """For each place the stretch with REACH characters to both sides, white space not counted."""
+def reach_of(templates: dict[str, str]) -> int:
+    """Characters other than white space that a notice can go to each side of its cue: a confirmed one has at
+    most as many further words as the longest template has words."""
+    return 2 * max((len("".join(t.split())) for t in templates.values()), default=0) + 80
+
+
+def reaches(text: str, places: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """For each place the stretch with `reach` characters to both sides, white space not counted."""
     solid = [m.start() for m in re.finditer(r"\S", text)] if places else []
-    return [(solid[max(0, bisect_left(solid, s) - REACH)], solid[min(len(solid), bisect_left(solid, e) + REACH) - 1] + 1) for s, e in places]
+    return [(solid[max(0, bisect_left(solid, s) - reach)], solid[min(len(solid), bisect_left(solid, e) + reach) - 1] + 1) for s, e in places]
 
 
-def line(text: str, start: int, end: int) -> tuple[int, int]:
-    """The stretch as far as its first and last line go, cut REACH characters from it."""
+def line(text: str, start: int, end: int, reach: int) -> tuple[int, int]:
+    """The stretch as far as its first and last line go, cut `reach` characters from it."""
     stop = text.find("\n", end)
-    return max(text.rfind("\n", 0, start) + 1, start - REACH), min(len(text) if stop < 0 else stop, end + REACH)
+    return max(text.rfind("\n", 0, start) + 1, start - reach), min(len(text) if stop < 0 else stop, end + reach)
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
+def blocks(text: str, reach: int) -> list[tuple[int, int]]:
     """Stretches (start, end) around cues, overlaps joined."""
     out: list[tuple[int, int]] = []
-    for s, e in reaches(text, cues(text)):
+    for s, e in reaches(text, cues(text), reach):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -111,6 +115,7 @@ class Scanner:
         self.plain = z.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
         self.given = {k: z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(v.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in sorted(templates.items())}
         self.confirmed = confirmed
+        self.reach = reach_of(templates)
 
     def reduction(self, block: str, name: str) -> float:
         """Bytes saved with a template as a share of the block's own compressed size."""
@@ -152,7 +157,7 @@ class Scanner:
             s, e = found[first][1], found[last][2]
             if len(extra) > len(theirs) and "\n" in text[s:e]:
                 continue
-            block = text[slice(*line(text, s, e))]
+            block = text[slice(*line(text, s, e, self.reach))]
             reduction = self.reduction(block, name)
             if reduction > 0:
                 good.append(Match(name, s, e, block, reduction, len(b), missing, extra))
@@ -165,7 +170,7 @@ class Scanner:
         is cut out and cues outside of it are looked at again in what is left, until nothing is found.
         """
         places = cues(text)
-        around = list(zip(places, reaches(text, places)))
+        around = list(zip(places, reaches(text, places, self.reach)))
         taken: list[tuple[int, int]] = []
         seen: dict[tuple[int, int], list[Match]] = {}
         out: list[Match] = []
@@ -182,7 +187,7 @@ class Scanner:
                     continue
                 low, high = max([low, *[t[1] for t in taken[at - 1 : at]]]), min([high, *[t[0] for t in taken[at : at + 1]]])
                 rest.append(((s, e), (low, high)))
-                first, last = line(text, s, e)
+                first, last = line(text, s, e, self.reach)
                 gaps = [m.end() for m in GAP.finditer(text, low, s)][-1:]
                 after = GAP.search(text, e, high)
                 stretches |= {(max(first, low), min(last, high)), (low, high), (max([low, *gaps]), after.start() if after else high)}
@@ -212,7 +217,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                places = blocks(text) if text else []
+                places = blocks(text, scanner.reach) if text else []
                 found = scanner.notices(text) if places else []
                 top = min(found, key=lambda m: (-m.reduction, m.name, m.block), default=None)
                 rows.append((len(places), len(found), *((top.name, round(top.reduction, 6), len(top.missing), len(top.extra), top.block) if top else (None,) * 5), sorted({m.name for m in found})))

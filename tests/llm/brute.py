@@ -209,3 +209,81 @@ def conversations(rows, min_chars=8):
     for i, r in enumerate(out):
         first.setdefault(r[0], i)
     return [(*r[:8], i - first[r[0]], r[9]) for i, r in enumerate(out)]
+
+
+FEATURES = ("n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate")
+
+
+def features(text):
+    n, chars, symbols, dup, repeat, _ = statistics(text)
+    per = lambda a, b: a * 1000 // b if b else 0
+    return n, per(chars, n), per(symbols, chars), per(dup, n), per(repeat, n)
+
+
+def learned_rules(rows, max_rules=6, max_conditions=3, min_covered=8, min_precision=0.9):
+    """Sequential covering over plain rows (doc_id, features, quality): rules that throw documents out, as lists of (feature, op, threshold)."""
+    import math
+
+    import xxhash
+
+    part = lambda d: (xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42) + 2**63) % 2**64 - 2**63
+    left = [(part(d) % 3 == 0, f, q) for d, f, q in rows]
+    met = lambda f, conditions: all(f[i] <= v if op == "<=" else f[i] > v for i, op, v in conditions)
+    count = lambda rs: (sum(q == 0 for _, _, q in rs), sum(q == 1 for _, _, q in rs))
+
+    def starts(grow):
+        p0, n0 = count(grow)
+        found = []
+        for i in range(len(FEATURES)):
+            for rank, op in enumerate(("<=", ">")):
+                best = None
+                for v in sorted({f[i] for _, f, _ in grow}):
+                    some = [r for r in grow if met(r[1], [(i, op, v)])]
+                    a, b = count(some)
+                    if a and len(some) < len(grow):
+                        gain = round(a * (math.log2(a / (a + b)) - math.log2(p0 / (p0 + n0))), 9)
+                        if gain > 0 and (best is None or gain > best[0]):
+                            best = (gain, v)
+                if best:
+                    found.append((-best[0], i, best[1], rank, (i, op, best[1])))
+        return [x[-1] for x in sorted(found)]
+
+    rules = []
+    for _ in range(max_rules):
+        grow, held = [r for r in left if not r[0]], [r for r in left if r[0]]
+        if not all(count(grow)):
+            break
+        for first in starts(grow):
+            conditions = [first]
+            while len(conditions) < max_conditions and count(some := [r for r in grow if met(r[1], conditions)])[1]:
+                more = starts(some)
+                if not more:
+                    break
+                conditions.append(more[0])
+            worth = []
+            for k in range(1, len(conditions) + 1):
+                p, n = count([r for r in held if met(r[1], conditions[:k])])
+                worth.append(((p - n) / max(1, p + n), -k, p, n))
+            _, k, p, n = max(worth)
+            if p + n >= max(1, min_covered // 3) and p >= min_precision * (p + n):
+                rules.append(conditions[: -k])
+                break
+        else:
+            break
+        left = [r for r in left if not met(r[1], rules[-1])]
+    return rules
+
+
+def kept_documents(docs, labels):
+    """Rows (doc_id, kept): the base rule, then the rules learned from labelled documents that pass it."""
+    known = {}
+    for d, q in labels:
+        if d is not None and q in (0, 1):
+            known.setdefault(d, []).append(q)
+    rules = learned_rules([(d, features(t), q) for d, t in docs if not statistics(t)[-1] for q in known.get(d, ())])
+    out = []
+    for d, t in docs:
+        f = features(t)
+        caught = any(all(f[i] <= v if op == "<=" else f[i] > v for i, op, v in r) for r in rules)
+        out.append((d, not statistics(t)[-1] and not caught))
+    return out, rules

@@ -292,6 +292,45 @@ def test_license_scan_of_wrapped_notices(spark, prefix):
     assert all(r.n_missing == 0 and r.n_matches == 1 for r in got.values())
 
 
+def edited(words, r, share):
+    """A notice with a share of its words dropped, changed or followed by another one."""
+    out = list(words)
+    for i in r.sample(range(1, len(out) - 1), int(share * len(out))):
+        out[i] = r.choice(["", "changed", out[i] + " indeed"][: 3 if share < 0.1 else 2])
+    return [w for w in out if w]
+
+
+def test_license_scan_against_planted_notices(spark):
+    """Notices with up to a tenth of their words edited are found wherever they stand; with a third, none is."""
+    import textwrap
+
+    r = random.Random(17)
+    names = ["BSD-3-Clause", "GPL-3.0-header", "MIT-text", "LGPL-3.0", "MPL-2.0", "CC-BY-4.0"]
+    filler = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "software", "license", "the", "of"]) for _ in range(r.randint(5, 60)))
+    rows, want = [], {}
+    for i in range(40):
+        planted, parts = r.sample(names, r.randint(0, 3)), [filler()]
+        for n in planted:
+            notice = " ".join(edited(license_scan.TEMPLATES[n].split(), r, r.choice([0, 0.04, 0.08])))
+            parts += [textwrap.indent(textwrap.fill(notice, r.choice([40, 72, 10_000])), r.choice(["", "# ", " * "])), filler()]
+        if i % 4 == 0:
+            parts += [" ".join(edited(license_scan.TEMPLATES[r.choice(names)].split(), r, 0.34)), filler()]
+        rows.append((i, r.choice(["\n\n", "\n\n\n"]).join(parts)))
+        want[i] = sorted(planted)
+    rows += [rows[5], rows[5]]
+    got = license_scan.scanned(frame(spark, rows)).collect()
+    assert Counter((g.doc_id, tuple(g.licenses)) for g in got) == Counter((d, tuple(want[d])) for d, _ in rows)
+
+
+def test_license_scan_of_long_templates(spark):
+    """A whole license text as template is found as a whole, though most of it is far from any cue."""
+    r = random.Random(3)
+    body = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(900))
+    templates = {"long": "This license text goes on. " + body, **license_scan.TEMPLATES}
+    got = license_scan.scanned(frame(spark, [(1, "head\n" + templates["long"] + "\ntail"), (2, body[:600])]), templates=templates).orderBy("doc_id").collect()
+    assert [g.licenses for g in got] == [["long"], []] and got[0].n_missing == 0 and got[0].n_extra == 0
+
+
 def test_license_scan_of_scattered_words(spark):
     text = "We released it.\nIt went under,\nas the people of that time said in letters\nof MIT to each other.\nNo license."
     assert license_scan.scanned(frame(spark, [(1, text)])).first().license is None
