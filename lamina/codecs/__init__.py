@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from ..errors import LimitExceeded, MalformedData, Unsupported
-from . import block, lz4, lzw, native
+from . import block, lz4, lzw, native, ppmd
 
 DEFAULT_OUTPUT = 1 << 30
 
@@ -43,6 +43,7 @@ CATALOG = [
     Codec("lzma", native.lzma_encode, native.lzma_decode),
     Codec("lzma-raw", native.lzma_raw_encode, native.lzma_raw_decode),
     Codec("lzma2", native.lzma2_encode, native.lzma2_decode),
+    Codec("ppmd", ppmd.encode, ppmd.decode, ("ppmd7",)),
     Codec("xz", native.xz_encode, native.xz_decode, (), ("xz", "txz"), 6, True),
     Codec("zlib", native.zlib_encode, native.zlib_decode, (), (), 2, levels=(0, 9, 6), dictionary=True),
     Codec("zstd", native.zstd_encode, native.zstd_decode, (), ("zst", "zstd"), 4, True, (-131072, 22, 3), True),

@@ -339,4 +339,7 @@ def zstd_read_range(data: bytes, offset: int, size: int, max_output: int = 1 <<
 def zstd_train(samples: list[bytes], size: int = 16_384) -> bytes:
     import zstandard as z
 
-    return z.train_dictionary(size, samples).as_bytes()
+    try:
+        return z.train_dictionary(size, samples).as_bytes()
+    except z.ZstdError as e:
+        raise Unsupported(f"training: {e}") from None

@@ -182,6 +182,10 @@ def _decoded(name: str, props: bytes, data: bytes, size: int, password: str | No
         return codecs.decode("lzma2", data, max_output=size, dict_size=min(1 << 30, (2 | d & 1) << d // 2 + 11))
     if name in ("bzip2", "deflate", "deflate64", "zstd"):
         return codecs.decode(name, data, max_output=size)
+    if name == "ppmd":
+        if len(props) < 5 or not 2 <= props[0] <= 64:
+            raise MalformedData("PPMd properties")
+        return codecs.decode("ppmd", data, max_output=size, decoded_size=size, order=props[0], memory=int.from_bytes(props[1:5], "little"))
     if name == "delta":
         return transforms.delta_decode(data, (props[0] if props else 0) + 1)
     if name in transforms.BRANCHES:
@@ -402,6 +406,9 @@ def _packed(method: str, data: bytes) -> tuple[bytes, bytes]:
         return codecs.encode("lzma-raw", data, dict_size=1 << 20), b"\x5d" + (1 << 20).to_bytes(4, "little")
     if method == "lzma2":
         return codecs.encode("lzma2", data, dict_size=1 << 20), bytes([18])
+    if method == "ppmd":
+        order, memory = 6, 1 << 24
+        return codecs.encode("ppmd", data, order=order, memory=memory), bytes([order]) + memory.to_bytes(4, "little")
     return codecs.encode(method, data), b""
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import codecs
@@ -38,6 +38,17 @@ def decompress(data: Column, codec: str, max_output: int = codecs.DEFAULT_OUTPUT
     return f(_binary(data))
 
 
+def decompress_sized(data: Column, size: Column, codec: str, max_output: int = codecs.DEFAULT_OUTPUT, **options) -> Column:
+    """For codecs whose streams don't tell where they end: the decoded size of each row is given."""
+    codecs.require(codec)
+
+    @F.pandas_udf("binary")
+    def f(s: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or pd.isna(k) else codecs.decode(codec, bytes(x), max_output=max_output, decoded_size=int(k), **options) for x, k in zip(s, n)], dtype="object")
+
+    return f(_binary(data), size)
+
+
 def _result(x, one) -> dict:
     try:
         out, n = one(bytes(x))
@@ -149,14 +160,44 @@ def transform(data: Column, name: str, encode: bool = True, distance: int = 1) -
     return f(_binary(data))
 
 
-def train_dictionary(data: Column, size: int = 16_384) -> Column:
-    """Aggregate: a zstandard dictionary from samples; group so that a group's samples fit a worker."""
+def trained_dictionaries(df: DataFrame, key: str, data: str, size: int = 16_384, fan: int = 32) -> DataFrame:
+    """(key, d): a zstandard dictionary per key from all of its texts.
 
-    @F.pandas_udf("binary")
-    def f(s: pd.Series) -> bytes:
-        return codecs.native.zstd_train([bytes(x) for x in s if x is not None], size)
+    Each Arrow batch trains one per key; of up to `fan` of these another is trained on their contents, and
+    so on until a key has one. No task holds more than a batch, or `fan` dictionaries, of a key.
+    """
+    piece = 512
 
-    return f(_binary(data))
+    def trained(samples: list[bytes]) -> bytes:
+        """Few or short samples train nothing: then they are the dictionary's content themselves."""
+        try:
+            return codecs.native.zstd_train(samples, size)
+        except Unsupported:
+            return b"".join(samples)[-size:]
+
+    def first(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            groups: dict = {}
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x:
+                    groups.setdefault(k, []).append(x)
+            found = [(k, trained(v)) for k, v in groups.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], batch.schema.field(0).type), pa.array([d for _, d in found], pa.binary())], ["key", "d"])
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        whole = sorted(bytes(d) for d in part["d"])
+        if len(whole) > 1:
+            whole = [trained([d[i : i + piece] for d in whole for i in range(0, len(d), piece)])]
+        return pd.DataFrame({"key": part["key"].iloc[:1], "d": whole})
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("key"), _binary(F.col(data)).alias("data")).mapInArrow(first, f"key {kind}, d binary").checkpoint()
+    while (most := out.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > 1:
+        groups = -(-most // fan)
+        out = out.groupBy("key", F.pmod(F.xxhash64("d"), F.lit(groups)).alias("part")).applyInPandas(joined, f"key {kind}, d binary").checkpoint()
+    return out.withColumnRenamed("key", key)
 
 
 def chunked_checksum(df, key: str, order: str, data: str, algorithm: str, seed: int = 0):

@@ -67,7 +67,7 @@ for _name, _fmt, _read, _how in [
     ("scan_zip_stream", "zip", {"mode": "stream"}, {}),
     ("scan_zip_descriptor", "zip", {}, {"descriptor": True}),
     ("scan_zip_preamble", "zip", {"format": "zip"}, {"preamble": b"#!/bin/sh\nstub\n"}),
-    *[(f"scan_7z_{m}", "7z", {}, {"method": m}) for m in ("copy", "lzma", "lzma2", "bzip2", "deflate", "zstd")],
+    *[(f"scan_7z_{m}", "7z", {}, {"method": m}) for m in ("copy", "lzma", "lzma2", "bzip2", "deflate", "zstd", "ppmd")],
     ("scan_7z_delta", "7z", {}, {"filters": (("delta", 4),)}),
     ("scan_7z_solid", "7z", {}, {"solid": 1000}),
     *[(f"scan_tar_{c}", "tar", {}, {"compression": c}) for c in ("gzip", "bzip2", "xz", "zstd", "lzip")],
@@ -150,11 +150,19 @@ for _c in ("bzip2", "compress", "deflate", "deflate64", "gzip", "lz4", "lz4-bloc
     query(TEXTS, f"codec_{_c.replace('-', '_')}")(codec_roundtrip(_c))
 
 
+@query(TEXTS)
+def codec_ppmd(spark, sf_dir):
+    """The stream has no end of its own: sizes are kept beside it."""
+    packed = documents(spark, sf_dir).select("doc_id", F.octet_length("body").alias("n"), columns.compress(F.col("body"), "ppmd").alias("c"))
+    plain = packed.select("doc_id", columns.decompress_sized(F.col("c"), F.col("n"), "ppmd").alias("p"))
+    return plain.select("doc_id", F.octet_length("p").cast("long").alias("n_bytes"), F.sha2("p", 256).alias("sha256"))
+
+
 @query("SELECT c AS codec, doc_id, c AS detected FROM documents, (VALUES ('bzip2'), ('compress'), ('gzip'), ('lz4'), ('lzip'), ('xz'), ('zlib'), ('zstd')) v(c)")
 def detect_codecs(spark, sf_dir):
     docs = documents(spark, sf_dir)
     kinds = ("bzip2", "compress", "gzip", "lz4", "lzip", "xz", "zlib", "zstd")
-    packed = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), columns.compress(F.substring("body", 1, 200), k).alias("c")) for k in kinds])).alias("x"))
+    packed = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), columns.compress(F.col("body"), k).alias("c")) for k in kinds])).alias("x"))
     return packed.select("x.codec", "doc_id", detect.detected(F.col("x.c")).alias("detected"))
 
 
@@ -190,9 +198,9 @@ def zstd_seekable(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang")
 def zstd_dictionaries(spark, sf_dir):
-    """One dictionary per language from its first kilobytes, then each text with its language's dictionary."""
+    """One dictionary per language, then each text with its language's dictionary."""
     docs = documents(spark, sf_dir)
-    trained = docs.groupBy("lang").agg(columns.train_dictionary(F.substring("body", 1, 2000), 8192).alias("d"))
+    trained = columns.trained_dictionaries(docs, "lang", "body", 8192)
     # one dictionary of at most 8 KiB per language
     met = docs.join(F.broadcast(trained), "lang")
     there = met.select("lang", "d", columns.compress_with(F.col("body"), F.col("d"), "zstd").alias("c"))
@@ -334,7 +342,7 @@ def archive_preamble(spark, sf_dir):
     return packed.select("archive", F.hex(columns.zip_preamble(F.col("content"))).alias("preamble"))
 
 
-@query("SELECT * FROM (VALUES ('archive', '7z', true), ('archive', 'ar', true), ('archive', 'cpio', true), ('archive', 'rar', false), ('archive', 'tar', true), ('archive', 'zip', true), ('codec', 'bzip2', true), ('codec', 'compress', true), ('codec', 'deflate', true), ('codec', 'deflate64', true), ('codec', 'gzip', true), ('codec', 'lz4', true), ('codec', 'lz4-block', true), ('codec', 'lzip', true), ('codec', 'lzma', true), ('codec', 'lzma-raw', true), ('codec', 'lzma2', true), ('codec', 'xz', true), ('codec', 'zlib', true), ('codec', 'zstd', true)) t(kind, name, writable)")
+@query("SELECT * FROM (VALUES ('archive', '7z', true), ('archive', 'ar', true), ('archive', 'cpio', true), ('archive', 'rar', false), ('archive', 'tar', true), ('archive', 'zip', true), ('codec', 'bzip2', true), ('codec', 'compress', true), ('codec', 'deflate', true), ('codec', 'deflate64', true), ('codec', 'gzip', true), ('codec', 'lz4', true), ('codec', 'lz4-block', true), ('codec', 'lzip', true), ('codec', 'lzma', true), ('codec', 'lzma-raw', true), ('codec', 'lzma2', true), ('codec', 'ppmd', true), ('codec', 'xz', true), ('codec', 'zlib', true), ('codec', 'zstd', true)) t(kind, name, writable)")
 def format_catalog(spark, sf_dir):
     return catalog.catalog(spark).select("kind", "name", "writable")
 

@@ -26,14 +26,41 @@ CODE = bytes(R.choice([0xE8, 0xE9, 0, 255, 0x48, 0xEB, 0xF0, 0xF8, 0x0F, 0x84, 1
 PLAIN = [b"", b"a", b"123456789", bytes(range(256)) * 8, R.randbytes(20_000), b"abc" * 9000, "héllo wörld ".encode() * 300, bytes(100_000)]
 
 
+def sized(codec, n):
+    """PPMd streams don't tell where they end."""
+    return {"decoded_size": n} if codec.name == "ppmd" else {}
+
+
 @pytest.mark.parametrize("codec", codecs.CATALOG, ids=lambda c: c.name)
 def test_codecs_round_trip_and_stop_at_the_limit(codec):
     for data in PLAIN:
         packed = codec.encode(data)
-        assert codec.decode(packed, max_output=1 << 20) == (data, len(packed))
+        assert codec.decode(packed, max_output=1 << 20, **sized(codec, len(data))) == (data, len(packed))
         if len(data) > 1:
             with pytest.raises(LimitExceeded):
-                codec.decode(packed, max_output=len(data) - 1)
+                codec.decode(packed, max_output=len(data) - 1, **sized(codec, len(data)))
+
+
+@pytest.mark.parametrize("order, memory", [(2, 1 << 11), (6, 1 << 15), (16, 1 << 16), (64, 1 << 18)])
+def test_ppmd_starts_anew_when_memory_runs_out(order, memory):
+    for data in (CODE, PLAIN[4], bytes(range(256)) * 40, b"to be or not to be, " * 400):
+        packed = codecs.encode("ppmd", data, order=order, memory=memory)
+        assert codecs.decode("ppmd", packed, decoded_size=len(data), order=order, memory=memory) == data
+    with pytest.raises(LimitExceeded):
+        codecs.decode("ppmd", packed, decoded_size=10, order=order, memory=memory, max_memory=memory - 1)
+
+
+def test_many_small_frames_take_time_by_the_frame():
+    """Frames are found without copying what follows."""
+    import time
+
+    def seconds(n):
+        data = codecs.encode("gzip", b"x") * n
+        began = time.perf_counter()
+        assert codecs.decode("gzip", data) == b"x" * n
+        return time.perf_counter() - began
+
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.01)
 
 
 @pytest.mark.parametrize("codec", [c for c in codecs.CATALOG if c.framed], ids=lambda c: c.name)
@@ -54,7 +81,7 @@ def test_damaged_streams_raise_declared_errors(codec):
             if broken:
                 broken[r.randrange(len(broken))] = r.randrange(256)
         try:
-            out, _ = codec.decode(bytes(broken), max_output=1 << 20)
+            out, _ = codec.decode(bytes(broken), max_output=1 << 20, **sized(codec, 975))
             assert len(out) <= 1 << 20
         except (MalformedData, LimitExceeded, Unsupported):
             pass
