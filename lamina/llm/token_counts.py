@@ -109,6 +109,7 @@ def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.mod
         count = Counter(model, known.value)
         for batch in batches:
             n = pa.array([count(t) for t in batch.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], n], [*batch.schema.names[: len(own)], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], n], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    # by place: mapInArrow looks columns up by names, and those with dots aren't found
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)

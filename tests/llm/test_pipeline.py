@@ -204,9 +204,11 @@ def test_templates_save_most_on_their_own_wording():
         assert name == max(license_scan.TEMPLATES, key=lambda n: scanner.reduction(text, n))
 
 
-def test_learned_rules_against_a_plain_learner(spark):
+def test_learned_rules_against_a_plain_learner(spark, tables):
     """The query's verdicts, its rules included, against sequential covering over plain rows."""
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
-    want, rules = brute.kept_documents(docs, labels)
-    assert rules and result(spark, "op5_learned_rules", "doc_id", "kept") == Counter(want)
+    for d in (tables[0], SF):
+        docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+        labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
+        want, rules = brute.kept_documents(docs, labels)
+        got = __spark_entry__.queries()["op5_learned_rules"](spark, d)
+        assert Counter((r.doc_id, r.kept) for r in got.collect()) == Counter(want) and (rules or d == SF)
