@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns, detect, native
 from ..operators import mutate
 from ..sources import archive
-from . import catalog
+from . import catalog, rar_samples
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -76,6 +76,15 @@ for _name, _fmt, _read, _how in [
     query(DIGEST, _name)(roundtrip(_fmt, _read, **_how))
 
 
+for _v in (4, 5):
+    for _p in (False, True):
+
+        @query(DIGEST, f"scan_rar{_v}" + "_packed" * _p)
+        def scan_rar(spark, sf_dir, version=_v, packed=_p):
+            content = rar_samples.archived(as_entries(documents(spark, sf_dir)), version, packed)
+            return digest(archive.entries_of(content, archive="archive", includeBody=True))
+
+
 @query("SELECT source AS archive, lang, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY ALL")
 def archive_statistics(spark, sf_dir):
     """Sizes by directory from metadata alone: no body is decoded."""
@@ -166,14 +175,13 @@ def detect_codecs(spark, sf_dir):
     return packed.select("x.codec", "doc_id", detect.detected(F.col("x.c")).alias("detected"))
 
 
-@query("SELECT source AS archive, f AS format, f AS detected FROM (SELECT DISTINCT source FROM documents), (VALUES ('7z'), ('ar'), ('cpio'), ('tar'), ('zip')) v(f)")
+@query("SELECT source AS archive, f AS format, f AS detected FROM (SELECT DISTINCT source FROM documents), (VALUES ('7z'), ('ar'), ('cpio'), ('rar'), ('tar'), ('zip')) v(f)")
 def detect_archives(spark, sf_dir):
+    """One shuffle of the documents; each group's rows are packed in turn."""
     entries = as_entries(documents(spark, sf_dir))
-    out = None
-    for f in ("7z", "ar", "cpio", "tar", "zip"):
-        one = archive.packed(entries, f).select("archive", F.lit(f).alias("format"), detect.detected(F.col("content")).alias("detected"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = [archive.packed_all(entries, ("7z", "ar", "cpio", "tar", "zip"))]
+    found.append(rar_samples.archived(entries, 5, False).select("archive", F.lit("rar").alias("format"), "content"))
+    return found[0].unionByName(found[1]).select("archive", "format", detect.detected(F.col("content")).alias("detected"))
 
 
 @query("SELECT doc_id, octet_length(encode(text)) > 2000 AS over_limit FROM documents")

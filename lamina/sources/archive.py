@@ -164,27 +164,37 @@ def packed(df: DataFrame, fmt: str, archive: str = "archive", order: str = "path
     An archive is one binary value, so its rows meet in one task by nature; bodies are sorted there by
     Spark, which spills, and leave as one value of at most 2 GiB.
     """
+    return packed_all(df, (fmt,), archive, order, **options).drop("format")
+
+
+def packed_all(df: DataFrame, fmts: tuple[str, ...], archive: str = "archive", order: str = "path", **options) -> DataFrame:
+    """The same in several formats after one shuffle: rows (archive, format, content)."""
     names = [c for c in df.columns if c != archive]
 
     def run(parts):
         import pyarrow as pa
 
-        out = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+        out = pa.schema([("archive", pa.string()), ("format", pa.string()), ("content", pa.binary())])
         current, held = None, []
+
+        def done():
+            for fmt in fmts:
+                yield pa.RecordBatch.from_pylist([{"archive": current, "format": fmt, "content": written(held, fmt, dict(options))}], schema=out)
+
         for batch in parts:
             keys = batch.column("_key").to_pylist()
             cols = {c: batch.column(c).to_pylist() for c in names}
             for i, k in enumerate(keys):
                 if k != current and held:
-                    yield pa.RecordBatch.from_pylist([{"archive": current, "content": written(held, fmt, dict(options))}], schema=out)
+                    yield from done()
                     held = []
                 current = k
                 held.append(entry_from({c: v[i] for c, v in cols.items()}))
         if held:
-            yield pa.RecordBatch.from_pylist([{"archive": current, "content": written(held, fmt, dict(options))}], schema=out)
+            yield from done()
 
     keyed = df.withColumn("_key", F.col(archive).cast("string")).drop(archive)
-    return keyed.repartition("_key").sortWithinPartitions("_key", order).mapInArrow(run, "archive string, content binary")
+    return keyed.repartition("_key").sortWithinPartitions("_key", order).mapInArrow(run, "archive string, format string, content binary")
 
 
 # --- data source ----------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def duck():
     return con
 
 
-CHECKED = ["scan_tar", "scan_cpio_crc", "scan_zip_deflated", "scan_zip_stream", "scan_7z_lzma2", "scan_tar_xz", "archive_statistics", "archive_metadata", "outer_layers", "limit_entry_count", "glob_filter", "zip_aes256", "sevenz_encrypted", "codec_zstd", "codec_ppmd", "scan_7z_ppmd", "codec_compress", "codec_frames", "detect_codecs", "limit_output", "zstd_seekable", "zstd_dictionaries", "transform_x86", "checksum_native_sums", "checksum_crc", "entry_paths", "posix_modes", "archive_times", "update_put_delete", "update_move_attributes", "update_delete_hard_links", "directory_listing", "duplicate_keys", "checksum_chunks", "archive_preamble", "format_catalog", "path_algebra"]
+CHECKED = ["scan_tar", "scan_cpio_crc", "scan_zip_deflated", "scan_zip_stream", "scan_7z_lzma2", "scan_tar_xz", "archive_statistics", "archive_metadata", "outer_layers", "limit_entry_count", "glob_filter", "zip_aes256", "sevenz_encrypted", "codec_zstd", "codec_ppmd", "scan_7z_ppmd", "scan_rar4_packed", "scan_rar5_packed", "scan_rar5", "detect_archives", "codec_compress", "codec_frames", "detect_codecs", "limit_output", "zstd_seekable", "zstd_dictionaries", "transform_x86", "checksum_native_sums", "checksum_crc", "entry_paths", "posix_modes", "archive_times", "update_put_delete", "update_move_attributes", "update_delete_hard_links", "directory_listing", "duplicate_keys", "checksum_chunks", "archive_preamble", "format_catalog", "path_algebra"]
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import lzma
 import random
@@ -10,16 +11,18 @@ import tarfile
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lamina import codecs
-from lamina.codecs import lz4, native
+from lamina.codecs import lz4, native, ppmd
 from lamina.errors import LimitExceeded, MalformedData, Unsupported
-from lamina.formats import CATALOG, Entry, Limits, ar, cpio, rar, sevenz, tar, zip_
+from lamina.formats import CATALOG, Entry, Limits, ar, cpio, rar, rar_lz, sevenz, tar, zip_
 from lamina.functions import crypto, hashes, transforms
 from lamina.functions.detect import detect_archive, detect_codec
+from lamina.plans import rar_samples
 
 R = random.Random(7)
 CODE = bytes(R.choice([0xE8, 0xE9, 0, 255, 0x48, 0xEB, 0xF0, 0xF8, 0x0F, 0x84, 1, 7, R.randrange(256)]) for _ in range(20_000))
@@ -276,9 +279,9 @@ def test_sevenz_encryption():
         list(sevenz.read(io.BytesIO(data)))
 
 
-def rar4(name=b"a.txt", body=b"body", flags=0, method=0x30):
+def rar4(name=b"a.txt", body=b"body", flags=0, method=0x30, size=None, crc=None):
     block = lambda kind, fl, rest: (lambda h: struct.pack("<H", zlib.crc32(h) & 0xFFFF) + h)(struct.pack("<BHH", kind, fl, 7 + len(rest)) + rest)
-    head = struct.pack("<IIBIIBBHI", len(body), len(body), 3, zlib.crc32(body), 0x5A21 << 16, 29, method, len(name), 0o100644) + name
+    head = struct.pack("<IIBIIBBHI", len(body), len(body) if size is None else size, 3, zlib.crc32(body) if crc is None else crc, 0x5A21 << 16, 29, method, len(name), 0o100644) + name
     return rar.OLD + block(0x73, 0, bytes(6)) + block(0x74, 0x8000 | flags, head) + body + block(0x7B, 0, b"")
 
 
@@ -302,10 +305,200 @@ def test_rar_stored():
     assert (e.path, e.size, e.mode, e.read()) == ("b.txt", 4, 0o644, b"five")
     with pytest.raises(MalformedData):
         next(iter(rar.read(io.BytesIO(rar5(crc=1))))).read()
-    with pytest.raises(Unsupported):
+    with pytest.raises(MalformedData):
         next(iter(rar.read(io.BytesIO(rar4(method=0x33))))).read()
 
 
+#: Archives of the format's own tool with the password junrar: solid ones of file1.txt to file9.txt,
+#: each holding its name without ending and a line feed, and single encrypted files, with plain and encrypted headers.
+RAR_SAMPLES = {
+    "five solid": "UmFyIRoHAQAJ78hvCwEFBwQGAQGAgIAA5PLueR8CApsABoYApIMCY0kUXwT3KeKAGwEJZmlsZTEudHh0wYMYNDAz+EAy3Ybv0QWJRKH8DMPdhxsia/YACAfgmR8CAoUABoYApIMCY0kUX8ekBMnAGwEJZmlsZTIudHh0QhoCe4DgrmJzHwIChQAGhgCkgwJjSRRfhpUf0MAbAQlmaWxlMy50eHRCGgJ8ALv5fIsfAgKFAAaGAKSDAmNJFF9BA16fwBsBCWZpbGU0LnR4dEIaAnyAU1D+YR8CAoUABoYApIMCY0kUXwAyRYbAGwEJZmlsZTUudHh0QhoCfQAqrAiFHwIChQAGhgCkgwJjSRRfw2ForcAbAQlmaWxlNi50eHRCGgJ9gMIFim8fAgKFAAaGAKSDAmNJFF+CUHO0wBsBCWZpbGU3LnR4dEIaAn4A3QRFrh8CAoUABoYApIMCY0kUX01M6zPAGwEJZmlsZTgudHh0QhoCfoA1rcdEHwIChQAGhgCkgwJjSRRfDH3wKsAbAQlmaWxlOS50eHRCGgJ/AB13VlEDBQQA",
+    "five headers": "UmFyIRoHAQAYOJrPIQQAAAEPprqRs1Vs70VeAnJr65GiUWzJnBs88EB6pEDZCDMNebpM1FRWRidOoP8NEKunwvQXSE6qyWZSmFdTmJz5B4PRrGmc/9wgf07nAr0VnT/SUD7KGRm04mC2+uJap3bok3fPNwjtWnVbqxga+30ke8uVJYZkiuuGhz7dmPmsjcbbifv8JRtif4lMcFsoiFclxaKGgHWEAQ5iUr3A418NqLr87fq2lB4LpFyCVjVgrfNS3Ou5IdI1MBz0SPemsbqYy9mjOR0uTISWgDqgl9qBApSZxzov0pm4HbMDGpR2jEAzLnvZFtWMyUYPoVpguDM=",
+    "five body": "UmFyIRoHAQAzkrXlCgEFBgAFAQGAgABfIc6zUQIDMaAABoYApIMCY0kUXxnn0+uAAwEJZmlsZTEudHh0MAEAAw+rgP7jvy7bm3QlOdS3YZwFYG45NDcQ1tsYPE/SbYZEVJmc4Qhprj8yi5S4gj56t2Cqe0X/M28NnKG0ccGCC/yKLzwOLmAr44eAnrJUHXdWUQMFBAA=",
+    "four solid": "UmFyIRoHADvQcwgADQAAAAAAAACylHSAkCsAGgAAAAYAAAADBPcp4veq81AdMwkApIEAAGZpbGUxLnR4dADADQwM/hAMt2G79EFqVSh/2gEYP7Diz78doSBa4XSQkCsAAwAAAAYAAAADx6QEyfeq81AdMwkApIEAAGZpbGUyLnR4dADAepIAyjN0kJArAAMAAAAGAAAAA4aVH9D3qvNQHTMJAKSBAABmaWxlMy50eHQAwHsSAPkEdJCQKwADAAAABgAAAANBA16f96rzUB0zCQCkgQAAZmlsZTQudHh0AMB7kgBp1nSQkCsAAwAAAAYAAAADADJFhveq81AdMwkApIEAAGZpbGU1LnR4dADAfBIAmKd0kJArAAMAAAAGAAAAA8NhaK33qvNQHTMJAKSBAABmaWxlNi50eHQAwHySAAh1dJCQKwADAAAABgAAAAOCUHO096rzUB0zCQCkgQAAZmlsZTcudHh0AMB9EgD+yXSQkCsAAwAAAAYAAAADTUzrM/eq81AdMwkApIEAAGZpbGU4LnR4dADAfZIAbht0kJArAAMAAAAGAAAAAwx98Cr3qvNQHTMJAKSBAABmaWxlOS50eHQAwH4SgMQ9ewBABwA=",
+    "four headers": "UmFyIRoHAM6Zc4AADQAAAAAAAAC5PWsXQCo7KTFMRRa743HEkQGnfYjGSpKHt825oSyxCV2WDs3/AhC15uLyC1vdqD3ZMfc1QT5xF6bbvZU5vlm7C1ewuX2zpB/y0IluICILdJAyPey4XXsY0qQOAhCYeXgNFqlwuBxUOrk9axdAKjspjUYtP7PIL6k2eg0gENTs9Q==",
+    "four body": "UmFyIRoHAM+QcwAADQAAAAAAAADqWnQklDMAIAAAAAYAAAADBPcp4veq81AdMwkApIEAAGZpbGUxLnR4dFioM3YCpGjgAMAsmDgcSsnwnUn6kzM4BlpBbF+uQO0D7ORxNIz3Z4nsScQ9ewBABwA=",
+}
+
+
+@pytest.mark.parametrize("name", RAR_SAMPLES)
+def test_rar_of_its_own_tool(name):
+    data = base64.b64decode(RAR_SAMPLES[name])
+    entries = list(rar.read(io.BytesIO(data), password="junrar"))
+    assert [e.path for e in entries] == [f"file{i + 1}.txt" for i in range(len(entries))] and len(entries) == (9 if "solid" in name else 1)
+    for i in [*range(len(entries)), len(entries) // 3, 0, -1]:  # in any order
+        e = entries[i]
+        assert e.read() == e.path.replace(".txt", "\n").encode()
+    if "solid" not in name:
+        for other in (None, "wrong"):
+            with pytest.raises((MalformedData, Unsupported)):
+                [e.read() for e in rar.read(io.BytesIO(data), password=other)]
+
+
+class Writer5:
+    """A body of literals, matches and filters in flat codes, written symbol by symbol."""
+
+    def __init__(self):
+        self.bits, self.out, self.filters = [], bytearray(), []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n - 1, -1, -1)]
+
+    def size(self, size, width, first):
+        slot = size - 2 if size < 10 else next(s for s in range(8, 44) if ((4 | s & 3) << (s >> 2) - 1) <= size - 2 < ((4 | s & 3) + 1 << (s >> 2) - 1))
+        self.put(first + slot, width)
+        if slot >= 8:
+            self.put(size - 2 & (1 << (slot >> 2) - 1) - 1, (slot >> 2) - 1)
+
+    def literal(self, byte):
+        self.put(byte, 9)
+        self.out.append(byte)
+
+    def copied(self, size, back):
+        for _ in range(size):
+            self.out.append(self.out[-back])
+
+    def match(self, size, back):
+        self.copied(size, back)
+        self.size(size - (back > 0x100) - (back > 0x2000) - (back > 0x40000), 9, 262)
+        slot = back - 1 if back < 5 else next(s for s in range(4, 64) if ((2 | s & 1) << (s >> 1) - 1) <= back - 1 < ((2 | s & 1) + 1 << (s >> 1) - 1))
+        self.put(slot, 6)
+        if slot >= 4:
+            n, rest = (slot >> 1) - 1, back - 1
+            if n >= 4:
+                self.put(rest >> 4 & (1 << n - 4) - 1, n - 4)
+                self.put(rest & 15, 4)
+            else:
+                self.put(rest & (1 << n) - 1, n)
+
+    def filter(self, size, kind, channels=1):
+        """Over the next bytes."""
+        self.put(256, 9)
+        for v in (0, size):
+            self.put(1, 2)
+            self.put(v & 255, 8)
+            self.put(v >> 8, 8)
+        self.put(kind, 3)
+        if kind == 0:
+            self.put(channels - 1, 5)
+
+    def body(self):
+        head = [b for many, n in ((20, 4),) for _ in range(many) for b in (0, 1, 0, 1)]
+        head += [n >> i & 1 for many, n in ((306, 9), (64, 6), (16, 4), (44, 6)) for _ in range(many) for i in range(4, -1, -1)]
+        bits = head + self.bits
+        data = np.packbits(bits).tobytes()
+        flags, size = 0xC0 | 2 << 3 | (len(bits) - 1) % 8, len(data).to_bytes(3, "little")
+        return bytes([flags, 0x5A ^ flags ^ size[0] ^ size[1] ^ size[2]]) + size + data
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rar_five_matches(seed):
+    r, w = random.Random(seed), Writer5()
+    for b in r.randbytes(40):
+        w.literal(b)
+    recent = [0, 0, 0, 0]
+    for _ in range(1500):
+        kind = r.random()
+        if kind < 0.4:
+            w.literal(r.randrange(256))
+        elif kind < 0.8 or not all(recent):
+            back = r.randint(1, min(len(w.out), 1 << r.randint(1, 19)))
+            w.match(size := r.randint(6, 1 << r.randint(3, 9)), back)
+            recent = [back, *recent[:3]]
+        elif kind < 0.9:
+            k = r.randrange(4)
+            recent.insert(0, recent.pop(k))
+            w.put(258 + k, 9)
+            w.size(size := r.randint(2, 300), 6, 0)
+            w.copied(size, recent[0])
+        else:
+            w.put(257, 9)
+            w.copied(size, recent[0])
+    assert rar_lz.Five(1 << 20).decode(w.body(), len(w.out), False) == bytes(w.out)
+
+
+def test_rar_filters():
+    plain = bytes(CODE[:4000])
+    # calls to absolute places below 16 MiB, as the format's encoder leaves them
+    code, at = bytearray(plain), 0
+    while at + 4 < len(code):
+        at += 1
+        if code[at - 1] == 0xE8:
+            target = int.from_bytes(code[at : at + 4], "little", signed=True)
+            if -at <= target < (1 << 24) - at:
+                code[at : at + 4] = (target + at if target + at >= 0 else target).to_bytes(4, "little", signed=True)
+            elif (1 << 24) - at <= target < 1 << 24:
+                code[at : at + 4] = (target - (1 << 24)).to_bytes(4, "little", signed=True)
+            at += 4
+    w = Writer5()
+    w.filter(len(code), 1)
+    for b in code:
+        w.literal(b)
+    assert rar_lz.Five(1 << 17).decode(w.body(), len(code), False) == plain
+    woven = b"".join(bytes((plain[i - 3] if i >= 3 else 0) - plain[i] & 255 for i in range(c, len(plain), 3)) for c in range(3))
+    w = Writer5()
+    w.filter(len(plain), 0, 3)
+    for b in woven:
+        w.literal(b)
+    assert rar_lz.Five(1 << 17).decode(w.body(), len(plain), False) == plain
+
+
+class CarrylessEncoder:
+    """What PPMd blocks of RAR are written with."""
+
+    def __init__(self):
+        self.low, self.range, self.out = 0, 0xFFFFFFFF, bytearray()
+
+    def narrow(self, below, size, total):
+        self.range //= total
+        self.low, self.range = self.low + below * self.range & 0xFFFFFFFF, self.range * size
+        while True:
+            if (self.low ^ self.low + self.range) & 0xFFFFFFFF >= 1 << 24:
+                if self.range >= 1 << 15:
+                    return
+                self.range = -self.low & 0x7FFF
+            self.shift()
+
+    def shift(self):
+        self.out.append(self.low >> 24)
+        self.low, self.range = self.low << 8 & 0xFFFFFFFF, self.range << 8 & 0xFFFFFFFF
+
+    def bit(self, size, wanted):
+        self.narrow(size if wanted else 0, (1 << 14) - size if wanted else size, 1 << 14)
+        return wanted
+
+
+def test_rar_four_models():
+    plain = b"to be, or not to be, that is the question: \x02 " * 60 + CODE[:500]
+    model, coder = ppmd.Model(5, 1 << 20), CarrylessEncoder()
+    for b in plain:
+        model.step(coder, b)
+        if b == 2:
+            model.step(coder, 1)  # the escape stands for itself
+    for b in (2, 5, 20, 2, 4, 0, 0, 9, 3):  # repeats of one byte, and from eleven bytes back
+        model.step(coder, b)
+    for _ in range(4):
+        coder.shift()
+    want = bytearray(plain) + plain[-1:] * 24
+    for _ in range(35):
+        want.append(want[-11])
+    data = bytes([0x80 | 0x20 | 4, 0]) + bytes(coder.out)
+    assert rar_lz.Four(1 << 22).decode(data, len(want), False) == bytes(want)
+
+
+def test_rar_volumes():
+    """Parts of a body in volumes, joined."""
+    body = bytes(CODE[:3000])
+    for make in (rar_samples.five, rar_samples.four):
+        whole = make([("a.bin", body), ("b.bin", body[:10])], True)
+        assert [e.read() for e in rar.read(io.BytesIO(whole))] == [body, body[:10]]
+    head = lambda data, flags, crc: rar4(b"a.bin", data, flags, size=len(body), crc=crc)
+    two = head(body[:1000], 2, 1) + head(body[1000:], 1, zlib.crc32(body))
+    assert [(e.path, e.read()) for e in rar.read(io.BytesIO(two))] == [("a.bin", body)]
+    with pytest.raises(Unsupported):
+        next(iter(rar.read(io.BytesIO(head(body[:1000], 2, 1))))).read()
+
+
 @pytest.mark.parametrize("fmt", ["ar", "cpio", "tar", "zip", "7z", "rar"])
 def test_damaged_archives_raise_declared_errors(fmt):
     body = b"a line of text\n" + bytes(range(16)) * 8
