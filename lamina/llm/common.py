@@ -198,17 +198,17 @@ class Rolling:
 
 
 class PrimeRolling:
-    """Hashes of ranges of bytes like Rolling's, modulo two primes below 2^32: strings on which a modulus
-    of 2^64 fails, whatever its base, are told apart here. `digits` has a digit per byte value."""
+    """Hashes of ranges like Rolling's, modulo two primes below 2^32: strings on which a modulus of 2^64
+    fails, whatever its base, are told apart here. With `digits`, a digit per byte value, data are bytes."""
 
     PRIMES = (((1 << 31) - 1, 1_103_515_245), (4_294_967_291, 2_891_336_453))
 
-    def __init__(self, data: np.ndarray, digits: np.ndarray):
+    def __init__(self, data: np.ndarray, digits: np.ndarray | None = None):
         n = len(data)
         self.sides = []
         for prime, base in self.PRIMES:
             p = np.uint64(prime)
-            terms = (digits % p)[data]
+            terms = data % p if digits is None else (digits % p)[data]
             terms *= prime_powers(prime, base, n)[:n]
             terms %= p
             # below 2^32 each, so up to 2^32 of them add up without overflow

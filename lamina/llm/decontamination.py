@@ -7,7 +7,7 @@ and each meeting is extended word by word to both sides from the neighbours it c
 13 equal words or more is a hit, so every shared window is found and nothing else is.
 
 Items shorter than a window are windows as they are; for these lengths every position of a document
-is a fingerprint, and that path runs only if there are such items.
+is a fingerprint too, in the same pass, and only if there are such items.
 
 DataFrame functions alone. Texts are never shuffled: a fingerprint carries its 21 words' hashes.
 Null texts and texts without words have no fingerprints: their rows come back with zeros. Repeated
@@ -77,8 +77,8 @@ def mark(words: Column, p: Column, fp: Column) -> Column:
 
 
 def every_gram(words: Column, n: int) -> Column:
-    """Marks of all n-word stretches, for items of n words."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i, n)).alias("fp"), F.slice(words, 1, 0).alias("left"), F.slice(words, i, n).alias("right")))).otherwise(F.array())
+    """Marks of all n-word stretches, for items of n words; n is part of the hash."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice(words, i, n)).alias("fp"), F.slice(words, 1, 0).alias("left"), F.slice(words, i, n).alias("right")))).otherwise(F.array())
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -98,27 +98,25 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     Each document also sends one row without a fingerprint, so that those without hits stay.
     """
     lengths = sorted(r[0] for r in items.where((F.size("words") > 0) & (F.size("words") < WINDOW)).select(F.size("words")).distinct().collect())  # below WINDOW: 12 at most
-    marks = [(None, fingerprints)] + [(n, lambda w, n=n: every_gram(w, n)) for n in lengths]
-    out = None
-    for n, f in marks:
-        least = n or WINDOW
-        side = items.where(F.size("words") == n) if n else items.where(F.size("words") >= WINDOW)
-        side = stored(side.select("item_id", F.explode(f(F.col("words"))).alias("m")).select("item_id", *[F.col(f"m.{c}").alias(f"i_{c}") for c in ("fp", "left", "right")]).distinct())
-        found = f(F.col("words"))
-        if n is None:
-            # the row without a fingerprint; its hash is spread over partitions and joins nothing
-            itself = F.struct(F.lit(0).alias("at"), F.col("key").alias("fp"), F.slice("words", 1, 0).alias("left"), F.slice("words", 1, 0).alias("right"))
-            found = F.concat(F.array(itself), found)
-        rows = docs.select("id", "key", F.size("words").alias("n_words"), F.explode(found).alias("m")).select("id", "key", "n_words", "m.*")
-        if side.count() <= BROADCAST_ROWS:
-            side = F.broadcast(side)
-        rows = rows.join(side, (F.col("fp") == F.col("i_fp")) & (F.col("at") > 0), "left").where("at = 0 or i_fp is not null")
-        rows = rows.withColumn("_l", common_prefix(F.reverse("left"), F.reverse("i_left"))).withColumn("_r", common_prefix(F.col("right"), F.col("i_right")))
-        rows = rows.where(f"at = 0 or _l + _r >= {least}")
-        span = F.when(F.col("at") > 0, F.struct((F.col("at") - F.col("_l")).alias("start"), (F.col("at") + F.col("_r")).alias("end")))
-        rows = rows.select("id", "key", "n_words", F.when(F.col("at") == 0, 1).otherwise(0).alias("rows"), span.alias("span"), F.when(F.col("at") > 0, F.col("item_id")).alias("item_id"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("id", "key").agg(F.sum("rows").alias("rows"), F.max("n_words").cast("long").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("items"))
+    whole = items.where(F.size("words") > 0).withColumn("least", F.least(F.size("words"), F.lit(WINDOW)))
+    # an item's marks are those of its own length; a text is read once and has marks of all lengths
+    own = F.when(F.col("least") == WINDOW, fingerprints(F.col("words")))
+    for n in lengths:
+        own = own.when(F.col("least") == n, every_gram(F.col("words"), n))
+    side = whole.select("item_id", "least", F.explode(own).alias("m"))
+    side = stored(side.select("item_id", F.col("least").alias("i_least"), *[F.col(f"m.{c}").alias(f"i_{c}") for c in ("fp", "left", "right")]).distinct())
+    # the row without a fingerprint; its hash is spread over partitions and joins nothing
+    itself = F.struct(F.lit(0).alias("at"), F.col("key").alias("fp"), F.slice("words", 1, 0).alias("left"), F.slice("words", 1, 0).alias("right"))
+    found = F.concat(F.array(itself), fingerprints(F.col("words")), *[every_gram(F.col("words"), n) for n in lengths])
+    rows = docs.select("id", "key", F.size("words").alias("n_words"), F.explode(found).alias("m")).select("id", "key", "n_words", "m.*")
+    if side.count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    rows = rows.join(side, (F.col("fp") == F.col("i_fp")) & (F.col("at") > 0), "left").where("at = 0 or i_fp is not null")
+    rows = rows.withColumn("_l", common_prefix(F.reverse("left"), F.reverse("i_left"))).withColumn("_r", common_prefix(F.col("right"), F.col("i_right")))
+    rows = rows.where("at = 0 or _l + _r >= i_least")
+    span = F.when(F.col("at") > 0, F.struct((F.col("at") - F.col("_l")).alias("start"), (F.col("at") + F.col("_r")).alias("end")))
+    rows = rows.select("id", "key", "n_words", F.when(F.col("at") == 0, 1).otherwise(0).alias("rows"), span.alias("span"), F.when(F.col("at") > 0, F.col("item_id")).alias("item_id"))
+    return rows.groupBy("id", "key").agg(F.sum("rows").alias("rows"), F.max("n_words").cast("long").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("items"))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

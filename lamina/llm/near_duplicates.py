@@ -7,7 +7,8 @@ shared positions always fill three of one half, so these 8 triples miss no pair.
 positional bytes of each pair are tallied, pairs below 5 are dropped, the rest is verified by bits.
 Distinct fingerprints are indexed, copies are one entry. A list gives a tree over each set it links,
 not all its pairs; trees of all lists are joined to components by alternating star steps, each behind
-a checkpoint. Lists longer than `crowd` are split by two more positions, again without a miss.
+a checkpoint. Lists longer than `crowd` are split by two more positions, again without a miss; in those
+that stay long each fingerprint looks up its neighbours, which takes no pairs.
 
 Null and empty texts have fingerprint 0 and are linked like any other. A null doc_id never names a
 component unless it has no other member; then the name is null. Extra columns are carried along.
@@ -25,8 +26,8 @@ from .common import NULL_ID, as_bytes, aside, beside, row_key, stored, with_keys
 
 SHINGLE, BITS, SHARED = 3, 3, 5
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
-#: From this many fingerprints on, triples of bytes would meet by chance too often: five are used.
-MANY = 200_000_000
+#: Fingerprints of one list that are compared pair by pair; of more, each looks its neighbours up.
+PAIRWISE = 4_096
 
 
 def fingerprint(raw: bytes) -> int:
@@ -78,18 +79,14 @@ def listed(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.part", "e.key", "fp")
 
 
-def trees(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of groups, given in a row, edges that link what is within BITS, through SHARED bytes in place."""
+def close_pairs(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of one group that are within BITS, through SHARED bytes in place; groups stand in a row."""
     n = len(fp)
-    label = np.arange(n)
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     last = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
     left, right, d = [], [], 1
     at = np.arange(n)
-    while True:
-        at = at[at + d < last[at]]
-        if not len(at):
-            break
+    while len(at := at[at + d < last[at]]):
         x = fp[at] ^ fp[at + d]
         shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
         some = np.flatnonzero(shared >= SHARED)
@@ -97,9 +94,45 @@ def trees(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left.append(at[some])
         right.append(at[some] + d)
         d += 1
-    if not left:
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def looked_up(fp: np.ndarray, positions: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one large list whose fingerprints share five bytes: they differ in up to BITS bits of the
+    three others, so each of the 2,324 differences is tried on all of them at once. Work grows with the list."""
+    free = [p for p in range(8) if p not in positions]
+    value = sum((fp >> np.uint64(8 * p) & np.uint64(255)) << np.uint64(8 * i) for i, p in enumerate(free)).astype(np.int64)
+    place = np.full(1 << 24, -1, dtype=np.int32)
+    place[value] = np.arange(len(fp))
+    left, right = [], []
+    for bits in (c for k in range(1, BITS + 1) for c in combinations(range(24), k)):
+        other = place[value ^ sum(1 << b for b in bits)]
+        some = np.flatnonzero(other > np.arange(len(fp)))
+        left.append(some)
+        right.append(other[some])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def trees(fp: np.ndarray, group: np.ndarray, sets: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists, given in a row and named by key * 64 + number of the set of positions, edges that link what is close."""
+    n = len(fp)
+    label = np.arange(n)
+    edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), n)
+    large = np.flatnonzero(np.diff(edge) > PAIRWISE)
+    large = [g for g in large.tolist() if len(sets[int(group[edge[g]]) & 63]) == SHARED]
+    small = np.ones(n, dtype=bool)
+    pairs = []
+    for g in large:
+        small[edge[g] : edge[g + 1]] = False
+        a, b = looked_up(fp[edge[g] : edge[g + 1]], sets[int(group[edge[g]]) & 63])
+        pairs.append((a + edge[g], b + edge[g]))
+    at = np.flatnonzero(small)
+    a, b = close_pairs(fp[at], group[at]) if len(at) else (at, at)
+    pairs.append((at[a], at[b]))
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
     while True:
         low = np.minimum(label[a], label[b])
         before = label.copy()
@@ -112,15 +145,15 @@ def trees(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, label[own]
 
 
-def linked(postings: DataFrame) -> DataFrame:
-    """Edges (u, v) of each list's trees."""
+def linked(postings: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """Edges (u, v) of each list's trees; `part` numbers the sets of positions."""
 
     def run(batches):
         import pyarrow as pa
 
         def edges(held):
             part, key, fp = (np.concatenate(c) for c in zip(*held))
-            a, b = trees(fp.view(np.uint64), key * 64 + part)
+            a, b = trees(fp.view(np.uint64), key * 64 + part, sets)
             return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["u", "v"])
 
         held, size = [], 0
@@ -148,22 +181,19 @@ def linked(postings: DataFrame) -> DataFrame:
     return postings.repartition("part", "key").sortWithinPartitions("part", "key").select("part", "key", "fp").mapInArrow(run, "u long, v long")
 
 
-def edges(fps: DataFrame, n: int, crowd: int = 20_000) -> DataFrame:
+def edges(fps: DataFrame, crowd: int = 20_000) -> DataFrame:
     """Links between distinct fingerprints, enough to connect what is connected."""
     fives = list(combinations(range(8), SHARED))
-    if n > MANY:
-        return linked(listed(fps, fives)).distinct()
     postings = listed(fps, TRIPLES)
-    long = postings.groupBy("part", "key").count().where(f"count > {crowd}").select("part", "key")
-    found = linked(postings)
-    if not (long := stored(long)).isEmpty():
-        # pairs of a long list share its triple and two more positions
-        finer = postings.join(long, ["part", "key"], "left_semi").groupBy("fp").agg(F.collect_set("part").alias("parts"))
-        wanted = [F.struct(F.lit(i).alias("part"), sum(F.shiftleft(byte_at(p), 8 * k) for k, p in enumerate(s)).alias("key")) for i, s in enumerate(fives)]
-        allowed = [F.arrays_overlap("parts", F.array(*[F.lit(j) for j, t in enumerate(TRIPLES) if set(t) <= set(s)] or [F.lit(-1)])) for s in fives]
-        split = finer.select("fp", F.explode(F.filter(F.array(*[F.when(a, w) for a, w in zip(allowed, wanted)]), lambda e: e.isNotNull())).alias("e")).select("e.part", "e.key", "fp")
-        found = linked(postings.join(long, ["part", "key"], "left_anti")).unionByName(linked(split))
-    return found.distinct()
+    long = stored(postings.groupBy("part", "key").count().where(f"count > {crowd}").select("part", "key"))
+    if long.isEmpty():
+        return linked(postings, TRIPLES).distinct()
+    # pairs of a long list share its triple and two more positions
+    finer = postings.join(long, ["part", "key"], "left_semi").groupBy("fp").agg(F.collect_set("part").alias("parts"))
+    wanted = [F.struct(F.lit(i).alias("part"), sum(F.shiftleft(byte_at(p), 8 * k) for k, p in enumerate(s)).alias("key")) for i, s in enumerate(fives)]
+    allowed = [F.arrays_overlap("parts", F.array(*[F.lit(j) for j, t in enumerate(TRIPLES) if set(t) <= set(s)] or [F.lit(-1)])) for s in fives]
+    split = finer.select("fp", F.explode(F.filter(F.array(*[F.when(a, w) for a, w in zip(allowed, wanted)]), lambda e: e.isNotNull())).alias("e")).select("e.part", "e.key", "fp")
+    return linked(postings.join(long, ["part", "key"], "left_anti"), TRIPLES).unionByName(linked(split, fives)).distinct()
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -190,7 +220,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows (doc, rk, fp), and per fingerprint its component and the first row (doc, rk) of the component."""
     rows = stored(fingerprints(docs, id_col, text_col))
     classes = stored(rows.groupBy("fp").agg(F.min(F.struct("doc", "rk")).alias("first")))
-    links = edges(classes.select("fp"), classes.count(), crowd)
+    links = edges(classes.select("fp"), crowd)
     named = classes.join(stars(links), "fp", "left").select("fp", "first", F.coalesce("m", "fp").alias("component"))
     named = stored(named)
     return rows, named.join(named.groupBy("component").agg(F.min("first").alias("head")), "component").select("fp", "component", "head")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import I2, M2, NULL_ID, Rolling, Scratch, as_bytes, mix, sliding_argmin
-from .repeats import Kind, covered, earlier_judge, prepared, repeated_spans, with_spans, word_units
+from .repeats import Kind, covered, earlier_judge, prepared, repeated_spans, with_spans
 
 SIZE = 50
 #: Words that a symbol of each round may have at most.
@@ -152,7 +152,7 @@ def anchors(words: np.ndarray, ends: np.ndarray, size: int, caps: tuple[int, ...
     return sliding_argmin(best, size - decided + 1)[: max(0, n - size + 1)], mix(names ^ stretch)
 
 
-WORDS = Kind(SIZE, word_units, anchors, earlier=True)
+WORDS = Kind(SIZE, anchors)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = WORDS, crowd: int = 20_000) -> DataFrame:

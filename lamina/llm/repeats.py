@@ -1,9 +1,9 @@
-"""Long repeats between texts, found through anchored runs; the two substring operators share this.
+"""Long repeats of words between texts, found through anchored runs.
 
-A text is a sequence of units, words or bytes. Every window of `size` units is given one anchor, a
-place inside it that its own content alone decides, so equal windows have equal anchors at equal
-offsets. Neighbouring windows with the same anchor form a run, which is described by the anchor's
-name, two 64-bit hashes of the run's content, and where it starts. Then, on these short rows only:
+Every window of `size` words is given one anchor, a place inside it that its own content alone decides,
+so equal windows have equal anchors at equal offsets. Neighbouring windows with the same anchor form a
+run, which is described by the anchor's name, two 64-bit hashes of the run's content (one modulo 2^64,
+one modulo two primes), and where it starts. Then, on these short rows only:
 
 1. runs of equal content are counted as one, so thousands of copies are one row;
 2. contents whose anchor name occurs once are dropped: no window of theirs can be repeated;
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import I1, I2, M1, M2, NULL_ID, Rolling, Scratch, as_bytes, chunks, row_key
+from .common import I1, M1, NULL_ID, PrimeRolling, Rolling, Scratch, as_bytes, chunks, row_key
 
 RUN = "key long, h1 long, h2 long, doc long, rk long, start int, n int"
 CONTENT = "key long, h1 long, h2 long, lo long, crowd long, n int, content binary"
@@ -34,17 +34,13 @@ FLAG = "key long, h1 long, h2 long, span array<int>"
 
 @dataclass(frozen=True)
 class Kind:
-    """How texts become units and units get anchors.
+    """How long windows are and how they get anchors.
 
-    units(texts) gives (digits, ends): 64-bit digits of all units in a row, and where each text ends.
-    anchors(digits, ends, size) gives for each window start the place of its anchor and the names by place.
-    earlier: only windows that also start in a smaller doc_id are wanted; else all that start elsewhere.
+    anchors(words, ends, size) gives for each window start the place of its anchor and the names by place.
     """
 
     size: int
-    units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     anchors: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
-    earlier: bool
     segment: int = 1 << 21  # units worked on at once; a window's anchor needs no more than the window
 
 
@@ -54,7 +50,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def run_rows(kind: Kind, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
     """Runs of some texts: (text, name, h1, h2, start in its text, windows). Long texts go in segments."""
-    digits, ends = kind.units(texts)
+    digits, ends = word_units(texts)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     parts = []
     for a in range(0, max(0, len(digits) - kind.size + 1), kind.segment):
@@ -80,7 +76,7 @@ def _segment_runs(kind: Kind, digits: np.ndarray, ends: np.ndarray) -> tuple[np.
     n = np.diff(np.append(at, len(windows)))
     begin = windows[at]
     end = begin + n + kind.size - 1
-    h1, h2 = Rolling(digits, M1, I1).of(begin, end), Rolling(digits, M2, I2).of(begin, end)
+    h1, h2 = Rolling(digits, M1, I1).of(begin, end), PrimeRolling(digits).of(begin, end)
     return t[at], names[a[at]], h1, h2, begin, n
 
 
@@ -101,7 +97,7 @@ def runs(kind: Kind, docs: DataFrame) -> DataFrame:
 
 
 def contents(kind: Kind, wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cut the wanted runs out of their texts: bytes as they are, words as two hashes per window, which is less."""
+    """Cut the wanted runs out of their texts, as two hashes per window, which is less than their words."""
     per = wanted.groupBy("doc", "rk").agg(F.collect_list(F.struct("key", "h1", "h2", "lo", "crowd", "start", "n")).alias("w"))
 
     def run(batches):
@@ -113,39 +109,27 @@ def contents(kind: Kind, wanted: DataFrame, docs: DataFrame) -> DataFrame:
             flat = asked.values.flatten()
             key, h1, h2, lo_id, many, start, n = (x.to_numpy(zero_copy_only=False) for x in flat)
             for lo, hi in chunks(texts):
-                digits, ends = kind.units(texts[lo:hi])
+                digits, ends = word_units(texts[lo:hi])
                 begins = np.concatenate([[0], ends[:-1]])
                 r = slice(offsets[lo], offsets[hi])
                 at = np.repeat(begins, np.diff(offsets[lo : hi + 1])) + start[r]
-                if kind.units is byte_units:
-                    cut = [digits[p : p + m].tobytes() for p, m in zip(at.tolist(), (n[r] + (kind.size - 1)).tolist())]
-                else:
-                    p, m = np.repeat(at, n[r]), n[r].astype(np.int64)
-                    p += np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
-                    both = np.stack([Rolling(digits, b, i).of(p, p + kind.size) for b, i in ((M1, I1), (M2, I2))], axis=1)
-                    edge = np.append(0, np.cumsum(m)).tolist()
-                    cut = [both[s:e].tobytes() for s, e in zip(edge, edge[1:])]
+                p, m = np.repeat(at, n[r]), n[r].astype(np.int64)
+                p += np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+                both = np.stack([rolling.of(p, p + kind.size) for rolling in (Rolling(digits, M1, I1), PrimeRolling(digits))], axis=1)
+                edge = np.append(0, np.cumsum(m)).tolist()
+                cut = [both[s:e].tobytes() for s, e in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[r]) for x in (key, h1, h2, lo_id, many, n)), pa.array(cut, pa.binary())], ["key", "h1", "h2", "lo", "crowd", "n", "content"])
 
     # a row that comes repeatedly is cut more than once: the later steps don't mind
     return docs.join(per, ["doc", "rk"]).select("text", "w").mapInArrow(run, CONTENT)
 
 
-def window_hashes(kind: Kind, content: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(content: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(content number, offset, h1, h2) of all windows."""
-    if kind.units is byte_units:
-        digits = np.frombuffer(b"".join(content), dtype=np.uint8)
-        lengths = np.array([len(c) for c in content], dtype=np.int64)
-        n = lengths - kind.size + 1
-    else:
-        both = np.frombuffer(b"".join(content), dtype=np.uint64).reshape(-1, 2)
-        n = np.array([len(c) for c in content], dtype=np.int64) // 16
+    both = np.frombuffer(b"".join(content), dtype=np.uint64).reshape(-1, 2)
+    n = np.array([len(c) for c in content], dtype=np.int64) // 16
     which = np.repeat(np.arange(len(content)), n)
-    x = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    if kind.units is not byte_units:
-        return which, x, both[:, 0], both[:, 1]
-    p = (np.cumsum(lengths) - lengths)[which] + x
-    return which, x, Rolling(digits, M1, I1).of(p, p + kind.size), Rolling(digits, M2, I2).of(p, p + kind.size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n), both[:, 0], both[:, 1]
 
 
 def spans_of(flag: np.ndarray, which: np.ndarray, x: np.ndarray, count: int) -> list[list[int]]:
@@ -170,7 +154,7 @@ def compared(kind: Kind, judge, cut: DataFrame, crowd: int) -> DataFrame:
         import pyarrow as pa
 
         key, h1, h2, lo, content = rows
-        which, x, w1, w2 = window_hashes(kind, content)
+        which, x, w1, w2 = window_hashes(content)
         order = np.lexsort((lo[which], w2, w1))
         same = np.zeros(len(order), dtype=bool)
         same[1:] = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
@@ -217,13 +201,13 @@ def crowded(kind: Kind, cut: DataFrame, crowd: int) -> DataFrame:
             for s in range(0, len(content), 500):
                 part = content[s : s + 500]
                 if part:
-                    which, x, w1, w2 = window_hashes(kind, part)
+                    which, x, w1, w2 = window_hashes(part)
                     own = [batch.column(c).to_numpy(zero_copy_only=False)[s : s + 500][which] for c in ("key", "h1", "h2", "lo")]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, x.astype(np.int32), w1.view(np.int64), w2.view(np.int64))], names)
 
     windows = cut.where(f"crowd > {crowd}").drop("crowd").dropDuplicates(["key", "h1", "h2"]).mapInArrow(run, "key long, h1 long, h2 long, lo long, x int, w1 long, w2 long")
-    least = windows.groupBy("key", "w1", "w2").agg(F.min("lo").alias("least"), F.count("*").alias("of"))
-    hit = windows.join(least, ["key", "w1", "w2"]).where("least < lo" if kind.earlier else "of > 1")
+    least = windows.groupBy("key", "w1", "w2").agg(F.min("lo").alias("least"))
+    hit = windows.join(least, ["key", "w1", "w2"]).where("least < lo")
     return hit.groupBy("key", "h1", "h2").agg(F.flatten(F.transform(F.array_sort(F.collect_set("x")), lambda x: F.array(x, x))).alias("span"))
 
 
@@ -253,10 +237,9 @@ def repeated_spans(kind: Kind, docs: DataFrame, scratch: Scratch, judge, crowd:
     # a run without repeated windows has no row here
     known = scratch.table("known", classes.select("key", "h1", "h2", "lo", "times").join(scratch.table("flags", flags), ["key", "h1", "h2"], "left").where("span is not null or times > 1"))
     scratch.drop("contents", "classes", "flags")
-    everything = "doc > lo" if kind.earlier else "times > 1"
     whole = F.array(F.col("start"), F.col("start") + F.col("n") - 1 + kind.size)
     parts = F.transform("span", lambda x, i: F.col("start") + x + F.when(i % 2 == 1, kind.size).otherwise(0))
-    spans = found.join(known, ["key", "h1", "h2"]).select("doc", "rk", F.when(F.expr(everything), whole).otherwise(parts).alias("s")).where("s is not null")
+    spans = found.join(known, ["key", "h1", "h2"]).select("doc", "rk", F.when(F.expr("doc > lo"), whole).otherwise(parts).alias("s")).where("s is not null")
     spans = scratch.table("spans", spans.groupBy("doc", "rk").agg(F.flatten(F.collect_set("s")).alias("spans")))
     scratch.drop("runs", "known")
     return spans

@@ -160,6 +160,24 @@ def test_near_duplicates(spark, crowd):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute.near(single)} and kept.count() == len({c for _, _, c in brute.near(single)})
 
 
+def test_long_lists_look_their_neighbours_up():
+    """The same pairs as by comparing all, in a list whose fingerprints share five bytes."""
+    import numpy as np
+
+    r = random.Random(4)
+    for positions in ((0, 1, 2, 3, 4), (1, 3, 4, 6, 7)):
+        free = [p for p in range(8) if p not in positions]
+        base = r.randrange(1 << 64)
+        some = {0}
+        while len(some) < 500:
+            x = r.choice(sorted(some)) if r.random() < 0.6 else r.randrange(1 << 24)
+            some.add(x ^ sum({1 << r.randrange(24) for _ in range(r.randint(1, 4))}))
+        fp = np.array([base ^ sum((x >> 8 * i & 255) << 8 * p for i, p in enumerate(free)) for x in some], dtype=np.uint64)
+        pairs = lambda found: {tuple(sorted(p)) for p in zip(*(x.tolist() for x in found))}
+        want = pairs(near_duplicates.close_pairs(fp, np.zeros(len(fp), dtype=np.int64)))
+        assert want and pairs(near_duplicates.looked_up(fp, positions)) == want
+
+
 def test_statistics(spark):
     rows = corpus(7) + [(500, "a #*\nb\n\nb\nb $$ |x>"), (501, "q w e r t y u i " * 9)]
     got = quality_rules.with_statistics(frame(spark, rows))
