@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import bz2
+import io
 import lzma
 import struct
 import zlib
@@ -228,11 +230,17 @@ SKIPPABLE, ZSTD_MAGIC = 0x184D2A50, 0xFD2FB528
 SEEK_TABLE_MAGIC, SEEK_FRAME_MAGIC = 0x8F92EAB1, 0x184D2A5E
 
 
-def zstd_encode(data, level=3, dictionary=None, checksum=False, frame_size=None):
-    """One frame; or frames of frame_size bytes with a seek table."""
+def zstd_encode(data, level=3, dictionary=None, checksum=False, frame_size=None, magicless=False, **advanced):
+    """One frame; or frames of frame_size bytes with a seek table. magicless leaves the first four bytes out;
+    advanced are compression parameters by the library's names, such as window_log or strategy."""
     import zstandard as z
 
-    c = z.ZstdCompressor(level=level, write_checksum=checksum, dict_data=z.ZstdCompressionDict(dictionary) if dictionary else None)
+    given = z.ZstdCompressionDict(dictionary) if dictionary else None
+    if magicless or advanced:
+        form = z.FORMAT_ZSTD1_MAGICLESS if magicless else z.FORMAT_ZSTD1
+        c = z.ZstdCompressor(compression_params=z.ZstdCompressionParameters.from_level(level, format=form, write_checksum=checksum, **advanced), dict_data=given)
+    else:
+        c = z.ZstdCompressor(level=level, write_checksum=checksum, dict_data=given)
     if frame_size is None:
         return c.compress(data)
     parts, table = [], []
@@ -279,7 +287,10 @@ def _zstd_one(data, max_output, dictionary, max_window):
     return b"".join(out), min(at, len(data)) - len(d.unused_data)
 
 
-def zstd_decode(data, max_output, single=False, dictionary=None, max_window=None):
+def zstd_decode(data, max_output, single=False, dictionary=None, max_window=None, magicless=False):
+    if magicless:  # one frame: without the mark the next one can't be told
+        out, n = _zstd_one(ZSTD_MAGIC.to_bytes(4, "little") + bytes(data), max_output, dictionary, max_window)
+        return out, n - 4
     return _frames(lambda d, m: _zstd_one(d, m, dictionary, max_window), data, max_output, single)
 
 
@@ -298,8 +309,10 @@ def zstd_frames(data: bytes) -> list[tuple[int, int, bool, int | None]]:
     return out
 
 
-def zstd_seek_table(data: bytes) -> list[tuple[int, int, int, int]] | None:
-    """(offset, size, decoded offset, decoded size) of each frame from the seek table; None without one."""
+def zstd_seek_table(data: bytes, before: int = 0) -> list[tuple[int, int, int, int]] | None:
+    """(offset, size, decoded offset, decoded size) of each frame from the seek table; None without one.
+
+    `before` bytes of the file may be missing in front of the data."""
     if len(data) < 17 or int.from_bytes(data[-4:], "little") != SEEK_TABLE_MAGIC:
         return None
     count, flags = struct.unpack("<IB", data[-9:-4])
@@ -317,7 +330,7 @@ def zstd_seek_table(data: bytes) -> list[tuple[int, int, int, int]] | None:
             raise MalformedData("frame too large")
         out.append((at, c, decoded, d))
         at, decoded = at + c, decoded + d
-    if at != start:
+    if at != start + before:
         raise MalformedData("seek table doesn't cover the frames")
     return out
 
@@ -336,6 +349,83 @@ def zstd_read_range(data: bytes, offset: int, size: int, max_output: int = 1 <<
     return b"".join(out)[offset - first :][:size] if out else b""
 
 
+class SeekableZstd(io.RawIOBase):
+    """The decoded bytes of frames with a seek table as a file: a frame is decoded when it is asked for, a few are kept."""
+
+    KEPT = 4
+
+    def __init__(self, f, table: list[tuple[int, int, int, int]]):
+        self.f, self.table, self.at = f, table, 0
+        self.starts_at = [t[2] for t in table]
+        self.total = table[-1][2] + table[-1][3] if table else 0
+        self.held: dict[int, bytes] = {}
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def seek(self, offset, whence=0):
+        self.at = max(0, offset + (0, self.at, self.total)[whence])
+        return self.at
+
+    def tell(self):
+        return self.at
+
+    def _frame(self, i: int) -> bytes:
+        if i not in self.held:
+            if len(self.held) >= self.KEPT:
+                del self.held[next(iter(self.held))]
+            offset, size, _, decoded = self.table[i]
+            self.f.seek(offset)
+            raw = self.f.read(size)
+            self.held[i] = _zstd_one(raw, decoded, None, None)[0]
+            if len(self.held[i]) != decoded:
+                raise MalformedData("frame size")
+        return self.held[i]
+
+    def readinto(self, buffer):
+        if self.at >= self.total:
+            return 0
+        i = bisect.bisect_right(self.starts_at, self.at) - 1
+        while self.table[i][3] == 0:
+            i += 1
+        part = self._frame(i)[self.at - self.table[i][2] :][: len(buffer)]
+        buffer[: len(part)] = part
+        self.at += len(part)
+        return len(part)
+
+
+def seekable_zstd(f) -> io.BufferedReader | None:
+    """A seekable file over another one that ends with a seek table, or None."""
+    f.seek(0, 2)
+    end = f.tell()
+    if end < 17:
+        return None
+    f.seek(end - 9)
+    tail = f.read(9)
+    if int.from_bytes(tail[5:], "little") != SEEK_TABLE_MAGIC:
+        return None
+    size = min(end, int.from_bytes(tail[:4], "little") * (12 if tail[4] & 0x80 else 8) + 17)
+    f.seek(end - size)
+    table = zstd_seek_table(f.read(size), end - size)
+    out = io.BufferedReader(SeekableZstd(f, table), 1 << 16)
+    out.total = out.raw.total
+    return out
+
+
+def zstd_frame_info(data: bytes) -> list[dict]:
+    """Of each frame: offset, size, skippable, decoded size if stated, window, dictionary id (0: none), checksum."""
+    import zstandard as z
+
+    out = []
+    for at, n, skip, stated in zstd_frames(data):
+        p = None if skip else z.get_frame_parameters(bytes(data[at : at + 32]))
+        out.append({"offset": at, "size": n, "skippable": skip, "decoded_size": stated, "window": p and p.window_size, "dictionary_id": p and p.dict_id, "checksum": p and bool(p.has_checksum)})
+    return out
+
+
 def zstd_train(samples: list[bytes], size: int = 16_384) -> bytes:
     import zstandard as z
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..errors import MalformedData
-from .entry import DIRECTORY, Entry, Limits, Tracker, exactly, mode_of_type, safe_path, slice_of, type_of_mode
+from .entry import DIRECTORY, Entry, Limits, Tracker, exactly, mode_of_type, safe_path, slice_of, type_of_mode, text_of
 
 MAGIC = b"!<arch>\n"
 
@@ -16,7 +16,7 @@ def _number(raw: bytes, base: int = 10) -> int:
         raise MalformedData("number field") from None
 
 
-def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
+def read(f, limits: Limits = Limits(), charset=None, **_):
     tracker = Tracker(limits)
     f.seek(0)
     if f.read(8) != MAGIC:
@@ -59,7 +59,7 @@ def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
         elif ident.endswith(b"/"):
             name = ident[:-1]
         mode = _number(head[40:48], 8)
-        e = Entry(safe_path(name.decode(charset)), type_of_mode(mode), size, mode & 0o7777, _number(head[16:28]) * 10**9, fields={"identifier": ident.decode("latin-1"), "uid": _number(head[28:34]), "gid": _number(head[34:40]), "mode": mode}, body=slice_of(f, start, size))
+        e = Entry(safe_path(text_of(name, charset)), type_of_mode(mode), size, mode & 0o7777, _number(head[16:28]) * 10**9, fields={"identifier": ident.decode("latin-1"), "uid": _number(head[28:34]), "gid": _number(head[34:40]), "mode": mode}, body=slice_of(f, start, size))
         tracker.entry(e)
         yield e
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 from ..errors import MalformedData
-from .entry import SYMLINK, Entry, Limits, Tracker, entry_key, exactly, mode_of_type, slice_of, type_of_mode
+from .entry import SYMLINK, Entry, Limits, Tracker, entry_key, exactly, mode_of_type, slice_of, type_of_mode, text_of
 
 TRAILER = "TRAILER!!!"
 _NEW = ("inode", "mode", "uid", "gid", "nlink", "mtime", "size", "dev_major", "dev_minor", "rdev_major", "rdev_minor", "namesize", "checksum")
@@ -41,7 +41,7 @@ def _header(f) -> tuple[str, str | None, dict, int]:
     raise MalformedData("not a CPIO header")
 
 
-def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
+def read(f, limits: Limits = Limits(), charset=None, **_):
     tracker = Tracker(limits)
     at = 0
     while True:
@@ -54,7 +54,7 @@ def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
         start = at + -(-(f.tell() - at) // align) * align
         size = h["size"]
         at = start + -(-size // align) * align
-        path = name[:-1].decode(charset)
+        path = text_of(name[:-1], charset)
         if path == TRAILER:
             return
         key = path.replace("\\", "/")
@@ -72,7 +72,7 @@ def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
         fields = {k: v for k, v in h.items() if k not in ("namesize", "size", "mtime")} | {"dialect": dialect, "byte_order": order}
         if dialect != "crc":
             fields.pop("checksum", None)
-        e = Entry(key, kind, size, h["mode"] & 0o7777, h["mtime"] * 10**9, link_target=body().decode(charset) if kind == SYMLINK else None, fields=fields, body=body)
+        e = Entry(key, kind, size, h["mode"] & 0o7777, h["mtime"] * 10**9, link_target=text_of(body(), charset) if kind == SYMLINK else None, fields=fields, body=body)
         tracker.entry(e)
         yield e
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from ..errors import LimitExceeded, MalformedData
+from ..errors import LimitExceeded, MalformedData, Unsupported
 
 FILE, DIRECTORY, SYMLINK, HARDLINK, OTHER = "file", "directory", "symlink", "hardlink", "other"
 
@@ -109,6 +109,31 @@ def mode_of_type(kind: str) -> int:
     return {v: k for k, v in _KINDS.items()}.get(kind, 0o100000)
 
 
+def text_of(raw: bytes, charset, default: str = "utf-8") -> str:
+    """Metadata as text, decoded strictly.
+
+    charset is a name, names separated by commas of which the first that fits counts, or a detector: a
+    function of the bytes that names one, or none for the default.
+    """
+    if callable(charset):
+        charset = charset(raw) or default
+    names = (charset or default).split(",")
+    for i, name in enumerate(names):
+        try:
+            return raw.decode(name.strip())
+        except LookupError:
+            raise Unsupported(f"charset {name}") from None
+        except UnicodeDecodeError as e:
+            if i == len(names) - 1:
+                raise MalformedData(str(e)) from None
+    raise AssertionError
+
+
+def secret_of(password, path: str | None):
+    """A password as it was given, or what a provider, a function of the entry's path, gives."""
+    return password(path) if callable(password) else password
+
+
 def exactly(f, n: int) -> bytes:
     data = f.read(n)
     if len(data) != n:

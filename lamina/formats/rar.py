@@ -10,15 +10,15 @@ from ..errors import LimitExceeded, MalformedData, Unsupported
 from ..functions import crypto
 from ..functions.hashes import blake2sp
 from . import rar_lz
-from .entry import DIRECTORY, FILE, OTHER, SYMLINK, Entry, Limits, Tracker, dos_time, exactly, safe_path, type_of_mode, windows_time
+from .entry import DIRECTORY, FILE, OTHER, SYMLINK, Entry, Limits, Tracker, dos_time, exactly, safe_path, secret_of, text_of, type_of_mode, windows_time
 
 OLD, NEW = b"Rar!\x1a\x07\x00", b"Rar!\x1a\x07\x01\x00"
 
 
-def read(f, limits: Limits = Limits(), charset: str | None = "utf-8", search: int = 1 << 20, password: str | bytes | None = None, **_):
+def read(f, limits: Limits = Limits(), charset=None, search: int = 1 << 20, password=None, **_):
     """The signature may come after a self-extracting stub."""
-    charset = charset or "utf-8"
-    secret = password.decode() if isinstance(password, bytes) else password
+    secret = secret_of(password, None)
+    secret = secret.decode() if isinstance(secret, bytes) else secret
     f.seek(0)
     head = f.read(search + 8)
     at = head.find(b"Rar!\x1a\x07")
@@ -287,10 +287,10 @@ def _five_plain(locked: bytes, password: str | None):
     return plain, sums
 
 
-def _four_name(raw: bytes, unicode_flag: bool, charset: str) -> str:
+def _four_name(raw: bytes, unicode_flag: bool, charset) -> str:
     """The name; with the flag, a plain name, a zero and a packed list of differences to it."""
     if not unicode_flag:
-        return raw.decode(charset, "replace")
+        return text_of(raw, charset)
     plain, zero, packed = raw.partition(b"\0")
     if not zero:
         return raw.decode("utf-8", "replace")
@@ -350,7 +350,7 @@ def _four_header(f, at: int, password: str | None, hidden: bool) -> tuple[bytes,
     return (head + crypto.cbc_decrypt(key, first, exactly(f, whole - 16)))[:size], at + 8 + whole
 
 
-def _four(f, at: int, limits: Limits, charset: str, password: str | None):
+def _four(f, at: int, limits: Limits, charset, password: str | None):
     tracker, chain = Tracker(limits), rar_lz.Chain()
     hidden, waiting = False, None
     while (block := _four_header(f, at, password, hidden)) is not None:
@@ -414,7 +414,7 @@ def _four(f, at: int, limits: Limits, charset: str, password: str | None):
             if method == 0x30 or number is not None:
                 e.body = _body(parts, real, method == 0x30, number, chain, crc, None, None, limits)
             if shape == SYMLINK and not flags & 4:
-                e.link_target = e.fields["link_name"] = e.body().decode(charset, "replace")
+                e.link_target = e.fields["link_name"] = text_of(e.body(), charset)
         tracker.entry(e)
         yield e
     if waiting is not None:

@@ -10,7 +10,7 @@ import zlib
 from .. import codecs
 from ..errors import LimitExceeded, MalformedData, Unsupported
 from ..functions import crypto, transforms
-from .entry import DIRECTORY, FILE, SYMLINK, Entry, Limits, Tracker, exactly, mode_of_type, safe_path, type_of_mode, windows_time
+from .entry import DIRECTORY, FILE, SYMLINK, Entry, Limits, Tracker, exactly, mode_of_type, safe_path, secret_of, type_of_mode, windows_time
 
 MAGIC = b"7z\xbc\xaf\x27\x1c"
 #: Coder ids.
@@ -236,8 +236,9 @@ def _folder(f, base: int, folder: Folder, offsets: list[int], packs: list[int],
     return data
 
 
-def read(f, limits: Limits = Limits(), password: str | None = None, **_):
-    tracker = Tracker(limits)
+def read(f, limits: Limits = Limits(), password=None, **_):
+    tracker, password = Tracker(limits), secret_of(password, None)
+    password = password.decode() if isinstance(password, bytes) else password
     f.seek(0)
     head = exactly(f, 32)
     if head[:6] != MAGIC:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..errors import MalformedData
-from .entry import DIRECTORY, FILE, HARDLINK, OTHER, SYMLINK, Entry, Limits, Tracker, exactly, safe_path, slice_of
+from .entry import DIRECTORY, FILE, HARDLINK, OTHER, SYMLINK, Entry, Limits, Tracker, exactly, safe_path, slice_of, text_of
 
 BLOCK = 512
 
@@ -124,7 +124,7 @@ def _pax_sparse(pax: dict, f, start: int, packed: int):
     return None
 
 
-def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
+def read(f, limits: Limits = Limits(), charset=None, **_):
     tracker = Tracker(limits)
     at, everywhere, local = 0, {}, {}
     long_name = long_link = None
@@ -165,8 +165,8 @@ def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
                 name = prefix + b"/" + name
         name, link = long_name or name, long_link or link
         code = "latin-1" if pax.get("hdrcharset") == b"BINARY" else charset
-        path = pax["path"].decode("utf-8" if code == charset else code) if "path" in pax else name.decode(code)
-        target = pax["linkpath"].decode() if "linkpath" in pax else link.decode(code)
+        path = text_of(pax["path"], code if code == "latin-1" else "utf-8") if "path" in pax else text_of(name, code)
+        target = text_of(pax["linkpath"], "utf-8") if "linkpath" in pax else text_of(link, code)
         size = int(pax["size"]) if "size" in pax else size
         packed = size
         segments = None
@@ -190,7 +190,7 @@ def read(f, limits: Limits = Limits(), charset: str = "utf-8", **_):
         time = lambda k: _nanos(pax[k]) if k in pax else None
         ids = {k: int(pax[k]) if k in pax else _number(head[o : o + 8]) for k, o in (("uid", 108), ("gid", 116))}
         mode = _number(head[100:108])
-        fields = {"type_flag": flag, **ids, "uname": pax["uname"].decode() if "uname" in pax else _text(head[265:297]).decode(code), "gname": pax["gname"].decode() if "gname" in pax else _text(head[297:329]).decode(code), "is_hard_link": kind == HARDLINK, "link_name": target or None, "btime": time("LIBARCHIVE.creationtime")}
+        fields = {"type_flag": flag, **ids, "uname": pax["uname"].decode() if "uname" in pax else text_of(_text(head[265:297]), code), "gname": pax["gname"].decode() if "gname" in pax else text_of(_text(head[297:329]), code), "is_hard_link": kind == HARDLINK, "link_name": target or None, "btime": time("LIBARCHIVE.creationtime")}
         e = Entry(safe_path(path), kind, shown, mode & 0o7777, time("mtime") if "mtime" in pax else _number(head[136:148]) * 10**9, time("atime"), time("ctime"), target if kind in (SYMLINK, HARDLINK) else None, fields, body)
         tracker.entry(e)
         yield e

@@ -10,7 +10,7 @@ import zlib
 from .. import codecs
 from ..errors import LimitExceeded, MalformedData, Unsupported
 from ..functions import crypto
-from .entry import DIRECTORY, FILE, SYMLINK, Entry, Limits, Tracker, dos_time, entry_key, exactly, mode_of_type, safe_path, to_dos, type_of_mode, windows_time
+from .entry import DIRECTORY, FILE, SYMLINK, Entry, Limits, Tracker, dos_time, entry_key, exactly, mode_of_type, safe_path, secret_of, slice_of, text_of, to_dos, type_of_mode, windows_time
 
 #: Method ids.
 METHODS = {0: "stored", 8: "deflated", 9: "deflate64", 12: "bzip2", 14: "lzma", 20: "zstd-deprecated", 93: "zstd", 95: "xz"}
@@ -29,15 +29,12 @@ def extras(raw: bytes) -> dict[int, bytes]:
     return out
 
 
-def _name(raw: bytes, flags: int, extra: dict[int, bytes], charset: str | None) -> str:
-    """The Unicode path field if it fits the raw name, else UTF-8 by flag, else the given charset or CP437."""
+def _name(raw: bytes, flags: int, extra: dict[int, bytes], charset) -> str:
+    """The Unicode path field if it fits the raw name, else UTF-8 by flag, else the charset that is given or detected, or CP437."""
     u = extra.get(0x7075)
     if u and len(u) >= 5 and u[0] == 1 and int.from_bytes(u[1:5], "little") == zlib.crc32(raw):
         return u[5:].decode("utf-8")
-    try:
-        return raw.decode("utf-8" if flags & 0x800 else charset or "cp437")
-    except UnicodeDecodeError as e:
-        raise MalformedData(str(e)) from None
+    return text_of(raw, "utf-8" if flags & 0x800 else charset, "cp437")
 
 
 def _times(local: dict[int, bytes], central: dict[int, bytes], dos: int | None) -> tuple[int | None, int | None, int | None]:
@@ -118,12 +115,14 @@ def _body(f, at: int, packed: int, method: int, scheme: str | None, bits: int, f
         f.seek(at)
         raw = exactly(f, packed)
         if scheme:
-            if password is None:
+            secret = secret_of(password, path)
+            if secret is None:
                 raise Unsupported(f"password for {path}")
+            secret = secret.encode() if isinstance(secret, str) else secret
             if bits:
-                raw = crypto.winzip_decrypt(raw, password, bits)
+                raw = crypto.winzip_decrypt(raw, secret, bits)
             else:
-                raw = crypto.Traditional(password).decrypt(raw)
+                raw = crypto.Traditional(secret).decrypt(raw)
                 if len(raw) < 12 or raw[11] != check:
                     raise Unsupported("wrong password")
                 raw = raw[12:]
@@ -146,8 +145,14 @@ def _kind(path: str, made_by: int, external: int) -> tuple[str, int | None]:
     return FILE, None
 
 
+def starts_of(f) -> list[int]:
+    """Where the volumes of a joined file start."""
+    return getattr(getattr(f, "raw", f), "starts", [0])
+
+
 def directory(f) -> tuple[int, int, int, int]:
     """(offset of the central directory, its size, entries, bytes before the archive)."""
+    disks = starts_of(f)
     f.seek(0, 2)
     end = f.tell()
     f.seek(max(0, end - 65557))
@@ -160,7 +165,7 @@ def directory(f) -> tuple[int, int, int, int]:
         if at + 22 <= len(tail) and at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") == len(tail):
             break
     place = end - len(tail) + at
-    _, _, _, count, size, offset = struct.unpack_from("<HHHHII", tail, at + 4)
+    _, disk, _, count, size, offset = struct.unpack_from("<HHHHII", tail, at + 4)
     real_end = place
     if place >= 20:
         f.seek(place - 20)
@@ -173,24 +178,29 @@ def directory(f) -> tuple[int, int, int, int]:
                 f.seek(candidate)
                 record = f.read(56)
                 if record[:4] == b"PK\x06\x06":
+                    disk, = struct.unpack_from("<I", record, 20)
                     count, size, offset = struct.unpack_from("<QQQ", record, 32)
                     real_end = candidate
                     break
             else:
                 raise MalformedData("ZIP64 end record")
+    if len(disks) > 1 and 0 < disk < len(disks):
+        # a directory in volumes: places count from their volume's start
+        return disks[disk] + offset, size, count, 0
     before = real_end - size - offset
     if before < 0 or size > 1 << 31:
         raise MalformedData("central directory place")
     return offset + before, size, count, before
 
 
-def read(f, limits: Limits = Limits(), charset: str | None = None, password: str | bytes | None = None, mode: str = "index", **_):
-    secret = password.encode() if isinstance(password, str) else password
-    return _streamed(f, limits, charset, secret) if mode == "stream" else _indexed(f, limits, charset, secret)
+def read(f, limits: Limits = Limits(), charset=None, password=None, mode: str = "index", raw: bool = False, **_):
+    """raw: entries carry their bytes as they are stored, so that a writer can copy them."""
+    return _streamed(f, limits, charset, password) if mode == "stream" else _indexed(f, limits, charset, password, raw)
 
 
-def _indexed(f, limits: Limits, charset: str | None, password: bytes | None):
+def _indexed(f, limits: Limits, charset, password, keep: bool = False):
     tracker = Tracker(limits)
+    disks = starts_of(f)
     start, size, count, before = directory(f)
     tracker.header(size)
     f.seek(start)
@@ -204,6 +214,10 @@ def _indexed(f, limits: Limits, charset: str | None, password: bytes | None):
         extra = extras(extra_raw)
         wide = _wide(extra, [("real", real, 4), ("packed", packed, 4), ("offset", offset, 4), ("disk", disk, 2)])
         real, packed, offset = wide["real"], wide["packed"], wide["offset"] + before
+        if len(disks) > 1:
+            if wide["disk"] >= len(disks):
+                raise MalformedData("disk number")
+            offset = wide["offset"] + disks[wide["disk"]]
         f.seek(offset)
         head = exactly(f, 30)
         if head[:4] != LOCAL:
@@ -232,6 +246,8 @@ def _indexed(f, limits: Limits, charset: str | None, password: bytes | None):
         uid, gid = _owner(local)
         fields = {"raw_path": name, "comment": _name(comment, flags, {}, charset) or None, "raw_comment": comment, "compressed_size": packed, "crc32": crc, "gp_flags": flags, "version_made_by": made, "version_needed": need, "internal_attrs": internal, "external_attrs": external, "uid": uid, "gid": gid, "method_id": inner, "method": METHODS.get(inner), "encryption": scheme, "local_extra": local_raw, "central_extra": extra_raw}
         e = Entry(path, kind, real, posix, mtime, atime, ctime, None, fields, body)
+        if keep and kind == FILE:
+            fields["raw"] = slice_of(f, offset + 30 + local_n + local_m, packed)()
         if kind == SYMLINK and not scheme:
             e.link_target = body().decode("utf-8", "replace")
         tracker.entry(e)
@@ -275,7 +291,7 @@ def _find_end(f, start: int, window: int = 1 << 20) -> tuple[int, int, int, int]
         begin, held = begin + cut, held[cut:]
 
 
-def _streamed(f, limits: Limits, charset: str | None, password: bytes | None):
+def _streamed(f, limits: Limits, charset, password):
     """Local headers in physical order, after anything before the first."""
     tracker = Tracker(limits)
     f.seek(0)
@@ -330,17 +346,25 @@ def compress(data: bytes, method: int, level: int | None = None) -> bytes:
 
 
 def write(entries, out, method: str = "deflated", level: int | None = None, encrypt: str | None = None, password: str | bytes | None = None, descriptor: bool = False, preamble: bytes = b"", comment: bytes = b"", **_) -> None:
-    """encrypt is traditional, aes-128, aes-192 or aes-256; an entry's fields may name its own method."""
+    """encrypt is traditional, aes-128, aes-192 or aes-256; an entry's fields may name its own method.
+
+    An entry that carries its stored bytes (`raw`) is copied as it is. `out` may deal out volumes: then it
+    keeps records whole and says where it is.
+    """
+    place = getattr(out, "place", None)
+    whole = getattr(out, "whole", lambda n: None)
     ids = {v: k for k, v in METHODS.items()}
     secret = password.encode() if isinstance(password, str) else password
     out.write(preamble)
     at, records = len(preamble), []
     for e in entries:
-        body = (e.link_target or "").encode() if e.type == SYMLINK else b"" if e.type == DIRECTORY else e.read()
+        body = (e.link_target or "").encode() if e.type == SYMLINK else b"" if e.type == DIRECTORY or e.fields.get("raw") is not None else e.read()
         path = e.path + ("/" if e.type == DIRECTORY and not e.path.endswith("/") else "")
         name = path.encode()
-        inner = 0 if e.type != FILE else ids[e.fields.get("method") or method]
-        data, crc = compress(body, inner, level), zlib.crc32(body)
+        copied = e.fields.get("raw") if e.type == FILE else None
+        inner = 0 if e.type != FILE else e.fields["method_id"] if copied is not None else ids[e.fields.get("method") or method]
+        data, crc = (bytes(copied), e.fields["crc32"]) if copied is not None else (compress(body, inner, level), zlib.crc32(body))
+        n_body = e.size if copied is not None else len(body)
         flags = 0x800 | (8 if descriptor and e.type == FILE else 0)
         date, time = to_dos(e.mtime)
         extra, shown = b"", inner
@@ -348,7 +372,16 @@ def write(entries, out, method: str = "deflated", level: int | None = None, encr
             extra += struct.pack("<HHBi", 0x5455, 5, 1, e.mtime // 10**9)
         if e.fields.get("uid") is not None and e.fields.get("gid") is not None:
             extra += struct.pack("<HHBBIBI", 0x7875, 11, 1, 4, e.fields["uid"], 4, e.fields["gid"])
-        if encrypt and e.type == FILE:
+        if copied is not None and e.fields.get("encryption"):
+            flags |= 1
+            if e.fields["encryption"] == "traditional":
+                # its check byte is that of the old header: of the time if a descriptor followed
+                flags |= e.fields["gp_flags"] & 8
+            else:
+                field = extras(e.fields["central_extra"])[0x9901]
+                extra += struct.pack("<HH", 0x9901, len(field)) + field
+                shown = 99
+        elif encrypt and e.type == FILE and copied is None:
             if secret is None:
                 raise ValueError("a password is needed")
             flags |= 1
@@ -359,21 +392,39 @@ def write(entries, out, method: str = "deflated", level: int | None = None, encr
                 bits = int(encrypt.removeprefix("aes-"))
                 extra += struct.pack("<HHHHBH", 0x9901, 7, 2, 0x4541, bits // 64 - 1, inner)
                 data, shown, crc = crypto.winzip_encrypt(data, secret, bits, os.urandom(bits // 16)), 99, 0
-        big = len(data) >= 0xFFFFFFFF or len(body) >= 0xFFFFFFFF
-        wide = struct.pack("<HHQQ", 1, 16, len(body), len(data)) if big else b""
-        sizes = (0xFFFFFFFF, 0xFFFFFFFF) if big else (len(data), len(body))
+        big = len(data) >= 0xFFFFFFFF or n_body >= 0xFFFFFFFF
+        wide = struct.pack("<HHQQ", 1, 16, n_body, len(data)) if big else b""
+        sizes = (0xFFFFFFFF, 0xFFFFFFFF) if big else (len(data), n_body)
         need = 45 if big else 51 if shown == 99 else 63 if inner in (14, 93, 95) else 20
         head = struct.pack("<4s5H3I2H", LOCAL, need, flags, shown, time, date, *((0, 0, 0) if flags & 8 and not big else (crc, *sizes)), len(name), len(wide + extra))
-        tail = (DESCRIPTOR + struct.pack("<IQQ" if big else "<III", crc, len(data), len(body))) if flags & 8 else b""
-        out.write(head + name + wide + extra + data + tail)
+        tail = (DESCRIPTOR + struct.pack("<IQQ" if big else "<III", crc, len(data), n_body)) if flags & 8 else b""
+        whole(len(head) + len(name) + len(wide) + len(extra))
+        disk, here = place() if place else (0, at)
+        out.write(head + name + wide + extra)
+        out.write(data)
+        whole(len(tail))
+        out.write(tail)
         mode = (e.mode if e.mode is not None else 0o755 if e.type == DIRECTORY else 0o644) | mode_of_type(e.type)
-        far = at >= 0xFFFFFFFF
-        central_wide = (struct.pack("<QQ", len(body), len(data)) if big else b"") + (struct.pack("<Q", at) if far else b"")
+        far = here >= 0xFFFFFFFF
+        central_wide = (struct.pack("<QQ", n_body, len(data)) if big else b"") + (struct.pack("<Q", here) if far else b"")
         central_extra = (struct.pack("<HH", 1, len(central_wide)) + central_wide if central_wide else b"") + extra
         note = (e.fields.get("comment") or "").encode()
-        records.append(struct.pack("<4s6H3I5H2I", CENTRAL, 3 << 8 | 63, need, flags, shown, time, date, crc, *sizes, len(name), len(central_extra), len(note), 0, 0, mode << 16 | (16 if e.type == DIRECTORY else 0), 0xFFFFFFFF if far else at - len(preamble) if preamble else at) + name + central_extra + note)
+        records.append(struct.pack("<4s6H3I5H2I", CENTRAL, 3 << 8 | 63, need, flags, shown, time, date, crc, *sizes, len(name), len(central_extra), len(note), disk, 0, mode << 16 | (16 if e.type == DIRECTORY else 0), 0xFFFFFFFF if far else here - len(preamble) if preamble else here) + name + central_extra + note)
         at += len(head) + len(name) + len(wide) + len(extra) + len(data) + len(tail)
     central = b"".join(records)
+    if place:
+        there = []
+        for r in records:
+            whole(len(r))
+            there.append(place())
+            out.write(r)
+        whole(22 + len(comment))
+        first, begin = (there or [place()])[0]
+        if max(place()[0], len(records)) >= 0xFFFF or begin >= 0xFFFFFFFF:
+            raise Unsupported("ZIP64 in volumes")
+        last = sum(disk == place()[0] for disk, _ in there)
+        out.write(struct.pack("<4s4H2IH", END, place()[0], first, last, len(records), len(central), begin, len(comment)) + comment)
+        return
     out.write(central)
     n, start = len(records), at - len(preamble)
     if n >= 0xFFFF or start >= 0xFFFFFFFF:

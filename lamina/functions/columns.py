@@ -89,6 +89,26 @@ def decompress_with(data: Column, dictionary: Column, codec: str, max_output: in
     return f(_binary(data), dictionary)
 
 
+def zstd_dictionary_id(data: Column) -> Column:
+    """The dictionary id that the first frame states, 0 for none: dictionaries are joined by it. Native."""
+    byte = lambda at: F.conv(F.hex(F.substring(data, at, 1)), 16, 10).cast("long")
+    flags = byte(5)
+    at = 6 + F.when(flags.bitwiseAND(F.lit(0x20)) == 0, 1).otherwise(0)
+    low = lambda n: sum(F.conv(F.hex(F.substring(data, at + i, F.lit(1))), 16, 10).cast("long") * (1 << 8 * i) for i in range(n))
+    kind = flags.bitwiseAND(F.lit(3))
+    return F.when(F.hex(F.substring(data, 1, 4)) == "28B52FFD", F.when(kind == 0, F.lit(0).cast("long")).when(kind == 1, low(1)).when(kind == 2, low(2)).otherwise(low(4)))
+
+
+def zstd_frame_info(data: Column) -> Column:
+    """array<struct<offset, size, skippable, decoded_size, window, dictionary_id, checksum>>."""
+
+    @F.pandas_udf("array<struct<offset:long,size:long,skippable:boolean,decoded_size:long,window:long,dictionary_id:long,checksum:boolean>>")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else codecs.native.zstd_frame_info(bytes(x)))
+
+    return f(_binary(data))
+
+
 def zstd_frames(data: Column) -> Column:
     """array<struct<offset, size, skippable, decoded_size>>."""
 
@@ -127,6 +147,13 @@ def zstd_range(data: Column, offset: Column, size: Column) -> Column:
 _WIDE = {"xxh64", "crc64-xz"}
 
 
+def checksum_range(data: Column, offset: Column | int, size: Column | int, algorithm: str, seed: int = 0) -> Column:
+    """Checksum of some bytes from an offset (from 0) on; null where they reach beyond the value."""
+    at, n = (x if isinstance(x, Column) else F.lit(x) for x in (offset, size))
+    inside = (at >= 0) & (n >= 0) & (at + n <= F.octet_length(_binary(data)))
+    return F.when(inside, checksum(F.substring(_binary(data), at + 1, n), algorithm, seed))
+
+
 def checksum(data: Column, algorithm: str, seed: int = 0) -> Column:
     """crc32, sha256 and XXH64 of seed 42 are native; others run in Arrow batches.
 

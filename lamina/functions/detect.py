@@ -14,7 +14,7 @@ from ..formats import tar
 PREFIX = 1024
 #: Signatures in hexadecimal, in catalog order, archives by the bytes they look at.
 SEVENZ, AR, RAR4, RAR5 = "377ABCAF271C", "213C617263683E0A", "526172211A0700", "526172211A070100"
-ZIP = ("504B0304", "504B0506", "504B0708")
+ZIP = ("504B0304", "504B0506", "504B0708", "504B3030504B")
 CPIO_ASCII = ("303730373031", "303730373032", "303730373037")
 XZ, BZIP2, LZIP, GZIP, COMPRESS = "FD377A585A00", "425A68", "4C5A4950", "1F8B", "1F9D"
 LZ4, ZSTD = ("04224D18", "02214C18"), "28B52FFD"

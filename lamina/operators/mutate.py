@@ -33,8 +33,55 @@ def delete(entries: DataFrame, which: Column) -> DataFrame:
     return materialized(entries, which).where(~F.coalesce(which, F.lit(False)))
 
 
-def move(entries: DataFrame, source: str, target: str) -> DataFrame:
-    """Rename an entry and all below it; links to moved entries follow."""
+def added(entries: DataFrame, keys: DataFrame, **columns: Column) -> DataFrame:
+    """New entries of keys (archive, entry_key); where there is one of the key already, the query fails.
+
+    Directories may be there: they are kept as they are.
+    """
+    new = keys.select(*KEY).distinct().withColumns({"path": F.col("entry_key"), **columns})
+    old = entries.select(*KEY, F.col("type").alias("_type")).dropDuplicates(KEY)
+    met = new.join(old, KEY, "left")
+    there = F.col("_type").isNotNull()
+    same = there & (F.col("_type") == "directory") & (F.col("type") == "directory")
+    clash = F.concat(F.lit("entry is there already: "), F.col("entry_key"))
+    fresh = met.where(~F.coalesce(same, F.lit(False))).withColumn("entry_key", F.when(there, F.raise_error(clash)).otherwise(F.col("entry_key")))
+    return entries.unionByName(fresh.drop("_type"), allowMissingColumns=True)
+
+
+def create_directories(entries: DataFrame, keys: DataFrame, mode: int = 0o755) -> DataFrame:
+    return added(entries, keys, type=F.lit("directory"), mode=F.lit(mode))
+
+
+def create_symlinks(entries: DataFrame, keys: DataFrame, target: Column) -> DataFrame:
+    """Symbolic links; targets aren't looked up."""
+    return added(entries, keys, type=F.lit("symlink"), link_target=target)
+
+
+def create_links(entries: DataFrame, keys: DataFrame, target: str) -> DataFrame:
+    """Hard links to a file that every archive of `keys` must have."""
+    files = entries.where((F.col("entry_key") == target) & (F.col("type") == "file")).select("archive", F.lit(True).alias("_file")).distinct()
+    known = keys.select(*KEY).join(files, "archive", "left")
+    known = known.withColumn("entry_key", F.when(F.col("_file"), F.col("entry_key")).otherwise(F.raise_error(F.concat(F.lit("no file to link to: "), F.lit(target)))))
+    return added(entries, known, type=F.lit("hardlink"), link_target=F.lit(target))
+
+
+def move(entries: DataFrame, source: str, target: str, replace: bool = False) -> DataFrame:
+    """Rename an entry and all below it; links to moved entries follow. What is at the target already fails the
+    query, or goes with replace."""
+    if target == source or target.startswith(source + "/"):
+        raise ValueError("an entry can't move below itself")
+    held = F.col("entry_key")
+    landing = (held == target) | held.startswith(target + "/")
+    here = (held == source) | held.startswith(source + "/")
+    if replace:
+        moving = entries.where(here).select("archive").distinct()
+        gone = entries.where(landing).select(*KEY).join(moving, "archive", "left_semi")
+        entries = entries.join(gone, KEY, "left_anti")
+    else:
+        sides = entries.where(landing | here).groupBy("archive").agg(F.max(landing).alias("_there"), F.max(here).alias("_moves"))
+        clash = sides.where("_there and _moves").select("archive", F.lit(True).alias("_clash"))
+        checked = entries.join(clash, "archive", "left")
+        entries = checked.withColumn("entry_key", F.when(F.col("_clash") & here, F.raise_error(F.lit(f"entry is there already: {target}"))).otherwise(held)).drop("_clash")
     below = lambda c: (c == source) | c.startswith(source + "/")
     moved = lambda c: F.when(below(c), F.concat(F.lit(target), F.substring(c, len(source) + 1, 1 << 30))).otherwise(c)
     return entries.withColumns({"path": F.when(below(F.col("entry_key")), moved(F.col("entry_key"))).otherwise(F.col("path")), "entry_key": moved(F.col("entry_key")), "link_target": F.when(F.col("type") == "hardlink", moved(F.col("link_target"))).otherwise(F.col("link_target"))})

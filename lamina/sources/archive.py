@@ -58,6 +58,13 @@ def peel(f, limits: Limits, named: str | None = None) -> tuple[str, object, list
         if len(outer) >= limits.max_outer_layers:
             raise LimitExceeded("outer_layers", limits.max_outer_layers, len(outer) + 1)
         outer.append(codec)
+        if codec == "zstd" and (seekable := codecs.native.seekable_zstd(f)) is not None:
+            # frames are decoded as they are asked for
+            most = limits.max_decoded_archive_size
+            if most is not None and seekable.total > most:
+                raise LimitExceeded("decoded_archive_size", most, seekable.total)
+            f = seekable
+            continue
         f.seek(0)
         # decoded layers of some size go to the worker's own disk
         spool = tempfile.SpooledTemporaryFile(max_size=64 << 20)  # noqa: SIM115
@@ -73,6 +80,8 @@ def entries(f, options: dict) -> Iterator[tuple[str, list[str], Entry]]:
     limits = limits_of(options)
     fmt, f, outer = peel(f, limits, option(options, "format"))
     how = {k: v for k, v in (("charset", option(options, "metadataCharset")), ("password", option(options, "password")), ("mode", option(options, "mode"))) if v is not None}
+    if fmt == "zip" and str(option(options, "includeRaw", "false")).lower() == "true":
+        how["raw"] = True
     for e in formats.CATALOG[fmt][3](f, limits=limits, **how):
         yield fmt, outer, e
 
@@ -133,6 +142,29 @@ def entries_of(df: DataFrame, content: str = "content", archive: str = "path", *
     return df.select(F.col(archive).cast("string").alias("a"), F.col(content).alias("c")).mapInArrow(run, ENTRY)
 
 
+def entries_of_volumes(df: DataFrame, content: str = "content", archive: str = "archive", volume: str = "volume", **options) -> DataFrame:
+    """Entries of archives in volumes, given as binary values that are numbered; an archive's volumes meet in one task."""
+
+    def run(parts):
+        def found():
+            held: list[bytes] = []
+            current = None
+            for batch in parts:
+                for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if held and name != current:
+                        yield from rows(str(current), volumes.JoinedParts(held), options)
+                        held = []
+                    current = name
+                    held.append(data or b"")
+            if held:
+                yield from rows(str(current), volumes.JoinedParts(held), options)
+
+        yield from batches(found())
+
+    keyed = df.select(F.col(archive).cast("string").alias("a"), F.col(content).alias("c"), F.col(volume).alias("v"))
+    return keyed.repartition("a").sortWithinPartitions("a", "v").select("a", "c").mapInArrow(run, ENTRY)
+
+
 def read_archives(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Entries of archive files under a path that Spark can read."""
     return entries_of(spark.read.format("binaryFile").load(path), **options)
@@ -145,17 +177,22 @@ def entry_from(row: dict) -> Entry:
     known = {k: v for name in FORMATS for k, v in (get(name) or {}).items() if v is not None}
     known |= {k: get(k) for k in ("uid", "gid", "uname", "gname", "comment", "method") if get(k) is not None}
     body = get("body")
-    return Entry(get("path"), get("type") or "file", None, get("mode"), nanos(get("mtime"), get("mtime_nanos")), None, None, get("link_target"), known, bytes(body) if body is not None else b"")
+    return Entry(get("path"), get("type") or "file", get("size") if known.get("raw") is not None else None, get("mode"), nanos(get("mtime"), get("mtime_nanos")), None, None, get("link_target"), known, bytes(body) if body is not None else b"")
 
 
-def written(found: list[Entry], fmt: str, options: dict) -> bytes:
+def written(found: list[Entry], fmt: str, options: dict) -> list[bytes]:
+    """The archive, or its volumes where volumeSize is given."""
     writer = formats.CATALOG[formats.find(fmt) or "?"][4] if formats.find(fmt) else None
     if writer is None:
         raise Unsupported(f"{fmt} can't be written")
+    outer, size = options.pop("compression", None), options.pop("volumeSize", None)
+    if size is not None:
+        if outer:
+            raise Unsupported("compressed archives in volumes")
+        return volumes.written(lambda out: writer(found, out, **options), formats.find(fmt), int(size))
     out = io.BytesIO()
-    outer = options.pop("compression", None)
     writer(found, out, **options)
-    return codecs.encode(outer, out.getvalue()) if outer else out.getvalue()
+    return [codecs.encode(outer, out.getvalue()) if outer else out.getvalue()]
 
 
 def packed(df: DataFrame, fmt: str, archive: str = "archive", order: str = "path", **options) -> DataFrame:
@@ -164,22 +201,28 @@ def packed(df: DataFrame, fmt: str, archive: str = "archive", order: str = "path
     An archive is one binary value, so its rows meet in one task by nature; bodies are sorted there by
     Spark, which spills, and leave as one value of at most 2 GiB.
     """
-    return packed_all(df, (fmt,), archive, order, **options).drop("format")
+    return packed_all(df, (fmt,), archive, order, **options).drop("format", "volume")
+
+
+def packed_volumes(df: DataFrame, fmt: str, size: int, archive: str = "archive", order: str = "path", **options) -> DataFrame:
+    """The same in volumes of a size: rows (archive, volume, content), volumes from 0."""
+    return packed_all(df, (fmt,), archive, order, volumeSize=size, **options).drop("format")
 
 
 def packed_all(df: DataFrame, fmts: tuple[str, ...], archive: str = "archive", order: str = "path", **options) -> DataFrame:
-    """The same in several formats after one shuffle: rows (archive, format, content)."""
+    """The same in several formats after one shuffle: rows (archive, format, volume, content)."""
     names = [c for c in df.columns if c != archive]
 
     def run(parts):
         import pyarrow as pa
 
-        out = pa.schema([("archive", pa.string()), ("format", pa.string()), ("content", pa.binary())])
+        out = pa.schema([("archive", pa.string()), ("format", pa.string()), ("volume", pa.int32()), ("content", pa.binary())])
         current, held = None, []
 
         def done():
             for fmt in fmts:
-                yield pa.RecordBatch.from_pylist([{"archive": current, "format": fmt, "content": written(held, fmt, dict(options))}], schema=out)
+                for i, content in enumerate(written(held, fmt, dict(options))):
+                    yield pa.RecordBatch.from_pylist([{"archive": current, "format": fmt, "volume": i, "content": content}], schema=out)
 
         for batch in parts:
             keys = batch.column("_key").to_pylist()
@@ -194,7 +237,7 @@ def packed_all(df: DataFrame, fmts: tuple[str, ...], archive: str = "archive", o
             yield from done()
 
     keyed = df.withColumn("_key", F.col(archive).cast("string")).drop(archive)
-    return keyed.repartition("_key").sortWithinPartitions("_key", order).mapInArrow(run, "archive string, format string, content binary")
+    return keyed.repartition("_key").sortWithinPartitions("_key", order).mapInArrow(run, "archive string, format string, volume int, content binary")
 
 
 # --- data source ----------------------------------------------------------------------------------
@@ -303,7 +346,7 @@ class Writer(DataSourceWriter):
         import uuid
 
         fmt, out = option(self.options, "format", "tar"), option(self.options, "path")
-        how = {k: option(self.options, k) for k in ("compression", "method", "password", "encrypt", "dialect") if option(self.options, k) is not None}
+        how = {k: option(self.options, k) for k in ("compression", "method", "password", "encrypt", "dialect", "volumeSize") if option(self.options, k) is not None}
         os.makedirs(out, exist_ok=True)
         groups: dict[str, list[Entry]] = {}
         for row in iterator:
@@ -311,11 +354,12 @@ class Writer(DataSourceWriter):
             groups.setdefault(r["archive"], []).append(entry_from(r))
         files = []
         for name, found in groups.items():
-            final = os.path.join(out, os.path.basename(name))
-            temporary = f"{final}.{uuid.uuid4().hex}.part"
-            with open(temporary, "wb") as f:
-                f.write(written(found, fmt, dict(how)))
-            files.append((temporary, final))
+            parts = written(found, fmt, dict(how))
+            for final, content in zip(volumes.names(os.path.join(out, os.path.basename(name)), formats.find(fmt), len(parts)), parts):
+                temporary = f"{final}.{uuid.uuid4().hex}.part"
+                with open(temporary, "wb") as f:
+                    f.write(content)
+                files.append((temporary, final))
         return Written(files)
 
     def commit(self, messages):

@@ -82,3 +82,66 @@ def opened(paths: list[str]):
 
 def split(data: bytes, size: int) -> list[bytes]:
     return [data[i : i + size] for i in range(0, len(data), size)] or [b""]
+
+
+class JoinedParts(io.BytesIO):
+    """The same over values."""
+
+    def __init__(self, parts: list[bytes]):
+        super().__init__(b"".join(parts))
+        self.starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+
+
+#: The mark before a ZIP archive in volumes, and that of one that would have had some.
+SPANNED, SINGLE = b"PK\x07\x08", b"PK00"
+
+
+class Target:
+    """Deals what is written out to volumes of a size. Records asked to stay whole open the next volume."""
+
+    def __init__(self, size: int, lead: bytes = b""):
+        if size < 1024:
+            raise ValueError("volumes have 1024 bytes at least")
+        self.size, self.parts = size, [bytearray(lead)]
+
+    def write(self, data: bytes) -> int:
+        at = 0
+        while at < len(data):
+            if len(self.parts[-1]) >= self.size:
+                self.parts.append(bytearray())
+            n = self.size - len(self.parts[-1])
+            self.parts[-1] += data[at : at + n]
+            at += n
+        return len(data)
+
+    def whole(self, n: int) -> None:
+        if n > self.size:
+            raise ValueError("a record is larger than a volume")
+        if len(self.parts[-1]) + n > self.size:
+            self.parts.append(bytearray())
+
+    def place(self) -> tuple[int, int]:
+        return len(self.parts) - 1, len(self.parts[-1])
+
+
+def names(base: str, fmt: str, count: int) -> list[str]:
+    """Names of an archive's volumes: .z01 up to the last, which is .zip, or .001 and so on."""
+    if count == 1:
+        return [base]
+    if fmt == "zip":
+        stem = base[:-4] if base.lower().endswith(".zip") else base
+        return [*(f"{stem}.z{i:02d}" for i in range(1, count)), f"{stem}.zip"]
+    return [f"{base}.{i:03d}" for i in range(1, count + 1)]
+
+
+def written(write, fmt: str, size: int) -> list[bytes]:
+    """Volumes of an archive: write(out) makes it. ZIP numbers its disks, other formats are cut anywhere."""
+    if fmt != "zip":
+        out = io.BytesIO()
+        write(out)
+        return split(out.getvalue(), size)
+    target = Target(size, SPANNED)
+    write(target)
+    if len(target.parts) == 1:
+        target.parts[0][: len(SINGLE)] = SINGLE
+    return [bytes(p) for p in target.parts]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import io
 import os
 import shutil
 import subprocess
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lamina import codecs
+from lamina.formats import Entry, zip_
 from lamina.functions import columns, detect, hashes, native
 from lamina.operators import mutate
 from lamina.plans import registry
+from lamina.schema import attributes
 from lamina.sources import archive, volumes
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +35,7 @@ def duck():
     return con
 
 
-CHECKED = ["scan_tar", "scan_cpio_crc", "scan_zip_deflated", "scan_zip_stream", "scan_7z_lzma2", "scan_tar_xz", "archive_statistics", "archive_metadata", "outer_layers", "limit_entry_count", "glob_filter", "zip_aes256", "sevenz_encrypted", "codec_zstd", "codec_ppmd", "scan_7z_ppmd", "scan_rar4_packed", "scan_rar5_packed", "scan_rar5", "detect_archives", "codec_compress", "codec_frames", "detect_codecs", "limit_output", "zstd_seekable", "zstd_dictionaries", "transform_x86", "checksum_native_sums", "checksum_crc", "entry_paths", "posix_modes", "archive_times", "update_put_delete", "update_move_attributes", "update_delete_hard_links", "directory_listing", "duplicate_keys", "checksum_chunks", "archive_preamble", "format_catalog", "path_algebra"]
+CHECKED = ["scan_tar", "scan_cpio_crc", "scan_zip_deflated", "scan_zip_stream", "scan_7z_lzma2", "scan_tar_xz", "archive_statistics", "archive_metadata", "outer_layers", "limit_entry_count", "glob_filter", "zip_aes256", "sevenz_encrypted", "codec_zstd", "codec_ppmd", "scan_7z_ppmd", "scan_rar4_packed", "scan_rar5_packed", "scan_rar5", "detect_archives", "scan_zip_volumes", "scan_7z_volumes", "scan_tar_seekable", "transform_vectors", "codec_vectors", "checksum_vectors", "zstd_information", "update_zip_verbatim", "update_create", "codec_compress", "codec_frames", "detect_codecs", "limit_output", "zstd_seekable", "zstd_dictionaries", "transform_x86", "checksum_native_sums", "checksum_crc", "entry_paths", "posix_modes", "archive_times", "update_put_delete", "update_move_attributes", "update_delete_hard_links", "directory_listing", "duplicate_keys", "checksum_chunks", "archive_preamble", "format_catalog", "path_algebra"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -182,6 +185,66 @@ def test_catalog_names():
     assert catalog.find("SevenZip") == ("archive", "7z") and catalog.find(".jar") == ("archive", "zip") and catalog.find("unix-compress") == ("codec", "compress") and catalog.find("zst") == ("codec", "zstd") and catalog.find("nothing") is None
 
 
+def test_updates_refuse_what_is_there(spark):
+    e = spark.createDataFrame([("a", "x", "x", "file", None), ("a", "d/y", "d/y", "file", None), ("b", "d/y", "d/y", "file", None)], "archive string, path string, entry_key string, type string, link_target string")
+    keys = spark.createDataFrame([("a", "x")], "archive string, entry_key string")
+    for f in (lambda: mutate.create_symlinks(e, keys, F.lit("y")), lambda: mutate.move(e, "d", "x"), lambda: mutate.create_links(e, keys, "nothing")):
+        with pytest.raises(Exception, match="there already|no file to link to"):
+            f().collect()
+    assert sorted((r.archive, r.entry_key) for r in mutate.move(e, "d", "x", replace=True).collect()) == [("a", "x/y"), ("b", "x/y")]
+    linked = mutate.create_links(e, spark.createDataFrame([("a", "z")], "archive string, entry_key string"), "x")
+    assert linked.where("type = 'hardlink'").first().link_target == "x"
+    with pytest.raises(ValueError):
+        mutate.move(e, "d", "d/e")
+
+
+def test_volumes_of_the_sink(spark, tmp_path):
+    """ZIP volumes with disk numbers, and cut 7z files, written and read as files."""
+    archive.register(spark)
+    bodies = {f"f{i}.bin": os.urandom(3000) for i in range(9)}
+    for fmt in ("zip", "7z"):
+        rows = [(f"x.{fmt}", k, v) for k, v in bodies.items()]
+        df = spark.createDataFrame(rows, "archive string, path string, body binary").coalesce(1)
+        df.write.format("archive").mode("append").option("format", fmt).option("method", "copy" if fmt == "7z" else "stored").option("volumeSize", 4096).save(str(tmp_path / fmt))
+        assert len(os.listdir(tmp_path / fmt)) > 6
+        got = spark.read.format("archive").option("includeBody", "true").load(str(tmp_path / fmt)).collect()
+        assert {r.path: bytes(r.body) for r in got} == bodies
+
+
+def test_names_in_other_charsets(spark):
+    """A name, several of which the first that fits counts, and a detector; decoding is strict."""
+    content = io.BytesIO()
+    zip_.write([Entry("plain.txt", body=b"x")], content)
+    raw = content.getvalue().replace(b"plain.txt", "grün.tx".encode("cp1252") + b"\x81\x8d")
+    # without the flag for UTF-8
+    raw = raw.replace(b"PK\x03\x04\x14\x00\x00\x08", b"PK\x03\x04\x14\x00\x00\x00").replace(b"PK\x01\x02?\x03\x14\x00\x00\x08", b"PK\x01\x02?\x03\x14\x00\x00\x00")
+    df = spark.createDataFrame([("a", raw)], "path string, content binary")
+    read = lambda **how: archive.entries_of(df, **how).first().path
+    assert read(metadataCharset="latin-1").startswith("grün.tx") and read().startswith("gr\u207fn.tx")
+    assert read(metadataCharset="utf-8, latin-1").startswith("grün.tx")
+    assert read(metadataCharset=lambda b: "latin-1" if b"\xfc" in b else None).startswith("grün.tx")
+    for bad in ("utf-8", "no-such-charset"):
+        with pytest.raises(Exception, match="MalformedData|Unsupported"):
+            read(metadataCharset=bad)
+
+
+def test_passwords_by_entry(spark):
+    """A provider gives a password for each path."""
+    items = spark.createDataFrame([("a", "one", b"1" * 99), ("a", "two", b"2" * 99)], "archive string, path string, body binary")
+    packed = archive.packed(items, "zip", encrypt="aes-256", password="secret")
+    got = archive.entries_of(packed, archive="archive", includeBody=True, password=lambda path: "secret" if path in ("one", "two") else None)
+    assert {r.path: bytes(r.body)[:1] for r in got.collect()} == {"one": b"1", "two": b"2"}
+
+
+def test_views():
+    assert attributes("size,mtime") == ["size", "mtime"]
+    assert attributes("zip:crc32,size") == ["zip.crc32", "size"] and attributes("7z:solid") == ["sevenz.solid"]
+    assert attributes("ar:*")[-1] == "ar.mode" and "path" in attributes("*")
+    for bad in ("zip:nothing", "none:size"):
+        with pytest.raises(ValueError):
+            attributes(bad)
+
+
 @pytest.mark.parametrize("kept", ["", "corpus_pipeline.py"])
 def test_entry_without_the_training_data_operators(tmp_path, kept):
     """Their subpackage, their tests and the pipeline can go; the pipeline alone may be left behind."""
