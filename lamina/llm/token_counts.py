@@ -2,10 +2,10 @@
 
 A pre-token is a run of spaces with the characters up to the next space; no piece of the vocabulary
 reaches over such a border, which `Counter` verifies when it loads the model, so tokens of a text are
-the sum over its pre-tokens. First tier: lengths of the most frequent pre-tokens, found on a bounded
-sample, in one broadcast table of at most `table_size` entries. Second tier: each worker encodes what
-the table lacks and remembers it in a bounded cache. No pre-token is ever shuffled in the main pass, and the tables only
-save work: results don't depend on the sample.
+the sum over its pre-tokens. First tier: lengths of the most frequent pre-tokens of all texts, in one
+broadcast table of at most `table_size` entries. Second tier: each worker encodes what the table lacks
+and remembers it in a bounded cache. Counting shuffles no pre-token; to find the frequent ones, each task
+hands on the top of its tally. Tables only save work: results don't depend on them.
 
 Null and empty texts have no tokens. Special strings in texts are plain text. Extra columns are
 carried along, but for one with the name of the result; repeated rows are counted each.
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 SPACE = "▁"
 PRE_TOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LIMIT = 4096
@@ -76,20 +78,42 @@ def pre_tokens(text: str) -> list[str]:
     return [x[1:] for x in PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE))]
 
 
-def frequent(docs: DataFrame, text: str, rows: int, characters: int, table_size: int) -> list[str]:
-    """The most frequent pre-tokens of a bounded sample: the first rows, cut to some characters each.
+def frequent(docs: DataFrame, text: str, per_task: int, table_size: int) -> list[str]:
+    """The most frequent pre-tokens of all texts, at most `table_size`.
 
-    take() reads as few partitions as it needs and shuffles nothing; what comes to the driver is at
-    most rows x characters.
+    Each task tallies its texts, forgets the rarest where its tally grows too long, and hands on its
+    `per_task` most frequent; these are added up. A histogram of the sums by powers of two tells from
+    which one on they fit the table, so nothing is sorted and only the table comes to the driver.
     """
-    seen: Tally = Tally()
-    for (t,) in docs.select(F.substring(F.col(f"`{text}`"), 1, characters)).take(rows):
-        if t:
-            seen.update(x for x in pre_tokens(t) if len(x) <= 64)
-    return [k for k, _ in seen.most_common(table_size)]
 
+    def tally(batches):
+        import pyarrow as pa
 
-def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", sample_rows: int = 1_000, sample_characters: int = 10_000, table_size: int = 32_768, name: str = "n_tokens") -> DataFrame:
+        seen: Tally = Tally()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    seen.update(pre_tokens(t))
+                if len(seen) > 64 * per_task:
+                    seen = Tally(dict(seen.most_common(16 * per_task)))
+        top = [(k, n) for k, n in seen.most_common(per_task) if len(k) <= 64]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+
+    counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tally, "piece string, n long")
+    counts = stored(counts.groupBy("piece").agg(F.sum("n").alias("n")))
+    power = F.floor(F.log2("n"))
+    sizes = dict(counts.groupBy(power.alias("power")).count().collect())  # 64 rows at most
+    least, total = None, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > table_size:
+            break
+        least = k
+    some = counts.limit(0) if not sizes else counts.where(power >= least) if least is not None else counts.where(power == max(sizes)).limit(table_size)
+    return [r["piece"] for r in some.select("piece").collect()]
+
+
+def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", per_task: int = 8_192, table_size: int = 32_768, name: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens; a column of that name gives way to it."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c.lower() != name.lower()]
@@ -98,7 +122,7 @@ def counted(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.mod
     docs = docs.select(*[F.col(f"`{c}`") for c in own], *([F.col(f"`{text}`").alias(hidden)] if hidden else []))
     text = hidden or text
     driver = Counter(model)
-    table = {} if driver.whole else {k: driver.encoded(k) for k in frequent(docs, text, sample_rows, sample_characters, table_size)}
+    table = {} if driver.whole else {k: driver.encoded(k) for k in frequent(docs, text, per_task, table_size)}
     known = spark.sparkContext.broadcast(table)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields[: len(own)], T.StructField(name, T.LongType())])

@@ -248,6 +248,15 @@ def test_token_counts(spark):
     assert as_set(got, "doc_id", "n_tokens") == Counter((d, len(model.encode(t or ""))) for d, t in rows)
 
 
+def test_frequent_pre_tokens_of_all_rows(spark):
+    """Those of the last rows count like those of the first; the table is never larger than asked for."""
+    rows = [(i, "alpha beta rare%d" % i) for i in range(400)] + [(i, "omega") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert set(token_counts.frequent(df, "text", 50, 3)) == {"alpha", "beta", "omega"}
+    assert token_counts.frequent(df, "text", 50, 1) == ["omega"] and len(token_counts.frequent(df, "text", 300, 100)) <= 100
+    assert token_counts.frequent(df.limit(0), "text", 50, 3) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 16, 17, 100, 257])
 def test_sharding(spark, n):
     rows = [(i % 90 if i % 11 else None, str(i % 7)) for i in range(n)]
