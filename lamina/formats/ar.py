@@ -59,7 +59,7 @@ def read(f, limits: Limits = Limits(), charset=None, **_):
         elif ident.endswith(b"/"):
             name = ident[:-1]
         mode = _number(head[40:48], 8)
-        e = Entry(safe_path(text_of(name, charset)), type_of_mode(mode), size, mode & 0o7777, _number(head[16:28]) * 10**9, fields={"identifier": ident.decode("latin-1"), "uid": _number(head[28:34]), "gid": _number(head[34:40]), "mode": mode}, body=slice_of(f, start, size))
+        e = Entry(safe_path(text_of(name, charset)), type_of_mode(mode), size, mode & 0o7777, _number(head[16:28]) * 10**9, fields={"identifier": ident.decode("latin-1"), "uid": _number(head[28:34]), "gid": _number(head[34:40]), "mode": mode, "data_offset": start}, body=slice_of(f, start, size))
         tracker.entry(e)
         yield e
 

@@ -190,7 +190,7 @@ def read(f, limits: Limits = Limits(), charset=None, **_):
         time = lambda k: _nanos(pax[k]) if k in pax else None
         ids = {k: int(pax[k]) if k in pax else _number(head[o : o + 8]) for k, o in (("uid", 108), ("gid", 116))}
         mode = _number(head[100:108])
-        fields = {"type_flag": flag, **ids, "uname": pax["uname"].decode() if "uname" in pax else text_of(_text(head[265:297]), code), "gname": pax["gname"].decode() if "gname" in pax else text_of(_text(head[297:329]), code), "is_hard_link": kind == HARDLINK, "link_name": target or None, "btime": time("LIBARCHIVE.creationtime")}
+        fields = {"type_flag": flag, **ids, "uname": pax["uname"].decode() if "uname" in pax else text_of(_text(head[265:297]), code), "gname": pax["gname"].decode() if "gname" in pax else text_of(_text(head[297:329]), code), "is_hard_link": kind == HARDLINK, "link_name": target or None, "btime": time("LIBARCHIVE.creationtime"), "data_offset": start if kind == FILE and segments is None else None}
         e = Entry(safe_path(path), kind, shown, mode & 0o7777, time("mtime") if "mtime" in pax else _number(head[136:148]) * 10**9, time("atime"), time("ctime"), target if kind in (SYMLINK, HARDLINK) else None, fields, body)
         tracker.entry(e)
         yield e

@@ -27,6 +27,18 @@ def compress(data: Column, codec: str, **options) -> Column:
     return f(_binary(data))
 
 
+def compress_frames(parts: Column, codec: str, **options) -> Column:
+    """An array of binaries as one stream of frames, one for each."""
+    if not codecs.require(codec).framed:
+        raise Unsupported(f"{codec} has no frames")
+
+    @F.pandas_udf("binary")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else b"".join(codecs.encode(codec, bytes(p), **options) for p in x))
+
+    return f(parts)
+
+
 def decompress(data: Column, codec: str, max_output: int = codecs.DEFAULT_OUTPUT, **options) -> Column:
     """Whole data; malformed data or too much of it fails the query."""
     codecs.require(codec)

@@ -12,8 +12,8 @@ def _struct(spec: str) -> T.StructType:
 
 FORMATS = {
     "zip": _struct("raw_path:b comment:s raw_comment:b compressed_size:l crc32:l gp_flags:i version_made_by:i version_needed:i internal_attrs:i external_attrs:l uid:l gid:l method_id:i method:s encryption:s local_extra:b central_extra:b raw:b"),
-    "tar": _struct("type_flag:s uid:l gid:l uname:s gname:s is_hard_link:z link_name:s btime:l"),
-    "ar": _struct("identifier:s uid:l gid:l mode:l"),
+    "tar": _struct("type_flag:s uid:l gid:l uname:s gname:s is_hard_link:z link_name:s btime:l data_offset:l"),
+    "ar": _struct("identifier:s uid:l gid:l mode:l data_offset:l"),
     "cpio": _struct("dialect:s byte_order:s inode:l uid:l gid:l nlink:l mode:l dev:l rdev:l dev_major:l dev_minor:l rdev_major:l rdev_minor:l checksum:l"),
     "sevenz": _struct("coder_graph:as solid:z substream_index:l substream_count:l data_offset:l decoded_offset:l packed_size:l crc32:l windows_attributes:l unix_mode:l"),
     "rar": _struct("host_os:s file_attributes:l method:l packed_size:l unpacked_size:l crc32:l blake2sp:b encrypted:z continues_prev:z continues_next:z link_name:s redirection_type:l redirection_flags:l redirection_target:s redirection_target_dir:z uname:s gname:s uid:l gid:l"),

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lamina import codecs
-from lamina.formats import Entry, zip_
+from lamina.formats import Entry, ar, tar, zip_
 from lamina.functions import columns, detect, hashes, native
 from lamina.operators import mutate
 from lamina.plans import registry
 from lamina.schema import attributes
-from lamina.sources import archive, volumes
+from lamina.sources import archive, index, volumes
 
 SF = "/root/testdata/sf0.001"
 
@@ -211,6 +211,28 @@ def test_volumes_of_the_sink(spark, tmp_path):
         assert {r.path: bytes(r.body) for r in got} == bodies
 
 
+def test_bodies_by_ranges(spark, tmp_path):
+    """An index of headers, and bodies read through it by several tasks."""
+    bodies = {f"d/f{i}.bin": os.urandom(i * 37) for i in range(60)}
+    for fmt, write in (("tar", tar.write), ("ar", ar.write)):
+        with open(tmp_path / f"x.{fmt}", "wb") as f:
+            write([Entry(k.replace("d/", ""), body=v) for k, v in bodies.items()], f)
+    found = index.indexed(spark, str(tmp_path))
+    assert found.where("data_offset is not null").count() == 120
+    some = index.bodies(found.where("size % 2 = 0"), per_task=7)
+    assert some.rdd.getNumPartitions() > 5
+    got = {(os.path.basename(r.archive), "d/" + r.path): bytes(r.body) for r in some.collect()}
+    assert got == {(f"x.{fmt}", k): v for fmt in ("tar", "ar") for k, v in bodies.items() if len(v) % 2 == 0}
+
+
+def test_frames_of_parts(spark):
+    df = spark.createDataFrame([([b"one", b"", b"two"],)], "p array<binary>")
+    for codec in ("gzip", "zstd", "xz", "bzip2"):
+        c = columns.compress_frames(F.col("p"), codec)
+        row = df.select(columns.decompress(c, codec).alias("all"), columns.try_decompress(c, codec, frame=True).alias("first")).first()
+        assert bytes(row["all"]) == b"onetwo" and bytes(row["first"]["data"]) == b"one"
+
+
 def test_names_in_other_charsets(spark):
     """A name, several of which the first that fits counts, and a detector; decoding is strict."""
     content = io.BytesIO()
