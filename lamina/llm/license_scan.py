@@ -113,13 +113,13 @@ class Scanner:
 
         self.templates = {k: WORDS.findall(v.lower()) for k, v in templates.items()}
         self.plain = z.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
-        self.given = {k: z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(v.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in sorted(templates.items())}
+        self.given = {k: z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(v.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in sorted(templates.items())}
         self.confirmed = confirmed
         self.reach = reach_of(templates)
 
     def reduction(self, block: str, name: str) -> float:
-        """Bytes saved with a template as a share of the block's own compressed size."""
-        raw = block.encode("utf-8", "replace")
+        """Bytes saved with a template as a share of the block's own compressed size, both in lower case."""
+        raw = block.lower().encode("utf-8", "replace")
         return 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
 
     def aligned(self, theirs: list[str], words: list[str]) -> list | None:

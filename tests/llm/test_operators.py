@@ -481,11 +481,62 @@ def test_long_reply_chains(spark):
     assert got.agg(F.max("depth"), F.max("position"), F.countDistinct("thread_turn")).first() == (n - 1, n - 1, 1)
 
 
-@pytest.mark.parametrize("f", [recompression.deduplicated, previous_factors.deduplicated, near_duplicates.labelled, near_duplicates.deduplicated, token_counts.counted, license_scan.scanned, quality_rules.with_statistics])
+ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "short item"), (3, None), (4, "")]
+
+
+def benchmark(spark, rows=ITEMS):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int")
+
+
+@pytest.mark.parametrize(
+    "f",
+    [
+        recompression.deduplicated, previous_factors.deduplicated, near_duplicates.labelled, near_duplicates.deduplicated, token_counts.counted, license_scan.scanned, quality_rules.with_statistics,
+        lambda d: quality_rules.kept_rows(d, labels(d.sparkSession, [(1, 0), (2, 1)])), lambda d: decontamination.decontaminated(d, benchmark(d.sparkSession)), mixing.mixed, mixing.expanded, lambda d: sharding.sharded(d, "doc_id", "text"),
+    ],
+)
 def test_empty_tables(spark, f):
     assert f(frame(spark, [])).count() == 0
 
 
+def test_empty_side_tables(spark):
+    """Without labels the base rule decides, without items nothing is contaminated."""
+    rows = [(1, "a word or two " * 12), (2, " ".join(f"w{i}" for i in range(30))), (3, "few words"), (4, ""), (5, None)]
+    df = frame(spark, rows)
+    assert sorted(r.doc_id for r in quality_rules.kept_rows(df, labels(spark)).collect()) == [d for d, t in rows if not brute.statistics(t)[-1]]
+    assert decontamination.decontaminated(df, benchmark(spark, [])).count() == 5
+    assert decontamination.decontaminated(df, benchmark(spark, [(1, None), (2, " ,. ")])).count() == 5
+
+
+def test_very_long_texts(spark):
+    """One text of 60,000 words beside short ones, against the plain versions."""
+    import public_tokenizers
+    import sentencepiece
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(3_000)]
+    words = r.choices(vocabulary, k=60_000)
+    words[40_000:40_100] = words[100:200]
+    words[50_000:50_000] = ITEMS[0][1].split() + license_scan.TEMPLATES["MPL-2.0"].split()
+    long = "\n".join(" ".join(words[i : i + 50]) for i in range(0, len(words), 50))
+    rows = [(1, long), (2, long.upper()), (3, "short item"), (4, None), (5, "x" * 200_000), (6, " ".join(words[:300]))]
+    df = frame(spark, rows)
+    assert as_set(near_duplicates.labelled(df), "doc_id", "fingerprint", "component_id") == Counter(brute.near(rows))
+    got = quality_rules.with_statistics(df)
+    assert as_set(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == Counter((d, *brute.statistics(t)) for d, t in rows)
+    found = {g.doc_id: g.licenses for g in license_scan.scanned(df).collect()}
+    assert found == {1: ["MPL-2.0"], 2: ["MPL-2.0"], 3: [], 4: [], 5: [], 6: []}
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert as_set(token_counts.counted(df), "doc_id", "n_tokens") == Counter((d, len(model.encode(t or ""))) for d, t in rows)
+    hit = decontamination.per_row(decontamination.judged(df, benchmark(spark)))
+    assert as_set(hit, "id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == Counter(brute.contaminated(rows, ITEMS))
+    assert as_set(recompression.deduplicated(df), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.repeats_words(rows))
+
+
 #: Names that operators use themselves or give to results, and one that must be quoted.
 CLASHES = ["size", "copies", "SOURCE_SIZE", "target", "n_tokens", "N_Words", "word_chars", "shard", "slot", "place", "row", "_row", "key", "id", "doc", "rk", "fp", "w", "kept", "base_failed", "asked_key", "order", "p", "a", "start", "sum", "copy", "_part", "_at", "_start", "a.b"]
 
