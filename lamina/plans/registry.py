@@ -196,7 +196,7 @@ def detect_codecs(spark, sf_dir):
 def detect_archives(spark, sf_dir):
     """One shuffle of the documents; each group's rows are packed in turn."""
     entries = as_entries(documents(spark, sf_dir))
-    found = [archive.packed_all(entries, ("7z", "ar", "cpio", "tar", "zip"))]
+    found = [archive.packed_all(entries, ("7z", "ar", "cpio", "tar", "zip")).drop("volume")]
     found.append(rar_samples.archived(entries, 5, False).select("archive", F.lit("rar").alias("format"), "content"))
     return found[0].unionByName(found[1]).select("archive", "format", detect.detected(F.col("content")).alias("detected"))
 
