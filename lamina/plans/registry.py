@@ -134,27 +134,24 @@ def limit_entry_count(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE source = 'src1' AND lang = 'en'")
 def glob_filter(spark, sf_dir):
-    packed = archive.packed(as_entries(documents(spark, sf_dir)), "tar")
-    e = archive.entries_of(packed, archive="archive", includeBody=True).where(native.path_matches(F.col("path"), "glob:docs/{en,xx}/*.txt") & (F.col("archive") == "src1"))
+    # what decides about whole archives is applied before any is made or read
+    packed = archive.packed(as_entries(documents(spark, sf_dir)).where("archive = 'src1'"), "tar")
+    e = archive.entries_of(packed, archive="archive", includeBody=True).where(native.path_matches(F.col("path"), "glob:docs/{en,xx}/*.txt"))
     return e.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.sha2("body", 256).alias("sha256"))
 
 
 for _e in ("traditional", "aes-128", "aes-192", "aes-256"):
 
-    @query("SELECT item_id, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM benchmark", f"zip_{_e.replace('-', '')}")
+    @query(DIGEST, f"zip_{_e.replace('-', '')}")
     def zip_encrypted(spark, sf_dir, scheme=_e):
-        items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("archive"), F.col("item_id").cast("string").alias("path"), F.col("text").cast("binary").alias("body"))
-        packed = archive.packed(items, "zip", encrypt=scheme, password="open sesame")
-        e = archive.entries_of(packed, archive="archive", includeBody=True, password="open sesame")
-        return e.select(F.col("path").cast("long").alias("item_id"), "size", F.sha2("body", 256).alias("sha256"))
+        packed = archive.packed(as_entries(documents(spark, sf_dir)), "zip", encrypt=scheme, password="open sesame")
+        return digest(archive.entries_of(packed, archive="archive", includeBody=True, password="open sesame"))
 
 
-@query("SELECT item_id, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM benchmark")
+@query(DIGEST)
 def sevenz_encrypted(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("archive"), F.col("item_id").cast("string").alias("path"), F.col("text").cast("binary").alias("body"))
-    packed = archive.packed(items, "7z", method="lzma", password="open sesame", encrypt_headers=True)
-    e = archive.entries_of(packed, archive="archive", includeBody=True, password="open sesame")
-    return e.select(F.col("path").cast("long").alias("item_id"), "size", F.sha2("body", 256).alias("sha256"))
+    packed = archive.packed(as_entries(documents(spark, sf_dir)), "7z", method="lzma", password="open sesame", encrypt_headers=True)
+    return digest(archive.entries_of(packed, archive="archive", includeBody=True, password="open sesame"))
 
 
 # --- codecs ---------------------------------------------------------------------------------------
@@ -300,25 +297,28 @@ def checksum_sha256(spark, sf_dir):
     return docs.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), columns.checksum(F.col("body"), "sha256").alias("sha256"))
 
 
-@query(f"SELECT item_id, ((octet_length(encode(text)) + list_sum(list_transform(range(len(b)), lambda i: (len(b) - i) * b[i + 1]))) % 65521 * 65536 + (1 + list_sum(b)) % 65521)::BIGINT AS adler32, list_sum(b)::BIGINT AS byte_sum FROM (SELECT item_id, text, {_BYTES} AS b FROM benchmark)")
+@query(f"SELECT doc_id, (((octet_length(encode(text)) + coalesce(list_sum(list_transform(range(len(b)), lambda i: (len(b) - i) * b[i + 1])), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(b), 0)) % 65521)::BIGINT AS adler32, coalesce(list_sum(b), 0)::BIGINT AS byte_sum FROM (SELECT doc_id, text, {_BYTES} AS b FROM documents)")
 def checksum_native_sums(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("b"))
-    return items.select("item_id", native.adler32(F.col("b")).alias("adler32"), native.byte_sum(F.col("b")).alias("byte_sum"))
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", native.adler32(F.col("body")).alias("adler32"), native.byte_sum(F.col("body")).alias("byte_sum"))
 
 
 def _crc_sql(polynomial: int) -> str:
-    """Bitwise CRC over the bytes of benchmark texts."""
-    step = f"xor(x >> 1, CASE WHEN x & 1 = 1 THEN {polynomial} ELSE 0 END)"
-    nested = "xor(a, b)"
-    for _ in range(8):
-        nested = f"list_transform([{nested}], lambda x: {step})[1]"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({_BYTES}, lambda v: v::BIGINT)), lambda a, b: {nested}), 4294967295)"
-
-
-@query(f"SELECT item_id, {_crc_sql(0xEDB88320)} AS crc32, {_crc_sql(0x82F63B78)} AS crc32c FROM benchmark")
+    """CRC over the bytes of a text, four bits at a time, the low ones first."""
+    rest = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (polynomial if i & 1 else 0)
+        rest.append(i)
+    table = "CASE xor(a, b) & 15 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(rest)) + " END"
+    halves = "list_transform(range(2 * octet_length(encode(text))), lambda i: ('0x' || substr(hex(encode(text)), (i + 2 - 2 * (i % 2))::INTEGER, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda a, b: xor(a >> 4, ({table})::BIGINT)), 4294967295)"
+
+
+@query(f"SELECT doc_id, {_crc_sql(0xEDB88320)} AS crc32, {_crc_sql(0x82F63B78)} AS crc32c FROM documents")
 def checksum_crc(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("b"))
-    return items.select("item_id", columns.checksum(F.col("b"), "crc32").alias("crc32"), columns.checksum(F.col("b"), "crc32c").alias("crc32c"))
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", columns.checksum(F.col("body"), "crc32").alias("crc32"), columns.checksum(F.col("body"), "crc32c").alias("crc32c"))
 
 
 @query()
