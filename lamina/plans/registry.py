@@ -297,10 +297,10 @@ def checksum_sha256(spark, sf_dir):
     return docs.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), columns.checksum(F.col("body"), "sha256").alias("sha256"))
 
 
-@query(f"SELECT doc_id, (((octet_length(encode(text)) + coalesce(list_sum(list_transform(range(len(b)), lambda i: (len(b) - i) * b[i + 1])), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(b), 0)) % 65521)::BIGINT AS adler32, coalesce(list_sum(b), 0)::BIGINT AS byte_sum FROM (SELECT doc_id, text, {_BYTES} AS b FROM documents)")
+@query(f"SELECT conv_id, turn, (((octet_length(encode(text)) + coalesce(list_sum(list_transform(range(len(b)), lambda i: (len(b) - i) * b[i + 1])), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(b), 0)) % 65521)::BIGINT AS adler32, coalesce(list_sum(b), 0)::BIGINT AS byte_sum FROM (SELECT conv_id, turn, text, {_BYTES} AS b FROM conversations)")
 def checksum_native_sums(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return docs.select("doc_id", native.adler32(F.col("body")).alias("adler32"), native.byte_sum(F.col("body")).alias("byte_sum"))
+    turns = table(spark, sf_dir, "conversations").withColumn("body", F.col("text").cast("binary"))
+    return turns.select("conv_id", "turn", native.adler32(F.col("body")).alias("adler32"), native.byte_sum(F.col("body")).alias("byte_sum"))
 
 
 def _crc_sql(polynomial: int) -> str:
@@ -315,10 +315,10 @@ def _crc_sql(polynomial: int) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda a, b: xor(a >> 4, ({table})::BIGINT)), 4294967295)"
 
 
-@query(f"SELECT doc_id, {_crc_sql(0xEDB88320)} AS crc32, {_crc_sql(0x82F63B78)} AS crc32c FROM documents")
+@query(f"SELECT conv_id, turn, {_crc_sql(0xEDB88320)} AS crc32, {_crc_sql(0x82F63B78)} AS crc32c FROM conversations")
 def checksum_crc(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return docs.select("doc_id", columns.checksum(F.col("body"), "crc32").alias("crc32"), columns.checksum(F.col("body"), "crc32c").alias("crc32c"))
+    turns = table(spark, sf_dir, "conversations").withColumn("body", F.col("text").cast("binary"))
+    return turns.select("conv_id", "turn", columns.checksum(F.col("body"), "crc32").alias("crc32"), columns.checksum(F.col("body"), "crc32c").alias("crc32c"))
 
 
 @query()
