@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lamina import codecs
-from lamina.codecs import lz4, native, ppmd
+from lamina.codecs import jvm, lz4, native, ppmd
 from lamina.errors import LimitExceeded, MalformedData, Unsupported
 from lamina.formats import CATALOG, Entry, Limits, ar, cpio, rar, rar_lz, sevenz, tar, zip_
 from lamina.functions import crypto, hashes, transforms
@@ -53,6 +53,53 @@ def test_ppmd_starts_anew_when_memory_runs_out(order, memory):
         codecs.decode("ppmd", packed, decoded_size=10, order=order, memory=memory, max_memory=memory - 1)
 
 
+@pytest.mark.parametrize("order, memory", [(2, 1 << 11), (6, 5002), (16, 1 << 16), (6, 1 << 24)])
+def test_ppmd_is_the_same_in_the_jvm_and_without(monkeypatch, order, memory):
+    def both(f, *args):
+        monkeypatch.setattr(jvm, "_coded", jvm.START)
+        monkeypatch.setattr(jvm, "_usable", True)
+        found = outcome(f, *args)
+        assert jvm._coder is not None and jvm._usable
+        monkeypatch.setattr(jvm, "_usable", False)
+        assert outcome(f, *args) == found
+        return found
+
+    def outcome(f, *args):
+        try:
+            return f(*args)
+        except MalformedData as e:
+            return str(e)
+
+    for data in (*PLAIN[:6], CODE[:9000]):
+        packed = both(ppmd.encode, data, order, memory)
+        assert both(ppmd.decode, packed, 1 << 20, len(data), order, memory) == (data, len(packed))
+        damaged = bytearray(packed)
+        damaged[len(packed) // 2 or 1] ^= 0x55
+        both(ppmd.decode, bytes(damaged), 1 << 20, len(data), order, memory)
+        both(ppmd.decode, packed[: max(5, len(packed) // 2)], 1 << 20, len(data) + 100, order, memory)
+
+
+def test_ppmd_goes_on_without_a_jvm(monkeypatch):
+    """A JVM that ends during its work leaves the rest to Python."""
+    monkeypatch.setattr(jvm, "_coded", jvm.START)
+    packed = ppmd.encode(CODE)
+    monkeypatch.setattr(jvm, "_usable", True)
+    jvm._coder.process.kill()
+    with pytest.warns(UserWarning, match="without a JVM"):
+        assert ppmd.encode(CODE) == packed
+    assert jvm._coder is None and ppmd.decode(packed, 1 << 20, len(CODE))[0] == CODE
+
+
+def test_ppmd_keeps_up():
+    """Python alone takes a minute for this."""
+    import time
+
+    data = CODE * 30 + " ".join(map(str, range(60_000))).encode()
+    began = time.perf_counter()
+    assert codecs.decode("ppmd", codecs.encode("ppmd", data), decoded_size=len(data)) == data
+    assert time.perf_counter() - began < 20
+
+
 def test_many_small_frames_take_time_by_the_frame():
     """Frames are found without copying what follows."""
     import time
