@@ -100,6 +100,18 @@ def test_ppmd_keeps_up():
     assert time.perf_counter() - began < 20
 
 
+def test_7z_of_ppmd_keeps_up():
+    """Half a megabyte in many entries; Python alone takes half a minute to write and as long to read it."""
+    import time
+
+    bodies = [CODE[i : i + 4000] + str(i).encode() for i in range(0, 16_000, 125)]
+    began = time.perf_counter()
+    out = io.BytesIO()
+    sevenz.write([Entry(f"{i}.bin", body=b) for i, b in enumerate(bodies)], out, method="ppmd")
+    assert [e.read() for e in sevenz.read(out)] == bodies
+    assert time.perf_counter() - began < 15
+
+
 def test_many_small_frames_take_time_by_the_frame():
     """Frames are found without copying what follows."""
     import time
