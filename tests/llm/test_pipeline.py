@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import brute
+import duckdb
 import pytest
 
 import __spark_entry__
@@ -212,3 +213,14 @@ def test_learned_rules_against_a_plain_learner(spark, tables):
         want, rules = brute.kept_documents(docs, labels)
         got = __spark_entry__.queries()["op5_learned_rules"](spark, d)
         assert Counter((r.doc_id, r.kept) for r in got.collect()) == Counter(want) and (rules or d == SF)
+
+
+def test_previous_factors_against_sql(spark, tables):
+    """Columns and rows of the query are those of its SQL."""
+    d, _ = tables
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    expected = con.sql(__spark_entry__.oracle_sql()["op8_previous_factors"])
+    got = __spark_entry__.queries()["op8_previous_factors"](spark, d)
+    assert got.columns == expected.columns
+    assert Counter(map(tuple, got.collect())) == Counter(expected.fetchall())
