@@ -8,11 +8,14 @@ archives, splits indexed ZIP files by entries and joins split volumes.
 from __future__ import annotations
 
 import io
+import itertools
 import os
+import pickle
 import tempfile
 from collections.abc import Iterator
 from dataclasses import fields
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,6 +145,50 @@ def entries_of(df: DataFrame, content: str = "content", archive: str = "path", *
     return df.select(F.col(archive).cast("string").alias("a"), F.col(content).alias("c")).mapInArrow(run, ENTRY)
 
 
+def entries_by_block(df: DataFrame, content: str = "content", archive: str = "path", **options) -> DataFrame:
+    """The same for 7z, with bodies that are decoded block by block in as many tasks as shuffles have.
+
+    One task reads an archive's header and cuts its packed blocks out. Where nothing is decoded, and in mode
+    permissive, where a failure ends the archive, it does everything.
+    """
+    if str(option(options, "includeBody", "false")).lower() != "true" or str(option(options, "onError", "failfast")).lower() == "permissive":
+        return entries_of(df, content, archive, **options)
+    secret = option(options, "password")
+
+    def cut(found):
+        import pyarrow as pa
+
+        out = pa.schema([("archive", pa.string()), ("number", pa.int32()), ("outer", pa.list_(pa.string())), ("part", pa.binary())])
+        for batch in found:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if data is None:
+                    continue
+                limits = limits_of(options)
+                fmt, f, outer = peel(io.BytesIO(data), limits, option(options, "format"))
+                if fmt != "7z":
+                    raise Unsupported(f"{fmt} block by block")
+                for i, part in enumerate(formats.sevenz.parts(f, limits, secret)):
+                    yield pa.RecordBatch.from_pylist([{"archive": str(name), "number": i, "outer": outer, "part": pickle.dumps(part)}], schema=out)
+
+    def decode(found):
+        def entry_rows():
+            for batch in found:
+                for row in zip(*(batch.column(c) for c in ("archive", "outer", "part"))):
+                    name, outer, part = (x.as_py() for x in row)
+                    for i, e in pickle.loads(part).read(limits_of(options), secret):
+                        yield row_of(name, "7z", outer, i, e, e.read() if e.type == "file" else None)
+
+        yield from batches(entry_rows())
+
+    cuts = df.select(F.col(archive).cast("string").alias("a"), F.col(content).alias("c")).mapInArrow(cut, "archive string, number int, outer array<string>, part binary")
+    return cuts.repartition(_tasks(df), "archive", "number").mapInArrow(decode, ENTRY)
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a shuffle whose rows are dear by what is done with them, not by their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def entries_of_volumes(df: DataFrame, content: str = "content", archive: str = "archive", volume: str = "volume", **options) -> DataFrame:
     """Entries of archives in volumes, given as binary values that are numbered; an archive's volumes meet in one task."""
 
@@ -240,6 +287,48 @@ def packed_all(df: DataFrame, fmts: tuple[str, ...], archive: str = "archive", o
     return keyed.repartition("_key").sortWithinPartitions("_key", order).mapInArrow(run, "archive string, format string, volume int, content binary")
 
 
+def packed_by_block(df: DataFrame, archive: str = "archive", order: str = "path", **options) -> DataFrame:
+    """7z archives like those of `packed`, with blocks that are coded in as many tasks as shuffles have.
+
+    Tasks take ranges of all entries in order, so a block ends where a range does, too. Coded blocks meet in one
+    task for each archive, which only adds the header.
+    """
+    if {"compression", "volumeSize"} & options.keys():
+        raise Unsupported("blocks of compressed archives or of volumes")
+    names = [c for c in df.columns if c != archive]
+
+    def code(found):
+        import pyarrow as pa
+
+        out = pa.schema([("archive", pa.string()), ("task", pa.int32()), ("number", pa.int32()), ("block", pa.binary())])
+        task = TaskContext.get().partitionId()
+
+        def keyed_entries():
+            for batch in found:
+                cols = {c: batch.column(c) for c in names}
+                for i, k in enumerate(batch.column("_key").to_pylist()):
+                    yield k, entry_from({c: v[i].as_py() for c, v in cols.items()})
+
+        for key, some in itertools.groupby(keyed_entries(), key=lambda x: x[0]):
+            for i, block in enumerate(formats.sevenz.coded((e for _, e in some), **options)):
+                yield pa.RecordBatch.from_pylist([{"archive": key, "task": task, "number": i, "block": pickle.dumps(block)}], schema=out)
+
+    def join(found):
+        import pyarrow as pa
+
+        out = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+        blocks = ((k.as_py(), b) for batch in found for k, b in zip(batch.column("archive"), batch.column("block")))
+        for key, some in itertools.groupby(blocks, key=lambda x: x[0]):
+            content = io.BytesIO()
+            formats.sevenz.joined((pickle.loads(b.as_py()) for _, b in some), content, **options)
+            yield pa.RecordBatch.from_pylist([{"archive": key, "content": content.getvalue()}], schema=out)
+
+    keyed = df.withColumn("_key", F.col(archive).cast("string")).drop(archive)
+    ranges = keyed.repartitionByRange(_tasks(df), "_key", order).sortWithinPartitions("_key", order)
+    blocks = ranges.mapInArrow(code, "archive string, task int, number int, block binary")
+    return blocks.repartition("archive").sortWithinPartitions("archive", "task", "number").mapInArrow(join, "archive string, content binary")
+
+
 # --- data source ----------------------------------------------------------------------------------
 
 

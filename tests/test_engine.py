@@ -141,6 +141,37 @@ def test_layers_are_bounded(spark):
     assert archive.entries_of(df, maxOuterLayers=5).count() == 1
 
 
+def test_blocks_of_one_archive_are_shared_out(spark, tmp_path):
+    """All texts in one source: its archive is not one task's work."""
+    spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.lit("all")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.queries()["scan_7z_ppmd"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 200 and len({r.task for r in rows}) > 1
+    docs = registry.as_entries(registry.documents(spark, str(tmp_path)))
+    sizes = archive.entries_of(archive.packed_by_block(docs, method="copy"), archive="archive").select("sevenz.*").collect()
+    assert len({r.data_offset for r in sizes}) > -(-200 // 64) - 1 and max(r.substream_count for r in sizes) <= 64
+
+
+def test_blocks_equal_whole_archives(spark):
+    rows = [(k, f"{i:03}", t, (b"%d" % i) * (i % 7) if t == "file" else None, "000" if t == "symlink" else None) for k in ("x", "y", None) for i, t in enumerate(["file"] * 60 + ["directory", "symlink"] * 5)]
+    df = spark.createDataFrame([*rows, ("empty", "only", "file", b"", None)], "archive string, path string, type string, body binary, link_target string")
+    whole, blocks = archive.packed(df, "7z", solid=4, method="lzma"), archive.packed_by_block(df, solid=4, method="lzma")
+    key = ["archive", "path", "type", "size", "mode", "link_target", "body", "ordinal"]
+    ordered = lambda got, cols: sorted(map(str, got.select(*cols).collect()))
+    expected = ordered(archive.entries_of(whole, archive="archive", includeBody=True), key)
+    assert len(expected) == 211
+    assert ordered(archive.entries_of(blocks, archive="archive", includeBody=True), key) == expected
+    for made in (whole, blocks):
+        plain = archive.entries_of(made, archive="archive", includeBody=True)
+        assert ordered(archive.entries_by_block(made, archive="archive", includeBody=True), plain.columns) == ordered(plain, plain.columns)
+    broken = whole.where("archive = 'x'").select("archive", F.expr("overlay(content placing x'ffff' from 34)").alias("content"))
+    read = lambda f: f(broken, archive="archive", includeBody=True, onError="permissive")
+    assert ordered(read(archive.entries_by_block), key) == ordered(read(archive.entries_of), key)
+    with pytest.raises(Exception, match="MalformedData"):
+        archive.entries_by_block(broken, archive="archive", includeBody=True).collect()
+    with pytest.raises(Exception, match="LimitExceeded"):
+        archive.entries_by_block(whole, archive="archive", includeBody=True, maxTotalEntrySize=100).collect()
+
+
 def test_detection_expression(spark):
     cases = [(b"Rar!\x1a\x07\x00", "rar"), (b"Rar!\x1a\x07\x01\x00", "rar"), (b"PK\x03\x04", "zip"), (b"PK\x01\x02", None), (b"\x50\x2a\x4d\x18", "lz4"), (bytes(1024), "tar"), (bytes(512), None), (b"", None), (b"\x1f", None), (b"\x1f\x9d", "compress"), (b"BZh0", None), (b"BZh9", "bzip2"), (b"\x78\x9c", "zlib"), (b"\x78\x9d", None), (b"\xc7\x71" + bytes(24), None), (b"\xc7\x71", "cpio"), (None, None)]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, b binary")
